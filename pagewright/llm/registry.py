@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import embeddings, mixing, packing, secrets, simhash, urls
+from pagewright.llm import embeddings, mixing, packing, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text of documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents by SimHash."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {"op7_url_filter": urls.ORACLE}
