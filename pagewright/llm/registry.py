@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import embeddings, mixing, packing, secrets, simhash, toxicity, urls
+from pagewright.llm import embeddings, mixing, packing, quality, secrets, simhash, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text of documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the longest rule for the url of every page."""
     return urls.judge(_table(spark, sf_dir, "pages"))
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_mixing": op2_mixing,
     "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
