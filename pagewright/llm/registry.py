@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import embeddings, mixing, packing, quality, secrets, simhash, toxicity, urls
+from pagewright.llm import embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that a repeated 100-byte string covers."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of 2048 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"))
@@ -59,6 +64,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_mixing": op2_mixing,
+    "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,
     "op7_url_filter": op7_url_filter,
