@@ -72,3 +72,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     whole = rows.where(~cut).withColumn("extra", F.when(F.col("left") > 0, F.col("size")).otherwise(0))
     done = whole.select(part.columns).union(part)
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """Rows of ``docs`` once for each time the mix takes words of them; the row of a source's cut is taken whole.
+
+    Rows that repeat an id are taken as often as the one of them that is taken most.
+    """
+    taken = mix(docs, id_col, text_col, source_col, **options).where("taken > 0")
+    times = taken.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    rows = docs.join(times, docs[id_col].eqNullSafe(times["__id"]))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewright.llm import embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity, urls
+from pagewright.llm import audio, embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and alignments of all documents heard as recordings.
+
+    The tables hold no recordings, so the UTF-8 bytes of each text are its samples, at a rate at which most texts last
+    longer than one code; copies of a text are copies of a recording.
+    """
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("audio"))
+    return audio.align(docs, "doc_id", "audio", audio.Sound(rate=11025, frame=512, hop=128))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of all documents that a repeated 100-byte string covers."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -64,6 +75,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_mixing": op2_mixing,
+    "op3_audio": op3_audio,
     "op4_substrings": op4_substrings,
     "op5_packing": op5_packing,
     "op6_quality": op6_quality,

@@ -122,9 +122,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(named, "fp").select(id_col, "fp", "component_id")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+    """One row of ``docs`` for each near-duplicate group, that of its smallest id; rows without an id stay, all of them."""
+    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, words, max_bits)
+    first = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    return docs.join(first, id_col, "left_semi").dropDuplicates([id_col]).union(docs.where(F.col(id_col).isNull()))
+
+
 def hex_digits(col):
     """A long as 16 lowercase hexadecimal digits."""
     return F.lower(F.lpad(F.hex(col), 16, "0"))
 
-
-__all__ = ["fingerprint", "fingerprints", "hex_digits", "links", "near_duplicates"]
