@@ -8,14 +8,51 @@ from pyspark.sql import functions as F
 
 def path_of(url: Column) -> Column:
     """Path for comparison: without fragment, scheme, host, page endings, index pages and trailing slashes; lower case, query kept."""
-    u = F.regexp_replace(F.trim(url), "#.*$", "")
-    u = F.regexp_replace(u, "(?i)^[a-z][a-z0-9+.-]*://", "")
-    u = F.regexp_replace(u, r"^[^/?]*\.[^/?]*", "")
-    u = F.regexp_replace(u, r"(?i)\.(aspx|html|htm|jsp)(?=$|\?)", "")
+    u = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"#.*$", "")
+    u = F.regexp_replace(u, r"^(?i:https?://)", "")
+    u = F.regexp_replace(u, r"^[^/.]*\.[^/]*$", "/")
+    u = F.regexp_replace(u, r"^[^/.]*\.[^/]*/", "/")
+    u = F.regexp_replace(u, r"(?i)\.(aspx|html?|jsp)(?=$|\?)", "")
     u = F.regexp_replace(u, r"(?i)/(index|default)(?=$|\?)", "")
-    return F.lower(F.regexp_replace(u, "/+$", ""))
+    u = F.regexp_replace(u, "/+$", "")
+    return F.lower(F.when(u == "", "/").otherwise(u))
 
 
 def host_of(url: Column) -> Column:
-    """Host in lower case without ``www.``; empty where there is none."""
-    return F.regexp_replace(F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1), F.lit(""))), r"^www\.", "")
+    """Host in lower case without scheme and ``www.``; a port stays."""
+    u = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"^(?i:https?://)", "")
+    return F.regexp_replace(F.lower(F.substring_index(u, "/", 1)), r"^www\.", "")
+
+
+def bare_host(url: Column) -> Column:
+    """``host_of`` without port, query and a leading ``preview.`` label."""
+    return F.regexp_replace(F.regexp_replace(host_of(url), r"[:?#].*$", ""), r"^preview(-[a-z0-9]+)?\.", "")
+
+
+def under_path(path: Column, prefix: Column) -> Column:
+    """Whether ``path`` is ``prefix``, below it, or it with a file ending; whole segments only."""
+    return (path == prefix) | path.startswith(F.concat(prefix, F.lit("/"))) | path.startswith(F.concat(prefix, F.lit(".")))
+
+
+def asset_identity(url: Column) -> Column:
+    """Letters and digits of a file's name: percent-decoded, without rendition and ending."""
+    base = F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^.*/", "")
+    plain = F.coalesce(F.try_url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))), base)
+    return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(plain, r":.*$", ""), r"\.[A-Za-z0-9]{2,5}$", "")), "[^a-z0-9]", "")
+
+
+def environment_of(host: Column, preview: str = r"^preview", author: str = r"^author") -> Column:
+    """unknown, preview, author or production, by the host's first label."""
+    return F.when(F.coalesce(host, F.lit("")) == "", "unknown").when(host.rlike(preview), "preview").when(host.rlike(author), "author").otherwise("production")
+
+
+def verdict_of(status: Column) -> Column:
+    """ok, dead or unverified from an HTTP status."""
+    return F.when(status.between(200, 299), "ok").when(status.isin(404, 410) | (status >= 500), "dead").otherwise("unverified")
+
+
+def split_urls(text: Column) -> Column:
+    """http(s) URLs of a text without trailing marks; of those that differ in case only the first stays."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"<>]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:]+$", ""))
+    none = F.array().cast("array<string>")
+    return F.aggregate(found, none, lambda acc, u: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(u)), acc).otherwise(F.array_append(acc, u)))

@@ -5,15 +5,123 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.functions import urls
+from pagewright.functions import text as T
+from pagewright.functions import urls as U
+from pagewright.operators import crawl, markup, matching, rules
+from pagewright.sources import table
 
+# the paths of both sides, spelled out for the other engine
+_STRIP = "regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?://)', '')"
+_PATH = f"""(SELECT page_id, url, html, lower(CASE WHEN p = '' THEN '/' ELSE p END) AS path, regexp_replace(lower(split_part({_STRIP}, '/', 1)), '^www\\.', '') AS host FROM (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_STRIP}, '^[^/.]*\\.[^/]*$', '/'), '^[^/.]*\\.[^/]*/', '/'), '(?i)\\.(aspx|html?|jsp)($|\\?)', '\\2'), '(?i)/(index|default)($|\\?)', '\\2'), '/+$', '') AS p FROM pages))"""
 
-def page_host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def page_host_rollup(spark, sf_dir):
     """Pages, distinct normalised paths and anchors by host."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rows = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), F.regexp_count("html", F.lit(r"(?i)<a[\s>]")).alias("n"))
+    rows = _pages(spark, sf_dir).select(U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"), F.regexp_count("html", F.lit(r"(?i)<a[\s>]")).alias("n"))
     return rows.groupBy("host").agg(F.count("*").alias("pages"), F.count_distinct("path").alias("paths"), F.sum("n").cast("bigint").alias("anchors"))
 
 
-QUERIES = {"page_host_rollup": page_host_rollup}
-ORACLE_SQL = {}
+def page_path_collisions(spark, sf_dir):
+    """Paths of more than one page, with the smallest url."""
+    return _pages(spark, sf_dir).groupBy(U.path_of(F.col("url")).alias("path")).agg(F.count("*").alias("n"), F.min("url").alias("url")).where("n > 1")
+
+
+def page_titles(spark, sf_dir):
+    """Raw title lengths and visible H1 counts."""
+    title = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)
+    return _pages(spark, sf_dir).select("page_id", F.length(title).cast("bigint").alias("title_chars"), (title != F.trim(title)).alias("stray"), F.regexp_count("html", F.lit(r"(?i)<h1[\s>]")).cast("bigint").alias("h1"))
+
+
+def page_language_mismatch(spark, sf_dir):
+    """Pages whose lang attribute is not the language of their path."""
+    rows = _pages(spark, sf_dir).select("page_id", F.lower(F.substring(F.regexp_extract("html", r'(?i)<html[^>]*\slang="([^"]*)"', 1), 1, 2)).alias("lang"), F.regexp_extract(U.path_of(F.col("url")), r"^/([a-z]{2})(?:/|$)", 1).alias("path_lang"))
+    return rows.where("lang <> '' and path_lang <> '' and lang <> path_lang")
+
+
+def page_link_fanin(spark, sf_dir):
+    """Targets by the pages that link to them and the links."""
+    edges = markup.links(_pages(spark, sf_dir)).where("not placeholder")
+    return edges.groupBy("href").agg(F.count_distinct("page_id").alias("pages"), F.count("*").alias("links"))
+
+
+def page_site_limit(spark, sf_dir):
+    """The first three pages of each host by url."""
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.host_of(F.col("url")).alias("host"))
+    return crawl.page_limit(rows, "host", "url", 3).select("host", "page_id")
+
+
+def site_prefix(spark, sf_dir):
+    """Each host's most frequent first path segment and its share of pages."""
+    rows = _pages(spark, sf_dir).select(U.host_of(F.col("url")).alias("host"), F.regexp_extract(U.path_of(F.col("url")), "^/([^/?]+)", 1).alias("segment"))
+    n = rows.groupBy("host", "segment").agg(F.count("*").alias("n"))
+    best = n.groupBy("host").agg(F.max(F.struct("n", "segment")).alias("x"), F.sum("n").alias("total"))
+    return best.select("host", F.col("x.segment").alias("segment"), F.col("x.n").alias("n"), (F.col("x.n") * 100 >= F.col("total") * 60).alias("is_prefix"))
+
+
+def section_bulk(spark, sf_dir):
+    """Pages below each first and second section path."""
+    segs = F.filter(F.split(F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", ""), "/"), lambda s: s != "")
+    rows = _pages(spark, sf_dir).select(segs.alias("segs")).where("size(segs) > 1")
+    return rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("segs") - 1), lambda i: F.array_join(F.slice("segs", F.lit(1), i), "/"))).alias("section")).groupBy("section").agg(F.count("*").alias("pages"))
+
+
+def market_of_page(spark, sf_dir):
+    """The market of each page by longest prefix."""
+    registry = spark.createDataFrame(MARKETS, "market string, domain string, prefix string")
+    return matching.longest_prefix(_pages(spark, sf_dir), registry)
+
+
+def robots_allowed(spark, sf_dir):
+    """Whether robots rules allow each page."""
+    paths = _pages(spark, sf_dir).select("page_id", U.path_of(F.col("url")).alias("path"))
+    return matching.robots_allows(paths, ROBOTS).select("page_id", "allowed")
+
+
+def page_suggestions(spark, sf_dir):
+    """Pages of the sitemap whose address covers the last segment of each page's address best."""
+    entries = matching.sitemap(_pages(spark, sf_dir))
+    texts = entries.select(F.col("path").alias("text_id"), F.coalesce(F.try_element_at("segs", F.lit(-1)), F.lit("")).alias("text"))
+    return matching.suggest(texts, entries)
+
+
+def page_findings(spark, sf_dir):
+    """Findings of all page rules by field and note."""
+    return rules.audit(_pages(spark, sf_dir)).groupBy("category", "severity", "field", "note").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
+def page_tally(spark, sf_dir):
+    """Breaks and checks of each page, and the severity of its worst."""
+    t = rules.tally(rules.audit(_pages(spark, sf_dir)), "page_id")
+    return t.withColumn("worst", F.when(F.col("breaks") > 0, "break").otherwise("check"))
+
+
+def page_english_score(spark, sf_dir):
+    """Distinct English function words in each page's visible text."""
+    return _pages(spark, sf_dir).select("page_id", T.english_score(T.strip_tags(F.col("html"))).cast("bigint").alias("score"))
+
+
+MARKETS = [("com-default", "example.com", ""), ("com-en", "example.com", "/en"), ("com-fr", "example.com", "/fr"), ("net-de", "example.net", "/de"), ("org", "example.org", "")]
+ROBOTS = [(False, "/en/"), (True, "/en/7"), (False, "/fr/*9$"), (True, "/de/"), (False, "/de/"), (False, "/*?page=")]
+
+QUERIES = {f.__name__: f for f in (page_host_rollup, page_path_collisions, page_titles, page_language_mismatch, page_link_fanin, page_site_limit, site_prefix, section_bulk, market_of_page, robots_allowed, page_suggestions, page_findings, page_tally, page_english_score)}
+_VALUES = ", ".join(f"('{m}', '{d}', '{p}')" for m, d, p in MARKETS)
+ORACLE_SQL = {
+    "page_host_rollup": f"SELECT host, count(*) AS pages, count(DISTINCT path) AS paths, CAST(sum(len(regexp_extract_all(html, '(?i)<a[\\s>]'))) AS BIGINT) AS anchors FROM {_PATH} GROUP BY host",
+    "page_path_collisions": f"SELECT path, count(*) AS n, min(url) AS url FROM {_PATH} GROUP BY path HAVING count(*) > 1",
+    "page_titles": r"SELECT page_id, CAST(length(t) AS BIGINT) AS title_chars, t <> trim(t) AS stray, CAST(len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS BIGINT) AS h1 FROM (SELECT *, regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) AS t FROM pages)",
+    "page_language_mismatch": f"""SELECT * FROM (SELECT page_id, lower(substr(regexp_extract(html, '(?i)<html[^>]*\\slang="([^"]*)"', 1), 1, 2)) AS lang, regexp_extract(path, '^/([a-z][a-z])(/|$)', 1) AS path_lang FROM {_PATH}) WHERE lang <> '' AND path_lang <> '' AND lang <> path_lang""",
+    "page_link_fanin": r"""SELECT href, count(DISTINCT page_id) AS pages, count(*) AS links FROM (SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\b[^>]*>')) AS a FROM pages)) WHERE href <> '' AND href NOT LIKE '#%' GROUP BY href""",
+    "page_site_limit": f"SELECT host, page_id FROM (SELECT host, page_id, row_number() OVER (PARTITION BY host ORDER BY url) AS n FROM {_PATH}) WHERE n <= 3",
+    "site_prefix": f"""WITH n AS (SELECT host, regexp_extract(path, '^/([^/?]+)', 1) AS segment, count(*) AS n FROM {_PATH} GROUP BY ALL)
+SELECT host, segment, n, n * 100 >= total * 60 AS is_prefix FROM (SELECT *, sum(n) OVER (PARTITION BY host) AS total, row_number() OVER (PARTITION BY host ORDER BY n DESC, segment DESC) AS r FROM n) WHERE r = 1""",
+    "section_bulk": f"""SELECT section, count(*) AS pages FROM (SELECT array_to_string(segs[1:i], '/') AS section FROM (SELECT segs, unnest(range(1, len(segs))) AS i FROM (SELECT list_filter(string_split(regexp_replace(path, '\\?.*$', ''), '/'), lambda s: s <> '') AS segs FROM {_PATH}))) GROUP BY section""",
+    "market_of_page": f"""WITH r(market, domain, prefix) AS (VALUES {_VALUES})
+SELECT page_id, max_by(market, length(prefix) * 1000 + length(domain)) AS market FROM {_PATH} p LEFT JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND (prefix = '' OR path = prefix OR starts_with(path, prefix || '/') OR starts_with(path, prefix || '.')) GROUP BY page_id""",
+    "robots_allowed": f"""WITH r(allow, n, rx) AS (VALUES (false, 4, '^/en/'), (true, 5, '^/en/7'), (false, 7, '^/fr/.*9$'), (true, 4, '^/de/'), (false, 4, '^/de/'), (false, 8, '^/.*\\?page='))
+SELECT page_id, coalesce(max_by(allow, n * 2 + CAST(allow AS INT)), true) AS allowed FROM {_PATH} p LEFT JOIN r ON regexp_matches(path, rx) GROUP BY page_id""",
+}
