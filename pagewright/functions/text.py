@@ -42,7 +42,7 @@ def english_score(text: Column) -> Column:
 
 def sentences(text: Column, least: int = 25) -> Column:
     """Sentences of at least ``least`` characters, parted after . ! ? before white space."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])(?=\s)"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])(?=\s)"), lambda x: F.trim(x))
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: F.length(p) >= least)
 
 
@@ -58,7 +58,7 @@ def occurrences(haystack: Column, needle: Column) -> Column:
 
 def same_list(a: Column, b: Column) -> Column:
     """Equality of comma lists as bags of trimmed non-empty entries."""
-    bag = lambda c: F.array_sort(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != ""))
+    bag = lambda c: F.array_sort(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return bag(a) == bag(b)
 
 

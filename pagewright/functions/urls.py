@@ -6,14 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# fixed values: endings and names of pages that stand for their folder or bare address
+PAGE_ENDING = r"(?i)\.(aspx|html?|jsp)(?=$|\?)"
+INDEX_PAGE = r"(?i)/(index|default)(?=$|\?)"
+
+
 def path_of(url: Column) -> Column:
     """Path for comparison: without fragment, scheme, host, page endings, index pages and trailing slashes; lower case, query kept."""
     u = F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"#.*$", "")
     u = F.regexp_replace(u, r"^(?i:https?://)", "")
     u = F.regexp_replace(u, r"^[^/.]*\.[^/]*$", "/")
     u = F.regexp_replace(u, r"^[^/.]*\.[^/]*/", "/")
-    u = F.regexp_replace(u, r"(?i)\.(aspx|html?|jsp)(?=$|\?)", "")
-    u = F.regexp_replace(u, r"(?i)/(index|default)(?=$|\?)", "")
+    u = F.regexp_replace(u, PAGE_ENDING, "")
+    u = F.regexp_replace(u, INDEX_PAGE, "")
     u = F.regexp_replace(u, "/+$", "")
     return F.lower(F.when(u == "", "/").otherwise(u))
 

@@ -43,7 +43,7 @@ def split_cells(texts: pd.Series) -> pd.Series:
 def rows(briefs: DataFrame) -> DataFrame:
     """(brief_id, row, cells, section): rows from 1; a row of one short cell names the section from it on."""
     r = briefs.select("brief_id", F.posexplode(split_cells("text")).alias("row", "cells")).withColumn("row", F.col("row") + 1)
-    filled = F.filter(F.transform("cells", F.trim), lambda c: c != "")
+    filled = F.filter(F.transform("cells", lambda x: F.trim(x)), lambda c: c != "")
     name = F.when((F.size(filled) == 1) & (F.length(filled[0]) <= 60), filled[0])
     return r.withColumn("section", F.last(name, True).over(W.partitionBy("brief_id").orderBy("row").rowsBetween(W.unboundedPreceding, 0)))
 

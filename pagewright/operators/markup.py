@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 
 
+# fixed values: attributes and labels of anchors to # that work as they are
+SAFE_ATTRIBUTES = r"(?i)\b(aria-expanded|aria-controls|data-toggle|data-bs-toggle|role\s*=\s*[\"']?(button|tab))"
+SAFE_LABELS = "back to top|top of page|skip to|scroll to top"
+
+
 def first_text(html: Column, tag: str) -> Column:
     """Visible text of the first ``tag``, null where there is none."""
     at = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
@@ -40,7 +45,7 @@ def links(pages: DataFrame) -> DataFrame:
     """(page_id, ord, href, text, placeholder): in-page anchors are left out; a # that toggles or scrolls is no placeholder."""
     rows = anchors(pages)
     empty = (F.coalesce("href", F.lit("")) == "") | (F.col("href") == "#")
-    safe = F.col("tag").rlike(r"(?i)\b(aria-expanded|aria-controls|data-toggle|data-bs-toggle|role\s*=\s*[\"']?(button|tab))") | F.lower("text").rlike("back to top|top of page|skip to|scroll to top")
+    safe = F.col("tag").rlike(SAFE_ATTRIBUTES) | F.lower("text").rlike(SAFE_LABELS)
     rows = rows.where(~(empty & safe) & (empty | ~F.coalesce("href", F.lit("")).startswith("#")))
     return rows.select("page_id", "ord", "href", "text", empty.alias("placeholder"))
 

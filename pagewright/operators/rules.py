@@ -23,7 +23,7 @@ def title_findings(pages: DataFrame) -> DataFrame:
     """No title; stray spaces; over 60 characters; a segment that repeats."""
     raw = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)
     rows = pages.select("page_id", "html").withColumn("has", F.col("html").rlike(r"(?is)<title\b[^>]*>.*?</title>")).withColumn("raw", T.decode_entities(raw)).withColumn("title", T.normalise(raw)).drop("html")
-    parts = F.transform(F.split(F.lower("title"), r"\s+[-–|]\s+"), F.trim)
+    parts = F.transform(F.split(F.lower("title"), r"\s+[-–|]\s+"), lambda x: F.trim(x))
     return union([
         finding(rows.where(~F.col("has") | (F.col("title") == "")), "metadata", "break", "Title", None, "no title"),
         finding(rows.where(F.col("has") & (F.col("raw") != F.trim("raw"))), "metadata", "check", "Title", F.col("raw"), "leading or trailing spaces"),
