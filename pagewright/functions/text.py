@@ -98,3 +98,76 @@ def escape_html(text: Column) -> Column:
 def label_words(text: Column) -> Column:
     """A label in lower case, everything but letters and digits as single spaces, padded."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))
+
+
+def _folded() -> tuple[str, str]:
+    """Letters with marks and the letters that stay without them, by Unicode decomposition."""
+    import unicodedata
+
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    bare = [(c, "".join(x for x in d if not unicodedata.combining(x))) for c, d in pairs if c != d]
+    bare = [(c, b) for c, b in bare if len(b) == 1]
+    return "".join(c for c, _ in bare), "".join(b for _, b in bare)
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents; null as empty."""
+    return F.lower(F.translate(F.regexp_replace(F.coalesce(text, F.lit("")), "[̀-ͯ]", ""), *_folded()))
+
+
+def title_parts(title: Column) -> Column:
+    """Segments of a title between spaced bars, hyphens or dashes, in lower case."""
+    parts = F.transform(F.split(F.lower(normalise(title)), r"\s+[|\-–—]\s+"), lambda x: F.trim(x))
+    return F.filter(parts, lambda x: x != "")
+
+
+def duplicate_part(title: Column) -> Column:
+    """A segment that repeats, or one after the first that another after the first contains as words; null without."""
+    parts = title_parts(title)
+    tail = F.slice(parts, 2, 1 << 20)
+    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
+    twice = F.filter(parts, lambda x: F.size(F.filter(parts, lambda y: y == x)) > 1)
+    within = F.filter(tail, lambda x: F.exists(tail, lambda y: (x != y) & F.contains(padded(y), padded(x))))
+    return F.coalesce(F.try_element_at(twice, F.lit(1)), F.try_element_at(within, F.lit(1)))
+
+
+def keywords_of(text: Column, stop: tuple[str, ...]) -> Column:
+    """Words of over two characters that aren't stop words, one final s off."""
+    words = F.split(F.lower(F.regexp_replace(text, "[™®©]", "")), "[^a-z0-9à-ÿ]+")
+    return F.array_distinct(F.transform(F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*stop)), lambda w: F.regexp_replace(w, "s$", "")))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Share of words of over two characters of ``a`` that ``b`` has too, by the longer of both; repeats in ``a`` count."""
+    words = lambda c: F.filter(F.split(F.lower(normalise(c)), "[^a-z0-9À-ɏ]+"), lambda w: F.length(w) > 2)
+    x, y = words(a), words(b)
+    most = F.greatest(F.size(x), F.size(y))
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.filter(x, lambda w: F.array_contains(y, w))) / most).otherwise(F.lit(0.0))
+
+
+def match_case(found: Column, fix: Column) -> Column:
+    """``fix`` in the case of ``found``: all capitals, an initial capital, or as it is."""
+    first = F.substring(found, 1, 1)
+    return F.when(found == F.upper(found), F.upper(fix)).when(first == F.upper(first), F.concat(F.upper(F.substring(fix, 1, 1)), F.substr(fix, F.lit(2)))).otherwise(fix)
+
+
+def humanise(slug: Column) -> Column:
+    """A slug as a label: an initial capital, words of up to three letters in capitals."""
+    words = F.filter(F.split(slug, "[-_]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w, i: F.when(F.length(w) <= 3, F.upper(w)).when(i == 0, F.initcap(w)).otherwise(w)), " ")
+
+
+def quoted_spans(text: Column) -> Column:
+    """Texts of 3 to 300 characters in double quotes, straight or curly."""
+    return F.regexp_extract_all(text, F.lit(r"[\"“]([^\"“”\n]{3,300})[\"”]"), F.lit(1))
+
+
+def open_items(text: Column) -> Column:
+    """Markers of unfinished copy with up to 40 characters on each side."""
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(.{0,40}\b(?:TBD|TBC|to be (?:decided|confirmed|defined))\b.{0,40})"), F.lit(1)), lambda x: F.trim(x))
+
+
+def paste_damage(text: Column) -> Column:
+    """What pasting did to a text: typed bullets, office markup, both kinds of quotes."""
+    marks = [F.when(text.rlike(r"(?m)^\s*[•·▪●]"), "typed bullets"), F.when(text.rlike(r"(?i)mso-|<o:p>"), "office markup"), F.when(text.rlike("[“”]") & F.contains(text, F.lit('"')), "mixed quotes")]
+    return F.filter(F.array(*marks), lambda x: x.isNotNull())

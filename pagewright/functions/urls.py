@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
+from functools import reduce
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 # fixed values: endings and names of pages that stand for their folder or bare address
@@ -61,3 +67,57 @@ def split_urls(text: Column) -> Column:
     found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"<>]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:]+$", ""))
     none = F.array().cast("array<string>")
     return F.aggregate(found, none, lambda acc, u: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(u)), acc).otherwise(F.array_append(acc, u)))
+
+
+@F.pandas_udf(StringType())
+def absolute(href: pd.Series, base: pd.Series) -> pd.Series:
+    """The http(s) address a link leads to, without fragment; null for in-page, mail, phone, script and data links."""
+
+    def one(h, b):
+        h = (h or "").strip().replace("&amp;", "&")
+        if not h or h.lower().startswith(("#", "mailto:", "tel:", "javascript:", "data:")):
+            return None
+        try:
+            at = urljoin(b or "", h).split("#")[0]
+            return at if urlsplit(at).hostname and at.lower().startswith(("http://", "https://")) else None
+        except ValueError:
+            return None
+
+    return pd.Series([one(h, b) for h, b in zip(href, base, strict=True)], dtype=object)
+
+
+def private_address(address: Column) -> Column:
+    """Whether an IP address is no public one: private, local, reserved, multicast, mapped or translated; texts that are no address count."""
+
+    @F.pandas_udf("boolean")
+    def judge(values: pd.Series) -> pd.Series:
+        def one(v):
+            try:
+                ip = ipaddress.ip_address((v or "").strip().strip("[]"))
+            except ValueError:
+                return True
+            inner = getattr(ip, "ipv4_mapped", None) or (ipaddress.ip_address(int(ip) & 0xFFFFFFFF) if ip.version == 6 and ip in ipaddress.ip_network("64:ff9b::/96") else None)
+            ip = inner or ip
+            return not ip.is_global or ip.is_multicast
+
+        return values.map(one)
+
+    return judge(address)
+
+
+def fetchable(url: Column, domains: tuple[str, ...]) -> Column:
+    """Why an address must not be fetched: scheme, port, credentials, bare IP or foreign host; null if it may."""
+    rest = F.regexp_replace(url, r"^(?i:https?://)", "")
+    authority = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    host, port = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")), F.regexp_extract(authority, r":(\d+)$", 1)
+    listed = [(host == d) | host.endswith(f".{d}") for d in domains]
+    known = reduce(lambda a, b: a | b, listed, F.lit(False))
+    return (
+        F.when(url.isNull() | ~url.rlike(r"^(?i:https?://)"), "scheme").when(F.contains(authority, F.lit("@")), "credentials")
+        .when((port != "") & ~port.isin("80", "443"), "port").when(host.rlike(r"^[\d.]+$|^\["), "address").when(~known, "host")
+    )
+
+
+def looks_like_login(url: Column) -> Column:
+    """Whether an address is that of a sign-in page."""
+    return F.coalesce(url.rlike(r"(?i)(^|[/.?=_-])(login|logon|signin|sign-in|sso|adfs|okta|saml|oauth2?|authorize)([/.?=_-]|$)"), F.lit(False))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 def cells_of(text: str | None) -> list[list[str]]:
@@ -75,3 +78,181 @@ def row_quality(values: DataFrame) -> DataFrame:
     r = per.join(most, "brief_id").where("markets >= 2")
     kinds = F.filter(F.array(F.when(F.col("n") < F.col("markets"), "ragged"), F.when(F.col("u"), "untranslated"), F.when(F.col("numbers") > 1, "number-mismatch")), lambda k: k.isNotNull())
     return r.select("brief_id", "row", F.explode(kinds).alias("kind"))
+
+
+# fixed values: labels that name a content field, and words of headers that name a column of copy
+FIELD_LABELS = ("headline", "subheading", "title", "body", "meta title", "meta description", "meta keywords", "page name", "url path")
+HEADER_WORDS = "(?i)header|title|headline|\\btext\\b|paragraph|description|content|copy"
+
+
+def is_identifier(cell):
+    """A short label: up to 30 characters and four words, no end of a sentence."""
+    return (cell != "") & (F.length(cell) <= 30) & (F.size(F.split(cell, r"\s+")) <= 4) & ~cell.rlike(r"[.!?](\s|$)")
+
+
+def master_column(headers: DataFrame, brief_rows: DataFrame) -> DataFrame:
+    """(brief_id, master): the column of the English text: one that says so, else the first named one no market claims; null without."""
+    h = brief_rows.join(headers.select("brief_id", "row", "columns"), ["brief_id", "row"])
+    claimed = F.transform("columns", lambda c: c["column"])
+    free = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), F.trim(c).alias("c"))), lambda x: (x["i"] > 0) & ~F.array_contains(claimed, x["i"]))
+    said = F.filter(free, lambda x: x["c"].rlike("(?i)english|master"))
+    named = F.filter(free, lambda x: x["c"] != "")
+    return h.select("brief_id", F.coalesce(F.try_element_at(said, F.lit(1))["i"], F.try_element_at(named, F.lit(1))["i"]).alias("master"))
+
+
+def target_market(brief_rows: DataFrame, headers: DataFrame, markets: list[str]) -> DataFrame:
+    """(brief_id, market): the first market named above the header row, or anywhere in briefs without one."""
+    named = brief_rows.join(headers.select("brief_id", F.col("row").alias("head")), "brief_id", "left").where("head is null or row < head")
+    hits = named.select("brief_id", "row", F.posexplode(F.transform("cells", lambda c: F.lower(F.trim(c)))).alias("col", "market")).where(F.col("market").isin(*[m.lower() for m in markets]))
+    return hits.groupBy("brief_id").agg(F.min_by("market", F.struct("row", "col")).alias("market"))
+
+
+def orientation(brief_rows: DataFrame) -> DataFrame:
+    """(brief_id, orientation, header): fields-by-market, markets-by-field with its header row, or unknown.
+
+    The first takes two rows of three cells or more that open with a field label. The second takes, below the row with
+    most header words, four of five rows that open with a distinct short label and a column of prose on three of five.
+    """
+    t = brief_rows.where(F.size("cells") >= 3).withColumn("first", F.trim(F.col("cells")[0]))
+    label = F.regexp_replace(F.regexp_replace(F.lower("first"), r"\s*\d+\s*$", ""), r"\s*/.*$", "")
+    words = F.size(F.filter(F.slice("cells", 2, 1 << 20), lambda c: c.rlike(HEADER_WORDS)))
+    t = t.withColumn("label", label.isin(*FIELD_LABELS) | F.col("first").rlike(r"(?i)^cta\b")).withColumn("words", words)
+    per = t.groupBy("brief_id").agg(F.count("*").alias("tabular"), F.count_if("label").alias("labels"), F.max_by(F.struct("row", F.size("cells").alias("width")), F.struct("words", -F.col("row"))).alias("h"))
+    data = t.join(per.select("brief_id", "h"), "brief_id").where((F.col("row") > F.col("h.row")) & (F.size("cells") >= F.col("h.width")))
+    stats = data.groupBy("brief_id").agg(F.count("*").alias("n"), F.count_if(is_identifier(F.col("first"))).alias("ids"), F.count_distinct(F.when(is_identifier(F.col("first")), F.lower("first"))).alias("distinct"))
+    prose = data.select("brief_id", F.posexplode(F.slice("cells", F.lit(2), F.col("h.width") - 1)).alias("col", "cell")).groupBy("brief_id", "col").agg((F.count_if(F.length(F.trim("cell")) >= 40) >= F.ceil(F.count("*") * 0.6)).alias("prose"))
+    prose = prose.groupBy("brief_id").agg(F.bool_or("prose").alias("prose"))
+    fits = (F.col("n") >= 2) & (F.col("ids") >= 0.8 * F.col("n")) & (F.col("distinct") >= 0.8 * F.col("n")) & F.col("prose")
+    kind = F.when(F.coalesce("tabular", F.lit(0)) < 2, "unknown").when(F.col("labels") >= 2, "fields-by-market").when(F.coalesce(fits, F.lit(False)), "markets-by-field").otherwise("unknown")
+    every = brief_rows.select("brief_id").distinct().join(per, "brief_id", "left").join(stats, "brief_id", "left").join(prose, "brief_id", "left")
+    out = every.select("brief_id", kind.alias("orientation"), "h")
+    return out.select("brief_id", "orientation", F.when(F.col("orientation") == "markets-by-field", F.col("h.row")).alias("header"))
+
+
+def unpivot(brief_rows: DataFrame, shapes: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """(brief_id, market, role, header, part, text): markets-by-field sheets as rows, cells cut at blank lines.
+
+    ``roles`` maps patterns of headers to section or body; columns that match none have a null role and stay listed.
+    """
+    sheet = shapes.where("header is not null").select("brief_id", "header")
+    heads = brief_rows.join(sheet, "brief_id").where("row = header").select("brief_id", "header", F.col("cells").alias("names"))
+    data = brief_rows.join(heads, "brief_id").where("row > header and size(cells) >= size(names)")
+    cells = data.select("brief_id", "row", F.trim(F.col("cells")[0]).alias("market"), F.posexplode(F.arrays_zip(F.slice("names", 2, 1 << 20).alias("name"), F.slice("cells", 2, 1 << 20).alias("cell"))).alias("col", "x")).where("x.name is not null")
+    role = F.coalesce(*[F.when(F.col("x.name").rlike(rx), F.lit(r)) for rx, r in roles.items()], F.lit(None).cast("string"))
+    parts = cells.select("brief_id", "row", "market", F.col("x.name").alias("header"), role.alias("role"), F.posexplode(F.split("x.cell", r"\n\s*\n")).alias("part", "text"))
+    return parts.select("brief_id", "market", "role", "header", "part", F.trim("text").alias("text")).where("text <> ''")
+
+
+def front_matter(brief_rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """(brief_id, field, ord, value): the leading run of label rows, by tab or colon; rows of a bullet continue the last label.
+
+    ``fields`` maps labels in lower case to field names, halves of a slashed label count after the whole. Copy ends it: the
+    first row that neither opens with a label nor continues one.
+    """
+    one = F.array_join(F.filter("cells", lambda c: F.trim(c) != ""), "\t")
+    r = brief_rows.withColumn("line", one)
+    cut = F.regexp_extract("line", r"(?s)^([^\t:]{1,40})[\t:]\s*(.*)$", 1)
+    label = F.lower(F.trim(F.coalesce(F.nullif(cut, F.lit("")), "line")))
+    names = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), F.lit(v))])
+    half = lambda i: F.try_element_at(names, F.coalesce(F.trim(F.try_element_at(F.split("label", "/"), F.lit(i))), F.lit("")))
+    r = r.withColumn("label", label).withColumn("field", F.coalesce(F.try_element_at(names, F.col("label")), half(1), half(2)))
+    bullet = F.col("line").rlike(r"^\s*[●•·*-]\s*\t?")
+    w = W.partitionBy("brief_id").orderBy("row")
+    r = r.withColumn("copy", (F.col("field").isNull() & ~bullet) | F.col("line").rlike(r"\[\d+\.\d+\]"))
+    r = r.withColumn("past", F.max(F.col("copy").cast("int")).over(w)).where("past = 0")
+    r = r.withColumn("field", F.last("field", True).over(w)).where("field is not null")
+    value = F.trim(F.regexp_replace(F.regexp_replace("line", r"(?s)^[^\t:●•]{1,40}[\t:]\s*", ""), r"^[●•·*-]\s*\t?", ""))
+    return r.select("brief_id", "field", "row", value.alias("value")).where("value <> ''").withColumn("ord", F.row_number().over(W.partitionBy("brief_id", "field").orderBy("row"))).drop("row")
+
+
+def paired(brief_values: DataFrame, label_field: str = "cta", link_field: str = "cta link") -> DataFrame:
+    """(brief_id, n, label, href): the n-th label with the n-th link; a link that is no address is null."""
+    w = W.partitionBy("brief_id").orderBy("row")
+    side = lambda f, name: brief_values.where(F.lower("label") == f).select("brief_id", F.row_number().over(w).alias("n"), F.col("value").alias(name))
+    both = side(label_field, "text").join(side(link_field, "href"), ["brief_id", "n"], "left")
+    return both.select("brief_id", "n", F.col("text").alias("label"), F.when(F.col("href").rlike(r"^(?i)(https?://|/)"), F.col("href")).alias("href"))
+
+
+def find_row(queries: DataFrame, values: DataFrame) -> DataFrame:
+    """(query_id, how, row, confidence, others): the row whose English text is a query's.
+
+    Exact if one is equal, ambiguous if several are; else the longest that contains it or lies in it; else the closest by
+    shared words from 0.4 on, with the next three; else none. ``queries`` is (query_id, brief_id, text), ``values``
+    (brief_id, row, english); queries meet the rows of their brief only.
+    """
+    from pagewright.functions import text as T
+
+    q = queries.withColumn("needle", T.strip_tags(F.col("text"))).where("needle <> ''")
+    rows = values.where("english <> ''").select("brief_id", "row", T.normalise(F.col("english")).alias("english"))
+    pairs = q.join(rows, "brief_id")
+    exact = F.col("english") == F.col("needle")
+    within = (F.length("english") > 8) & (F.col("english").contains(F.col("needle")) | F.col("needle").contains(F.col("english")))
+    tier = F.when(exact, 3).when(within, 2).otherwise(1)
+    score = F.when(exact, F.lit(1.0)).when(within, F.lit(0.9)).otherwise(T.overlap(F.col("english"), F.col("needle")))
+    pairs = pairs.withColumn("tier", tier).withColumn("score", score).where("tier > 1 or score >= 0.4")
+    w = W.partitionBy("query_id").orderBy(F.desc("tier"), F.when(F.col("tier") == 2, -F.length("english")).otherwise(0), F.desc("score"), "row")
+    ranked = pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= 4) | (F.col("tier") == 3))
+    per = ranked.groupBy("query_id").agg(F.max("tier").alias("tier"), F.count_if(F.col("tier") == 3).alias("exact"), F.min_by("row", "rank").alias("row"), F.max_by("score", -F.col("rank")).alias("score"), F.array_sort(F.collect_list(F.when((F.col("rank") > 1) & (F.col("tier") == 1), F.struct("rank", "row")))).alias("rest"))
+    how = F.when(F.col("tier").isNull(), "none").when(F.col("exact") > 1, "ambiguous").when(F.col("tier") == 3, "exact").when(F.col("tier") == 2, "contained").otherwise("closest")
+    out = queries.select("query_id").join(per, "query_id", "left").withColumn("how", how)
+    others = F.when(F.col("how") == "closest", F.transform("rest", lambda x: x["row"])).otherwise(F.array().cast("array<int>"))
+    return out.select("query_id", "how", F.when(F.col("how") != "ambiguous", F.col("row")).alias("row"), F.col("score").alias("confidence"), others.alias("others"))
+
+
+@F.pandas_udf(StructType([StructField("html", StringType()), StructField("restored", IntegerType()), StructField("unplaced", IntegerType())]))
+def carry_markup(english: pd.Series, localised: pd.Series) -> pd.DataFrame:
+    """Inline tags of the English markup around the same words of a localised text, each once, the rest escaped."""
+
+    def one(source: str | None, text: str | None) -> tuple[str, int, int]:
+        pieces: list[tuple[str, str | None, str]] = [(text or "", None, "")]
+        placed = missed = 0
+        for m in re.finditer(r"(?is)<(a|strong|b|em|i)\b([^>]*)>(.*?)</\1>", source or ""):
+            words = " ".join(re.sub(r"<[^>]*>", "", html.unescape(m[3])).split())
+            if not words:
+                continue
+            tag = {"b": "strong", "i": "em"}.get(m[1].lower(), m[1].lower())
+            href = re.search(r"(?i)href\s*=\s*[\"']?([^\"'\s>]*)", m[2]) if tag == "a" else None
+            k = next((k for k, (p, t, _) in enumerate(pieces) if t is None and words in p), None)
+            if k is None:
+                missed += 1
+                continue
+            before, after = pieces[k][0].split(words, 1)
+            pieces[k : k + 1] = [(before, None, ""), (words, tag, html.unescape(href[1]) if href else ""), (after, None, "")]
+            placed += 1
+        esc = lambda s: html.escape(s).replace("&#x27;", "'")
+        out = "".join(esc(p) if t is None else f'<a href="{esc(h)}">{esc(p)}</a>' if t == "a" else f"<{t}>{esc(p)}</{t}>" for p, t, h in pieces)
+        return out, placed, missed
+
+    return pd.DataFrame([one(a, b) for a, b in zip(english, localised, strict=True)], columns=["html", "restored", "unplaced"])
+
+
+def platform_vote(urls: DataFrame, migrated: tuple[str, ...], markers: tuple[str, ...], old: str = "old", new: str = "new") -> DataFrame:
+    """(brief_id, platform): the platform all hosts of a brief agree on, Mixed where they don't; briefs without urls have no row.
+
+    An address with a marker is on the old platform; a host that ends in a migrated one is on the new; others on the old.
+    """
+    from pagewright.functions import urls as U
+
+    host = U.host_of(F.col("url"))
+    marked = F.coalesce(*[F.when(F.lower("url").contains(m.lower()), True) for m in markers], F.lit(False))
+    moved = F.coalesce(*[F.when(host.endswith(m.lower()), True) for m in migrated], F.lit(False))
+    votes = urls.select("brief_id", F.when(marked, old).when(moved, new).otherwise(old).alias("v"))
+    return votes.groupBy("brief_id").agg(F.when(F.count_distinct("v") > 1, "Mixed").otherwise(F.min("v")).alias("platform"))
+
+
+def needs(texts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
+    """(text_id, have, missing): needs of a text, each met by any of its patterns, in the order of ``rules`` (need, question, pattern)."""
+    met: dict[str, list[str]] = {}
+    for need, _, pattern in rules:
+        met.setdefault(need, []).append(pattern)
+    flags = F.array(*[F.struct(F.lit(n).alias("need"), F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)).alias("met")) for n, ps in met.items()])
+    pick = lambda want: F.transform(F.filter("flags", lambda x: x["met"] == F.lit(want)), lambda x: x["need"])
+    return texts.select("text_id", flags.alias("flags")).select("text_id", pick(True).alias("have"), pick(False).alias("missing"))
+
+
+def signals(texts: DataFrame) -> DataFrame:
+    """(text_id, long_paragraphs, accented, urls, tabular_rows, has_table): structural signs of a brief."""
+    c, t = F.col, F.coalesce("text", F.lit(""))
+    paras = F.filter(F.split(t, r"\n"), lambda p: F.length(F.trim(p)) >= 200)
+    tab = F.filter(F.split(t, r"\n"), lambda p: F.size(F.split(p, "\t")) >= 3)
+    return texts.select("text_id", (F.size(paras) >= 3).alias("long_paragraphs"), (F.regexp_count(t, F.lit("[À-ÖØ-öø-ÿ]")) >= 8).alias("accented"), F.regexp_count(t, F.lit(r"https?://")).alias("urls"), F.size(tab).alias("tabular_rows")).withColumn("has_table", c("tabular_rows") >= 3)

@@ -56,9 +56,79 @@ def broken_links(edges: DataFrame, statuses: DataFrame, shown: int = 3) -> DataF
     return firsts.groupBy("dst", "verdict").agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("n") <= shown, F.col("page_id")))), ",").alias("examples"))
 
 
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """(value) lines of CSV: every cell quoted, formulas defused, a carriage return before each line's end."""
+    return rows.select(F.concat(F.concat_ws(",", *[T.csv_cell(F.col(f"`{c}`")) for c in rows.columns]), F.lit("\r")).alias("value"))
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with every cell quoted and formulas defused, a header in each part."""
-    line = F.concat_ws(",", *[T.csv_cell(F.col(f"`{c}`")) for c in rows.columns])
-    head = ",".join(f'"{c}"' for c in rows.columns)
-    rows.select(line.alias("value")).write.option("lineSep", "\n").option("header", False).text(path)
-    rows.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(path + "-header")
+    """CSV parts of ``csv_lines``, each with a byte order mark and the header, written by the tasks that hold the rows."""
+    head = "\ufeff" + ",".join('"' + c.replace('"', '""') + '"' for c in rows.columns) + "\r"
+
+    def headed(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([head], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    csv_lines(rows).mapInArrow(headed, "value string").write.text(path)
+
+
+def sitemap_walk(files: DataFrame, roots: list[str], depth: int = 2, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """((url, level), (partial)): pages reached from ``roots`` over ``files`` (file, url, is_index), an index at most ``depth`` deep.
+
+    Each level is one equi-join on the files named so far; a page counts at its first level. Over ``most`` pages the
+    walk keeps the first by level and address, and says that it is partial.
+    """
+    spark = files.sparkSession
+    now = spark.createDataFrame([(r,) for r in roots], "file string").distinct()
+    seen, pages = now, None
+    for level in range(depth + 1):
+        listed = files.join(now, "file")
+        found = listed.where("not is_index").select("url", F.lit(level).alias("level"))
+        pages = found if pages is None else pages.union(found)
+        now = listed.where("is_index").select(F.col("url").alias("file")).distinct().join(seen, "file", "left_anti")
+        seen = seen.union(now)
+    once = pages.groupBy("url").agg(F.min("level").alias("level"))
+    return once.orderBy("level", "url").limit(most), once.agg((F.count("*") > most).alias("partial"))
+
+
+def discover(urls: DataFrame, host: str, prefix: str, allowed: DataFrame) -> DataFrame:
+    """(url, reason): why a listed address is left out: host, path or robots; null where it is crawled. ``allowed`` is (url, allowed)."""
+    from pagewright.functions import urls as U
+
+    r = urls.select("url").distinct().join(allowed, "url", "left")
+    path = F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "")
+    under = F.lit(True) if not prefix else U.under_path(path, F.lit(prefix))
+    return r.select("url", F.when(U.host_of(F.col("url")) != host, "host").when(~under, "path").when(~F.coalesce("allowed", F.lit(True)), "robots").alias("reason"))
+
+
+def work(listed: DataFrame, sites: DataFrame, limit: int = 50) -> DataFrame:
+    """(site, url, via): addresses of a list first, then each site's pages up to ``limit``, none that the list has."""
+    named = listed.select("site", "url", F.lit("list").alias("via"))
+    rest = page_limit(sites.join(listed.select("url"), "url", "left_anti"), "site", "ord", limit)
+    return named.union(rest.select("site", "url", F.lit("sitemap").alias("via")))
+
+
+def average_runs(runs: DataFrame) -> DataFrame:
+    """(url, ms, ttfb_ms, runs) of repeated fetches: means over those that answered, rounded."""
+    mean = lambda c: F.floor(F.avg(c) + 0.5).cast("int").alias(c)
+    return runs.where("verdict = 'ok'").groupBy("url").agg(mean("ms"), mean("ttfb_ms"), F.count("*").alias("runs"))
+
+
+def rows_of(findings: DataFrame, fetches: DataFrame, titles: DataFrame) -> DataFrame:
+    """One wide row a page: verdict, times, breaks and checks, the worst state of its titles, and the fields that broke."""
+    per = findings.groupBy("page_id").agg(F.count_if(F.col("severity") != "check").alias("breaks"), F.count_if(F.col("severity") == "check").alias("checks"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("severity") != "check", F.col("field")))), " | ").alias("fields"))
+    order = F.when(F.col("state") == "red", 3).when(F.col("state") == "amber", 2).otherwise(1)
+    worst = titles.groupBy("page_id").agg(F.max_by("state", order).alias("title_format"))
+    out = fetches.join(per, "page_id", "left").join(worst, "page_id", "left")
+    return out.na.fill(0, ["breaks", "checks"]).na.fill("", ["fields"])
+
+
+def fetch_error(code):
+    """Verdict of a fetch that got no answer: refused where the address is a private one, else unverified."""
+    return F.when(code == "EPRIVATE", "refused").otherwise("unverified")

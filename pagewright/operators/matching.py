@@ -9,15 +9,26 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 
-# fixed values: words of link texts that name no page
-STOP_WORDS = ("learn", "more", "about", "read", "find", "out", "discover", "explore", "see", "view", "get", "go", "to", "visit", "click", "here", "now", "the", "a", "an", "and", "or", "of", "for", "in", "on", "at", "by", "with", "from", "your", "you", "our", "us", "we", "this", "that", "all", "its", "it", "is", "are", "page", "link", "info", "information", "details")
-
-
-def tokens(col):
-    """Distinct stemmed ASCII words of a text that could name a page."""
-    words = F.filter(F.split(F.lower(col), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+# fixed values: words of link texts that name no page, in six languages
+STOP_WORDS = tuple(dict.fromkeys((
+    "learn more about read find out discover explore see view get go to visit click here now touch option options start started begin continue browse try today "
+    "opzioni inizia opciones comenzar empezar opcoes comecar optionen starten beginnen commencer "
+    "the a an and or of for to in on at by with from your you our us we this that all its it is are corporation page link more info information details "
+    "scopri di piu leggi qui maggiori informazioni il la le lo gli i un una del della dei delle per con su "
+    "saiba mais leia aqui o os as um uma do da dos das para com em leer mas haga clic el los las nuestro nuestra sobre en "
+    "mehr erfahren hier klicken der die das ein eine und fur mit zu uber unsere en savoir plus lire suite ici les des du pour avec sur notre nos").split()))
+# fixed values: sections whose pages are articles about a thing, not the thing
+EDITORIAL = ("news", "news-insights", "press-releases", "press", "stories", "references", "blogs", "blog", "articles", "notizie", "noticias", "noticias-y-referencias", "aktuelles", "actualites", "case-studies")
+#: A section with so many pages is editorial too.
+BULK_SECTION = 40
+
+
+def tokens(col, brand: tuple[str, ...] = ()):
+    """Distinct stemmed words of a text, without accents, that could name a page."""
+    stop = (*STOP_WORDS, *brand)
+    words = F.filter(F.split(F.regexp_replace(T.fold(col), "[™®©]", " "), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*stop))
     stem = lambda w: F.when(w.rlike("^[0-9]+$") | (F.length(w) <= 3), w).when(w.rlike("ies$") & (F.length(w) > 5), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(ss|us|is)$"), w).otherwise(F.regexp_replace(w, "s$", ""))
-    return F.array_distinct(F.filter(F.transform(words, stem), lambda w: ~w.isin(*STOP_WORDS)))
+    return F.array_distinct(F.filter(F.transform(words, stem), lambda w: ~w.isin(*stop)))
 
 
 def sitemap(pages: DataFrame) -> DataFrame:
@@ -72,3 +83,116 @@ def passages(docs: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
     rows = docs.select("doc_id", "text", F.explode(words(F.col("text"))).alias("word")).join(keyed, "word")
     n = T.occurrences(F.col("text"), F.col("passage"))
     return rows.select("item_id", "doc_id", n.alias("n")).where("n > 0").groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+
+
+def language_prefix(pages: DataFrame, share: float = 0.6) -> DataFrame:
+    """(host, prefix): the language segment that three of five pages of a host start with; hosts without one have no row."""
+    rows = pages.select(U.host_of(F.col("url")).alias("host"), F.regexp_extract(U.path_of(F.col("url")), "^/([^/?]+)", 1).alias("prefix"))
+    n = rows.groupBy("host", "prefix").agg(F.count("*").alias("n"))
+    best = n.groupBy("host").agg(F.max_by("prefix", F.struct("n", "prefix")).alias("prefix"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    return best.where(F.col("prefix").rlike("^[a-z]{2}(-[a-z]{2})?$") & (F.col("most") >= share * F.col("total"))).select("host", "prefix")
+
+
+def editorial(entries: DataFrame, bulk: int = BULK_SECTION) -> DataFrame:
+    """``entries`` (path, segs, ...) with ``editorial``: in a section of articles by name, or in one of ``bulk`` pages."""
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.array_join(F.slice(c, F.lit(1), i), "/"))
+    sections = F.when(F.size("segs") > 1, above("segs")).otherwise(F.array().cast("array<string>"))
+    rows = entries.withColumn("__sections", sections)
+    counts = rows.select(F.explode("__sections").alias("section")).groupBy("section").agg(F.count("*").alias("n")).where(F.col("n") >= bulk).select("section")
+    crowded = rows.select("path", F.explode("__sections").alias("section")).join(counts, "section").select("path").distinct().withColumn("crowded", F.lit(True))
+    named = F.arrays_overlap("segs", F.array(*map(F.lit, EDITORIAL)))
+    return rows.join(crowded, "path", "left").withColumn("editorial", named | F.coalesce("crowded", F.lit(False))).drop("crowded", "__sections")
+
+
+def confident(suggestions: DataFrame) -> DataFrame:
+    """(text_id, path, score, confident): the first suggestion; sure from 0.5 on if alone, 0.1 ahead, or the second's parent."""
+    top = suggestions.where("rank = 1").select("text_id", "path", "score")
+    second = suggestions.where("rank = 2").select("text_id", F.col("path").alias("p2"), F.col("score").alias("s2"))
+    sure = (F.col("score") >= 0.5) & (F.col("s2").isNull() | (F.col("score") - F.col("s2") >= 0.1) | F.col("p2").startswith(F.concat("path", F.lit("/"))))
+    return top.join(second, "text_id", "left").select("text_id", "path", "score", F.coalesce(sure, F.lit(False)).alias("confident"))
+
+
+def context_suggest(titles: DataFrame, entries: DataFrame, top: int = 3) -> DataFrame:
+    """(text_id, rank, path, words): pages whose last segment's words are all in a title, the most words first, then the shorter path.
+
+    Titles meet pages by an equi-join on the page's rarest word in name order, and the rest is checked on the pair.
+    """
+    have = titles.select("text_id", tokens(F.col("text")).alias("have"))
+    keyed = entries.where("size(last) > 0").select("path", "last", F.array_max("last").alias("word"))
+    pairs = have.select("text_id", "have", F.explode("have").alias("word")).join(keyed, "word").where(F.size(F.array_except("last", "have")) == 0)
+    w = W.partitionBy("text_id").orderBy(F.desc(F.size("last")), F.length("path"), "path")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("text_id", "rank", "path", F.size("last").alias("words"))
+
+
+def contexts(stream: DataFrame, most: int = 4, untitled: int = 2) -> DataFrame:
+    """(page_id, ord, text, title, body): each link of a stream (page_id, ord, kind, text) with the title above it and the
+    last paragraphs in between, ``most`` of them, ``untitled`` where there is no title; its own text is left out."""
+    w = W.partitionBy("page_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    rows = stream.withColumn("title", F.last(F.when(F.col("kind") == "title", F.col("text")), True).over(w)).withColumn("section", F.count_if(F.col("kind") == "title").over(w))
+    inside = W.partitionBy("page_id", "section").orderBy("ord").rowsBetween(-16, -1)
+    rows = rows.withColumn("before", F.collect_list(F.when(F.col("kind") == "paragraph", F.col("text"))).over(inside))
+    others = F.filter("before", lambda x: x != F.col("text"))
+    keep = F.when(F.col("title").isNull(), untitled).otherwise(most)
+    body = F.slice(others, F.greatest(F.size(others) - keep + 1, F.lit(1)), keep)
+    return rows.where("kind = 'link'").select("page_id", "ord", "text", "title", F.array_join(body, " ").alias("body"))
+
+
+def market_status(pages: DataFrame, registry: DataFrame) -> DataFrame:
+    """(page_id, market, status): found, ambiguous, former or unknown.
+
+    ``registry`` (market, base, domain, prefix, former) is configuration. The longest prefix on the page's domain wins; a
+    domain whose entries are all languages of one base, none of which fits, is ambiguous; a former domain is followed.
+    """
+    rows = pages.select("page_id", U.bare_host(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
+    reg = registry.select("market", "base", "domain", F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("former", F.array().cast("array<string>")).alias("former"))
+    at = rows.join(F.broadcast(reg), F.col("host") == F.col("domain"), "left")
+    under = (F.col("prefix") == "") | U.under_path(F.col("path"), F.col("prefix"))
+    per = at.groupBy("page_id", "host").agg(F.max_by(F.when(under, F.col("market")), F.when(under, F.length("prefix"))).alias("market"), F.count("domain").alias("n"), F.count_distinct("base").alias("bases"))
+    old = reg.select(F.explode("former").alias("f"), "market").groupBy("f").agg(F.min("market").alias("moved"))
+    out = per.join(F.broadcast(old), F.col("host") == F.col("f"), "left")
+    status = F.when(F.col("market").isNotNull(), "found").when((F.col("n") > 1) & (F.col("bases") == 1), "ambiguous").when(F.col("moved").isNotNull(), "former").otherwise("unknown")
+    return out.select("page_id", F.coalesce("market", "moved").alias("market"), status.alias("status"))
+
+
+def claim(wants: DataFrame, links: DataFrame) -> DataFrame:
+    """(page_id, ord, want, href, state): each want of a brief takes one link of the page, none twice.
+
+    The n-th want of a label takes the page's n-th link of that label; wants left over that are addresses take a link of
+    that path no label has claimed. A claimed link to another path than wanted is a wrong target. ``wants`` is (page_id,
+    ord, label, href), ``links`` (page_id, ord, text, href).
+    """
+    nth = lambda *by: F.row_number().over(W.partitionBy("page_id", *by).orderBy("ord"))
+    w = wants.withColumn("key", F.lower(T.normalise(F.col("label")))).withColumn("n", nth("key"))
+    have = links.withColumn("key", F.lower(T.normalise(F.col("text")))).withColumn("n", nth("key")).select("page_id", "key", "n", F.col("ord").alias("link"), F.col("href").alias("found"))
+    first = w.join(have.where("key <> ''"), ["page_id", "key", "n"], "left")
+    free = have.join(first.where("link is not null").select("page_id", "link"), ["page_id", "link"], "left_anti").withColumn("path", U.path_of(F.col("found")))
+    free = free.select("page_id", "path", F.row_number().over(W.partitionBy("page_id", "path").orderBy("link")).alias("m"), F.col("link").alias("link2"), F.col("found").alias("found2"))
+    bare = F.when(F.col("link").isNull(), U.path_of(F.coalesce("href", "label")))
+    rest = first.withColumn("path", bare).withColumn("m", F.when(F.col("path").isNotNull(), F.row_number().over(W.partitionBy("page_id", "path").orderBy("ord"))))
+    done = rest.join(free, ["page_id", "path", "m"], "left").withColumn("got", F.coalesce("found", "found2"))
+    state = F.when(F.col("got").isNull(), "missing").when(F.col("href").isNotNull() & (U.path_of(F.col("href")) != U.path_of(F.col("got"))), "wrong target").otherwise("found")
+    return done.select("page_id", "ord", F.col("label").alias("want"), F.col("got").alias("href"), state.alias("state"))
+
+
+def assets(wants: DataFrame, images: DataFrame) -> DataFrame:
+    """(page_id, want, src): images of a page whose file name is, holds or lies in a wanted asset's name; null where none does."""
+    w = wants.select("page_id", F.col("asset").alias("want"), U.asset_identity(F.col("asset")).alias("wk"))
+    have = images.select("page_id", "src", U.asset_identity(F.col("src")).alias("hk")).where("hk <> ''")
+    fits = (F.col("wk") == F.col("hk")) | F.contains("wk", "hk") | F.contains("hk", "wk")
+    pairs = w.join(have, "page_id", "left")
+    return pairs.groupBy("page_id", "want").agg(F.min(F.when(fits & (F.col("wk") != ""), F.col("src"))).alias("src"))
+
+
+def pick(pages: DataFrame, briefs: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(page_id, brief_id, how): the brief a page belongs to: the only one that declares its address, else the one it covers best.
+
+    ``briefs`` is (brief_id, url), ``coverage`` (page_id, brief_id, found, total). Two equally good briefs are ambiguous.
+    """
+    p = pages.select("page_id", U.host_of(F.col("url")).alias("h"), U.path_of(F.col("url")).alias("p"))
+    b = briefs.where("url is not null").select("brief_id", U.host_of(F.col("url")).alias("h"), U.path_of(F.col("url")).alias("p"))
+    said = p.join(b, ["h", "p"]).groupBy("page_id").agg(F.count("*").alias("n"), F.min("brief_id").alias("said")).where("n = 1").select("page_id", "said")
+    rank = F.rank().over(W.partitionBy("page_id").orderBy(F.desc(F.col("found") / F.col("total")), F.desc("found")))
+    best = coverage.where("total > 0 and found > 0").withColumn("r", rank).where("r = 1").groupBy("page_id").agg(F.count("*").alias("ties"), F.min("brief_id").alias("best"))
+    out = p.select("page_id").join(said, "page_id", "left").join(best, "page_id", "left")
+    how = F.when(F.col("said").isNotNull(), "declared").when(F.col("ties") > 1, "ambiguous").when(F.col("ties") == 1, "coverage").otherwise("none")
+    return out.select("page_id", F.when(how != "ambiguous", F.coalesce("said", "best")).alias("brief_id"), how.alias("how"))
