@@ -245,7 +245,7 @@ def needs(texts: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     met: dict[str, list[str]] = {}
     for need, _, pattern in rules:
         met.setdefault(need, []).append(pattern)
-    flags = F.array(*[F.struct(F.lit(n).alias("need"), F.col("text").rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)).alias("met")) for n, ps in met.items()])
+    flags = F.array(*[F.struct(F.lit(n).alias("need"), F.coalesce("text", F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for p in ps)).alias("met")) for n, ps in met.items()])
     pick = lambda want: F.transform(F.filter("flags", lambda x: x["met"] == F.lit(want)), lambda x: x["need"])
     return texts.select("text_id", flags.alias("flags")).select("text_id", pick(True).alias("have"), pick(False).alias("missing"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.operators import markup
-from pagewright.operators.rules import finding, union
+from pagewright.operators.rules import checks, finding, union
 
 # fixed values: words of titles that are no keywords
 TITLE_STOP_WORDS = ("the", "a", "an", "and", "or", "of", "for", "to", "in", "on", "at", "by", "with", "from", "your", "you", "our", "us", "we", "this", "that", "all", "is", "are", "be", "it", "its", "as", "into", "corporation")
@@ -69,15 +69,15 @@ def head_findings(f: DataFrame) -> DataFrame:
     titled, named = T.keywords_of(F.col("title"), TITLE_STOP_WORDS), T.keywords_of(T.strip_tags(F.col("h1")), TITLE_STOP_WORDS)
     part = f.withColumn("part", T.duplicate_part(F.col("title")))
     apart = (F.size(titled) > 0) & (F.size(named) > 0) & ~F.arrays_overlap(titled, named)
-    return union([
-        finding(f.where((F.col("environment") == "production") & F.lower("robots").contains("noindex")), "metadata", "check", "Robots", F.col("robots"), "production page is kept from search"),
-        finding(part.where("part is not null"), "metadata", "check", "Page title", F.col("part"), "site name doubled or repeated in part"),
-        finding(f.where(F.col("canonical").rlike(r"(?i)\.aspx(?=$|[?#])")), "metadata", "check", "Canonical", F.col("canonical"), "old page ending"),
-        finding(f.where(https(F.col("og_url")) != https(F.col("canonical"))), "metadata", "check", "og:url", F.col("og_url"), "differs from the canonical"),
-        finding(f.where("card = 'summary' and og_image <> ''"), "metadata", "check", "twitter:card", F.col("card"), "share image shown small"),
-        finding(f.where("card_image <> '' and og_image <> '' and card_image <> og_image"), "metadata", "check", "twitter:image", F.col("card_image"), "two share images"),
-        finding(f.where(F.col("h1").rlike(r"(?i)<br\s*/?>")), "metadata", "check", "H1", T.strip_tags(F.col("h1")), "broken over lines"),
-        finding(f.where(apart), "metadata", "check", "H1", T.strip_tags(F.col("h1")), "shares no keyword with the title"),
+    return checks(part, [
+        ((F.col("environment") == "production") & F.lower("robots").contains("noindex"), "metadata", "check", "Robots", F.col("robots"), "production page is kept from search"),
+        ("part is not null", "metadata", "check", "Page title", F.col("part"), "site name doubled or repeated in part"),
+        (F.col("canonical").rlike(r"(?i)\.aspx(?=$|[?#])"), "metadata", "check", "Canonical", F.col("canonical"), "old page ending"),
+        (https(F.col("og_url")) != https(F.col("canonical")), "metadata", "check", "og:url", F.col("og_url"), "differs from the canonical"),
+        ("card = 'summary' and og_image <> ''", "metadata", "check", "twitter:card", F.col("card"), "share image shown small"),
+        ("card_image <> '' and og_image <> '' and card_image <> og_image", "metadata", "check", "twitter:image", F.col("card_image"), "two share images"),
+        (F.col("h1").rlike(r"(?i)<br\s*/?>"), "metadata", "check", "H1", T.strip_tags(F.col("h1")), "broken over lines"),
+        (apart, "metadata", "check", "H1", T.strip_tags(F.col("h1")), "shares no keyword with the title"),
     ])
 
 
@@ -103,16 +103,16 @@ def live_findings(fetches: DataFrame, slow_ms: int = 3000, slow_ttfb_ms: int = 8
     rows = fetches.withColumn("hops", hops).withColumn("final", final)
     place = lambda c: F.concat(U.host_of(c), U.path_of(c))
     chain = F.concat_ws(" -> ", "url", F.array_join(F.transform("redirects", lambda r: r["to"]), " -> "))
-    return union([
-        finding(rows.where(F.col("final").rlike("^(?i)http://")), "structure", "break", "HTTPS", F.col("final"), "served over plain http"),
-        finding(rows.where("not tls.valid"), "structure", "break", "Certificate", F.col("tls.error"), "certificate is not valid"),
-        finding(rows.where(f"tls.valid and tls.days_left < {CERTIFICATE_DAYS}"), "structure", "check", "Certificate", F.col("tls.days_left"), "certificate runs out soon"),
-        finding(rows.where(F.col("hops") > max_redirects), "links", "break", "Redirect chain", chain, "too many redirects"),
-        finding(rows.where(F.col("hops").between(2, max_redirects)), "links", "check", "Redirect chain", chain, "reached through redirects"),
-        finding(rows.where("status <> 200 and status <> 0"), "structure", "break", "Final status", F.col("status"), "not 200"),
-        finding(rows.where(F.col("ms") > slow_ms), "structure", "check", "Load time", F.format_string("%.1f s", F.col("ms") / 1000), "slow"),
-        finding(rows.where(F.col("ttfb_ms") > slow_ttfb_ms), "structure", "check", "First byte", F.format_string("%.1f s", F.col("ttfb_ms") / 1000), "slow first byte"),
-        finding(rows.where(F.col("canonical").isNotNull() & (place(F.col("final")) != place(F.col("canonical"))) & ~F.regexp_replace(F.lower("final"), "^https?://(www\\.)?", "").rlike(r"^preview(-[a-z]+)?\.")), "metadata", "check", "Canonical", F.col("canonical"), "served at another address than its canonical"),
+    return checks(rows, [
+        (F.col("final").rlike("^(?i)http://"), "structure", "break", "HTTPS", F.col("final"), "served over plain http"),
+        ("not tls.valid", "structure", "break", "Certificate", F.col("tls.error"), "certificate is not valid"),
+        (f"tls.valid and tls.days_left < {CERTIFICATE_DAYS}", "structure", "check", "Certificate", F.col("tls.days_left"), "certificate runs out soon"),
+        (F.col("hops") > max_redirects, "links", "break", "Redirect chain", chain, "too many redirects"),
+        (F.col("hops").between(2, max_redirects), "links", "check", "Redirect chain", chain, "reached through redirects"),
+        ("status <> 200 and status <> 0", "structure", "break", "Final status", F.col("status"), "not 200"),
+        (F.col("ms") > slow_ms, "structure", "check", "Load time", F.format_string("%.1f s", F.col("ms") / 1000), "slow"),
+        (F.col("ttfb_ms") > slow_ttfb_ms, "structure", "check", "First byte", F.format_string("%.1f s", F.col("ttfb_ms") / 1000), "slow first byte"),
+        (F.col("canonical").isNotNull() & (place(F.col("final")) != place(F.col("canonical"))) & ~F.regexp_replace(F.lower("final"), "^https?://(www\\.)?", "").rlike(r"^preview(-[a-z]+)?\."), "metadata", "check", "Canonical", F.col("canonical"), "served at another address than its canonical"),
     ])
 
 

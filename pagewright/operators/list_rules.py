@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.operators import markup
 from pagewright.operators.proofing import distance
-from pagewright.operators.rules import finding, union
+from pagewright.operators.rules import checks, finding, union
 
 #: A list written as paragraphs: items of at most so many characters, so many of them.
 ITEM_CHARS, LEAST_ITEMS = 80, 2
@@ -33,12 +33,12 @@ def list_findings(pages: DataFrame) -> DataFrame:
     body = F.filter("items", lambda t: (t != "") & ~t.rlike(":$"))
     stops = F.size(F.filter(body, lambda t: t.rlike(r"[.!?]$")))
     rows = rows.withColumn("colon", colon).withColumn("body", F.size(body)).withColumn("stops", stops)
-    return union([
-        finding(rows.where("size(colon) > 0"), "lists", "check", "Flattened list", F.array_join("colon", " / "), "points belong below these items"),
-        finding(rows.where("stops > 0 and stops < body and body >= 3"), "lists", "check", "Mixed punctuation", F.concat_ws(" of ", "stops", "body"), "items end in a full stop, others don't"),
-        finding(rows.where((F.col("tag") == "ol") & F.exists("items", lambda t: t.rlike(r"^\d+[.)]\s"))), "lists", "break", "Double numbering", F.col("items")[0], "typed numbers in a numbered list"),
-        finding(rows.where(F.exists("items", lambda t: t == "")), "lists", "check", "Empty list item", None, "empty item"),
-        finding(rows.where((F.size("items") == 1) & ~F.col("attributes").rlike("accordion")), "lists", "check", "Single-item list", F.col("items")[0], "one item"),
+    return checks(rows, [
+        ("size(colon) > 0", "lists", "check", "Flattened list", F.array_join("colon", " / "), "points belong below these items"),
+        ("stops > 0 and stops < body and body >= 3", "lists", "check", "Mixed punctuation", F.concat_ws(" of ", "stops", "body"), "items end in a full stop, others don't"),
+        ((F.col("tag") == "ol") & F.exists("items", lambda t: t.rlike(r"^\d+[.)]\s")), "lists", "break", "Double numbering", F.col("items")[0], "typed numbers in a numbered list"),
+        (F.exists("items", lambda t: t == ""), "lists", "check", "Empty list item", None, "empty item"),
+        ((F.size("items") == 1) & ~F.col("attributes").rlike("accordion"), "lists", "check", "Single-item list", F.col("items")[0], "one item"),
     ])
 
 

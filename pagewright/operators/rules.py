@@ -19,16 +19,22 @@ def finding(rows: DataFrame, category: str, severity: str, field: str, found: Co
     return rows.select("page_id", F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(field).alias("field"), (F.lit(None) if found is None else found).cast("string").alias("found"), F.lit(note).alias("note"))
 
 
+def checks(rows: DataFrame, items: list[tuple]) -> DataFrame:
+    """Findings of several checks (condition, category, severity, field, found, note) in one pass over ``rows``; a null condition is no finding."""
+    one = [F.when(F.expr(c) if isinstance(c, str) else c, F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"), F.lit(field).alias("field"), (F.lit(None) if found is None else found).cast("string").alias("found"), F.lit(note).alias("note"))) for c, cat, sev, field, found, note in items]
+    return rows.select("page_id", F.explode(F.filter(F.array(*one), lambda x: x.isNotNull())).alias("x")).select("page_id", "x.*")
+
+
 def title_findings(pages: DataFrame) -> DataFrame:
     """No title; stray spaces; over 60 characters; a segment that repeats."""
     raw = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)
     rows = pages.select("page_id", "html").withColumn("has", F.col("html").rlike(r"(?is)<title\b[^>]*>.*?</title>")).withColumn("raw", T.decode_entities(raw)).withColumn("title", T.normalise(raw)).drop("html")
     parts = F.transform(F.split(F.lower("title"), r"\s+[-–|]\s+"), lambda x: F.trim(x))
-    return union([
-        finding(rows.where(~F.col("has") | (F.col("title") == "")), "metadata", "break", "Title", None, "no title"),
-        finding(rows.where(F.col("has") & (F.col("raw") != F.trim("raw"))), "metadata", "check", "Title", F.col("raw"), "leading or trailing spaces"),
-        finding(rows.where(F.length("title") > 60), "metadata", "check", "Title", F.col("title"), "over 60 characters"),
-        finding(rows.where((F.col("title") != "") & (F.size(F.array_distinct(parts)) < F.size(parts))), "metadata", "check", "Title", F.col("title"), "a part repeats"),
+    return checks(rows, [
+        (~F.col("has") | (F.col("title") == ""), "metadata", "break", "Title", None, "no title"),
+        (F.col("has") & (F.col("raw") != F.trim("raw")), "metadata", "check", "Title", F.col("raw"), "leading or trailing spaces"),
+        (F.length("title") > 60, "metadata", "check", "Title", F.col("title"), "over 60 characters"),
+        ((F.col("title") != "") & (F.size(F.array_distinct(parts)) < F.size(parts)), "metadata", "check", "Title", F.col("title"), "a part repeats"),
     ])
 
 
@@ -61,10 +67,10 @@ def link_findings(pages: DataFrame, generic: tuple[str, ...] = GENERIC_LINK_TEXT
 def metadata_findings(pages: DataFrame) -> DataFrame:
     """Empty keywords; description missing or outside 70 to 160 characters; page language against its path."""
     rows = pages.select("page_id", markup.meta(F.col("html"), "keywords").alias("keywords"), markup.meta(F.col("html"), "description").alias("description"))
-    return union([
-        finding(rows.where("keywords = ''"), "metadata", "check", "Keywords", None, "keywords are empty"),
-        finding(rows.where("description is null or description = ''"), "metadata", "check", "Description", None, "no description"),
-        finding(rows.where("description <> '' and length(description) not between 70 and 160"), "metadata", "check", "Description", F.length("description"), "not 70 to 160 characters"),
+    return checks(rows, [
+        ("keywords = ''", "metadata", "check", "Keywords", None, "keywords are empty"),
+        ("description is null or description = ''", "metadata", "check", "Description", None, "no description"),
+        ("description <> '' and length(description) not between 70 and 160", "metadata", "check", "Description", F.length("description"), "not 70 to 160 characters"),
     ])
 
 
