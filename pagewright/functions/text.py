@@ -21,6 +21,20 @@ def decode_entities(text: Column) -> Column:
     return text
 
 
+def decode_numeric(text: Column) -> Column:
+    """Decimal and hexadecimal entities as characters; those of no character stay. Each distinct entity is replaced once."""
+    seen = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(&#(?:x[0-9a-f]{1,6}|\d{1,7});)"), F.lit(1)))
+
+    def one(out: Column, entity: Column) -> Column:
+        digits = F.regexp_extract(entity, r"(?i)&#x?([0-9a-f]+);", 1)
+        point = F.when(entity.rlike("(?i)^&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.when(valid, F.replace(out, entity, F.when(valid, char))).otherwise(out)
+
+    return F.when(F.size(seen) > 0, F.aggregate(seen, text, one)).otherwise(text)
+
+
 def normalise(text: Column) -> Column:
     """Entities decoded, straight quotes, white space collapsed and trimmed; case kept."""
     t = F.translate(decode_entities(F.coalesce(text, F.lit(""))), "‘’“”", "''\"\"")

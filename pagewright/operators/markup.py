@@ -75,3 +75,45 @@ def meta(html: Column, name: str, key: str = "name") -> Column:
     """Content of a meta tag: null without the tag, empty with an empty content."""
     tag = F.regexp_extract(html, rf"(?is)(<meta\b[^>]*\s{key}\s*=\s*[\"']?{name}[\"'\s/>][^>]*>)", 1)
     return F.when(tag != "", F.coalesce(T.attr(tag, "content"), F.lit("")))
+
+
+def main_region(html: Column, marked: tuple[str, ...] = ()) -> Column:
+    """(html, via): the first part with visible text of main, role=main and elements of the classes ``marked``; else the body without chrome."""
+    ways = [("main", r"(?is)<main\b[^>]*>(.*?)</main>", 1), ("[role=main]", r"(?is)<([a-z]+)\b[^>]*role\s*=\s*[\"']main[\"'][^>]*>(.*?)</\1>", 2)]
+    ways += [(f".{c}", rf"(?is)<([a-z]+)\b[^>]*class\s*=\s*[\"'][^\"']*(?<![\w-]){c}(?![\w-])[^\"']*[\"'][^>]*>(.*?)</\1>", 2) for c in marked]
+    parts = [(via, F.regexp_extract(html, at, group)) for via, at, group in ways]
+    body = F.when(html.rlike(r"(?is)<body\b[^>]*>.*?</body>"), F.regexp_extract(html, r"(?is)<body\b[^>]*>(.*?)</body>", 1)).otherwise(F.coalesce(html, F.lit("")))
+    rest = F.regexp_replace(body, r"(?is)<(nav|header|footer|script|style|noscript|svg)\b[^>]*>.*?</\1>", " ")
+    return F.coalesce(*[F.when(T.strip_tags(part) != "", F.struct(part.alias("html"), F.lit(via).alias("via"))) for via, part in parts], F.struct(rest.alias("html"), F.lit("body").alias("via")))
+
+
+def by_class(pages: DataFrame, tags: str, marked: str) -> DataFrame:
+    """(page_id, ord, inner, text) of elements of ``tags`` with a class of ``marked`` (alternatives), up to their first closing tag."""
+    at = rf"(?is)(<({tags})\b[^>]*\bclass\s*=\s*[\"'][^\"']*(?<![\w-])(?:{marked})(?![\w-])[^\"']*[\"'][^>]*>(.*?)</\2>)"
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(at), F.lit(3))).alias("ord", "inner"))
+    return rows.withColumn("text", T.strip_tags(F.col("inner"))).where("text <> ''")
+
+
+def dead_ctas(pages: DataFrame, marked: str = "actions|cta|ctalink") -> DataFrame:
+    """(page_id, ord, text): containers of a call to action that hold text but no link, and no blocks of their own."""
+    rows = by_class(pages, "div|p|span", marked)
+    return rows.where(~F.col("inner").rlike(r"(?i)<(?:a|div|p|section|article|ul|ol|h[1-6])\b")).select("page_id", "ord", "text")
+
+
+def triggers(pages: DataFrame, marked: str = "accordion-trigger") -> DataFrame:
+    """(page_id, ord, text): labels that open a fold, which read as headings."""
+    return by_class(pages, "button|a|div|span", marked).select("page_id", "ord", "text")
+
+
+def details(pages: DataFrame) -> DataFrame:
+    """(page_id, ord, summary, text) of details elements."""
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<details\b[^>]*>(.*?)</details>"), F.lit(1))).alias("ord", "inner"))
+    at = r"(?is)<summary\b[^>]*>(.*?)</summary>"
+    return rows.select("page_id", "ord", T.strip_tags(F.regexp_extract("inner", at, 1)).alias("summary"), T.strip_tags(F.regexp_replace("inner", at, " ")).alias("text"))
+
+
+def page_data(html: Column, names: tuple[str, ...], variable: str = "digitalData") -> Column:
+    """Struct of the values that the script declaring ``variable`` gives ``names``, quoted or bare; null where no script does."""
+    body = F.regexp_extract(html, rf"(?is)<script\b[^>]*>((?:(?!</script>).)*?var\s+{variable}\s*=.*?)</script>", 1)
+    bare = lambda n: F.coalesce(F.nullif(F.regexp_extract(body, rf"(?i){n}[\"']?\s*:\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract(body, rf"(?i){n}[\"']?\s*:\s*([\w.-]+)", 1), F.lit("")))
+    return F.when(body != "", F.struct(*[bare(n).alias(n) for n in names]))
