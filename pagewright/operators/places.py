@@ -10,7 +10,6 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
@@ -88,11 +87,6 @@ def marked_elements(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-def marked(pages: DataFrame) -> DataFrame:
-    """(page_id, kind, at, tag, body, chain); ``chain`` is outermost first. Null and empty pages mark nothing."""
-    return pages.select("page_id", F.explode(marked_elements("html")).alias("x")).select("page_id", "x.*")
-
-
 def hidden(tag: Column) -> Column:
     bare = F.regexp_replace(tag, "\"[^\"]*\"|'[^']*'", '""')
     style = tag.rlike(r"(?i)\sstyle\s*=\s*[\"'][^\"']*(display\s*:\s*none|visibility\s*:\s*hidden)")
@@ -123,30 +117,32 @@ def _module(tag: Column, names: str) -> Column:
     return F.nullif(F.regexp_extract(tag, rf"(?is)^<section\b[^>]*\bclass\s*=\s*[\"'][^\"']*?(?<![\w-])({names})(?![\w-])", 1), F.lit(""))
 
 
-def places(pages: DataFrame, kind: str = "link", names: str = r"module-[\w-]+|hero-banner") -> DataFrame:
-    """(page_id, at, tag, chain, place, hidden, anchor, module_at): where every link, form or field of a page sits.
+def places(pages: DataFrame, kind: str = "link", names: str = r"module-[\w-]+|hero-banner", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(page_id, keep..., at, tag, body, chain, place, hidden, anchor, module_at): where every link, form or field of a page sits.
 
     ``place`` reads "component #n › block k — "title" (hidden)". The component is the outermost section whose class names
     one, else the outermost landmark, else Page body. Blocks count by their own kind within a component, outermost
     only. The title is the last visible heading in the block or component before the element, else the first in it;
     outside both, the last heading above. ``anchor`` is the component's own id as a fragment.
     """
-    rows = marked(pages)
-    module = F.get(F.filter("chain", lambda e: _module(e["tag"], names).isNotNull()), 0)
-    rows = rows.withColumn("module", module)
-    # which of the blocks around an element counts: the outermost one inside its component
-    inner = F.filter("chain", lambda e: (e["at"] > F.col("module.at")) & noun(e["tag"]).isNotNull())
-    items = rows.where((F.col("kind") == "item") & F.col("module").isNotNull() & (F.size(inner) == 0)).select("page_id", F.col("module.at").alias("m"), "at", noun(F.col("tag")).alias("noun")).where("noun is not null")
-    items = items.withColumn("nth", F.row_number().over(W.partitionBy("page_id", "m", "noun").orderBy("at"))).select("page_id", F.col("at").alias("item_at"), "noun", "nth")
-    outer = rows.withColumn("component", _module(F.col("tag"), names)).where("kind = 'section' and component is not null and module is null")
-    starts = outer.select("page_id", F.col("at").alias("module_at"), "component")
-    nth = starts.withColumn("n", F.row_number().over(W.partitionBy("page_id", "component").orderBy("module_at")))
-    shown = rows.where((F.col("kind") == "title") & ~F.col("tag").rlike(r"(?i)display\s*:\s*none")).select("page_id", "at", T.strip_tags(F.coalesce("body", F.lit(""))).alias("title")).where("title <> ''")
-    titles = shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("at", "title"))).alias("titles"))
-    one = rows.where(F.col("kind") == kind).withColumn("item", F.get(inner, 0)).withColumn("land", F.get(F.filter("chain", lambda e: landmark(e["tag"]).isNotNull()), 0))
-    one = one.withColumn("module_at", F.col("module.at")).withColumn("item_at", F.col("item.at")).join(nth, ["page_id", "module_at"], "left").join(items, ["page_id", "item_at"], "left").join(titles, "page_id", "left")
+    module = lambda e: F.get(F.filter(e["chain"], lambda c: _module(c["tag"], names).isNotNull()), 0)
+    blocks = lambda e: F.filter(e["chain"], lambda c: (c["at"] > module(e)["at"]) & noun(c["tag"]).isNotNull())
+    # all of a page is in its row, so nothing is shuffled
+    rows = pages.select("page_id", *keep, marked_elements("html").alias("all")).select(
+        "page_id", *keep, F.filter("all", lambda e: e["kind"] == kind).alias("own"),
+        F.filter(F.transform(F.filter("all", lambda e: (e["kind"] == "title") & ~e["tag"].rlike(r"(?i)display\s*:\s*none")), lambda e: F.struct(e["at"].alias("at"), T.strip_tags(F.coalesce(e["body"], F.lit(""))).alias("title"))), lambda t: t["title"] != "").alias("titles"),
+        F.transform(F.filter("all", lambda e: (e["kind"] == "section") & _module(e["tag"], names).isNotNull() & module(e).isNull()), lambda e: F.struct(e["at"].alias("at"), _module(e["tag"], names).alias("name"))).alias("modules"),
+        F.transform(F.filter("all", lambda e: (e["kind"] == "item") & noun(e["tag"]).isNotNull() & module(e).isNotNull() & (F.size(blocks(e)) == 0)), lambda e: F.struct(e["at"].alias("at"), module(e)["at"].alias("module"), noun(e["tag"]).alias("name"))).alias("items"),
+    )
+    # an outer explode, since the filter that Spark infers from a plain one would read every page twice
+    one = rows.select("page_id", *keep, "titles", "modules", "items", F.explode_outer("own").alias("e")).where("e is not null").select("*", module(F.col("e")).alias("module"), F.get(blocks(F.col("e")), 0).alias("item"), "e.at", "e.tag", "e.body", "e.chain")
+    one = one.withColumn("land", F.get(F.filter("chain", lambda c: landmark(c["tag"]).isNotNull()), 0))
+    one = one.withColumn("component", _module(F.col("module.tag"), names)).withColumn("noun", noun(F.col("item.tag")))
+    one = one.withColumn("n", F.size(F.filter("modules", lambda m: (m["name"] == F.col("component")) & (m["at"] <= F.col("module.at")))))
+    one = one.withColumn("nth", F.size(F.filter("items", lambda i: (i["module"] == F.col("module.at")) & (i["name"] == F.col("noun")) & (i["at"] <= F.col("item.at")))))
+    one = one.withColumn("module_at", F.col("module.at"))
     box = F.coalesce("item", "module", "land")
-    within = F.filter(F.coalesce("titles", F.array().cast("array<struct<at:int,title:string>>")), lambda t: F.coalesce((t["at"] >= box["at"]) & (t["at"] < box["stop"]), t["at"] < F.col("at")))
+    within = F.filter("titles", lambda t: F.coalesce((t["at"] >= box["at"]) & (t["at"] < box["stop"]), t["at"] < F.col("at")))
     before = F.filter(within, lambda t: t["at"] < F.col("at"))
     title = F.coalesce(F.try_element_at(before, F.lit(-1)), F.get(within, 0))["title"]
     clipped = F.when(F.length(title) > TITLE, F.concat(F.regexp_replace(F.substring(title, 1, TITLE - 3), r"\s+\S*$", ""), F.lit("…"))).otherwise(title)
@@ -154,12 +150,12 @@ def places(pages: DataFrame, kind: str = "link", names: str = r"module-[\w-]+|he
     base = F.coalesce(F.concat("component", F.lit(" #"), "n"), landmark(F.col("land.tag")), F.lit("Page body"))
     place = F.concat(base, F.coalesce(F.concat(F.lit(" › "), "noun", F.lit(" "), "nth"), F.lit("")), F.coalesce(F.concat(F.lit(' — "'), clipped, F.lit('"')), F.lit("")), F.when(hid, " (hidden)").otherwise(""))
     anchor = F.concat(F.lit("#"), F.nullif(T.attr(F.col("module.tag"), "id"), F.lit("")))
-    return one.select("page_id", "at", "tag", "body", "chain", place.alias("place"), hid.alias("hidden"), anchor.alias("anchor"), "module_at")
+    return one.select("page_id", *keep, "at", "tag", "body", "chain", place.alias("place"), hid.alias("hidden"), anchor.alias("anchor"), "module_at")
 
 
 def link_places(pages: DataFrame) -> DataFrame:
     """(page_id, url, places): the distinct places of each absolute target of a page, in order."""
-    rows = places(pages).join(pages.select("page_id", "url"), "page_id").withColumn("dst", U.absolute(T.attr(F.col("tag"), "href"), F.col("url"))).where("dst is not null")
+    rows = places(pages, keep=("url",)).withColumn("dst", U.absolute(T.attr(F.col("tag"), "href"), F.col("url"))).where("dst is not null")
     first = rows.groupBy("page_id", "dst", "place").agg(F.min(F.struct("at", "hidden", "anchor")).alias("x"))
     listed = F.array_sort(F.collect_list(F.struct(F.col("x.at").alias("at"), "place", F.col("x.hidden").alias("hidden"), F.col("x.anchor").alias("anchor"))))
     return first.groupBy("page_id", F.col("dst").alias("url")).agg(listed.alias("places"))
