@@ -132,3 +132,21 @@ def rows_of(findings: DataFrame, fetches: DataFrame, titles: DataFrame) -> DataF
 def fetch_error(code):
     """Verdict of a fetch that got no answer: refused where the address is a private one, else unverified."""
     return F.when(code == "EPRIVATE", "refused").otherwise("unverified")
+
+
+def summary_text(pages: DataFrame, findings: DataFrame, categories: tuple[str, ...]) -> DataFrame:
+    """(page_id, text): a page's findings as copyable lines, by category in the order given, breaks first; a category without any says so.
+
+    ``findings`` is (page_id, category, severity, field, found, note).
+    """
+    line = F.concat(F.lit("- ["), F.when(F.col("severity") == "check", "Check").otherwise("Fix"), F.lit("] "), "field", F.coalesce(F.concat(F.lit(": "), "found"), F.lit("")), F.lit("\n    "), "note")
+    one = F.struct((F.col("severity") == "check").alias("late"), "field", line.alias("line"))
+    per = findings.where(F.col("category").isin(*categories)).groupBy("page_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("category") == c, one))).alias(f"c{k}") for k, c in enumerate(categories)])
+    rows = pages.select("page_id", "url").join(per, "page_id", "left")
+    part = lambda k, c: F.concat(F.lit(f"{c.upper()} ("), F.coalesce(F.size(f"c{k}"), F.lit(0)).cast("string"), F.lit(")\n"), F.when(F.coalesce(F.size(f"c{k}"), F.lit(0)) == 0, "  nothing found").otherwise(F.array_join(F.transform(f"c{k}", lambda x: x["line"]), "\n")))
+    return rows.select("page_id", F.concat_ws("\n\n", F.concat(F.lit("QA summary - "), F.coalesce("url", F.lit("pasted page"))), *[part(k, c) for k, c in enumerate(categories)]).alias("text"))
+
+
+def json_rows(rows: DataFrame) -> DataFrame:
+    """(value): each row as one JSON object, nulls kept, for a service to hand out."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))

@@ -78,7 +78,10 @@ def xlsx_text(content: bytes) -> str:
 
 
 def uploads(files: DataFrame) -> DataFrame:
-    """(path, text) of a binaryFile table: docx, xlsx and plain texts; other endings give null."""
+    """(path, text, error) of a binaryFile table: docx and xlsx are read, csv cells parted at every comma and joined by tabs, other texts kept.
+
+    Old binary doc and xls give an error instead of a text; other endings give neither.
+    """
 
     @F.pandas_udf("string")
     def read(path: pd.Series, content: pd.Series) -> pd.Series:
@@ -92,4 +95,8 @@ def uploads(files: DataFrame) -> DataFrame:
 
         return pd.Series([one(p, bytes(c)) for p, c in zip(path, content, strict=True)])
 
-    return files.select("path", read("path", "content").alias("text"))
+    cells = lambda line: F.array_join(F.transform(F.split(line, ","), lambda c: F.trim(F.regexp_replace(c, '^"|"$', ""))), "\t")
+    rows = files.select("path", read("path", "content").alias("text"))
+    table_text = F.array_join(F.transform(F.split("text", "\r?\n"), cells), "\n")
+    old = F.lower("path").rlike(r"\.(doc|xls)$")
+    return rows.select("path", F.when(F.lower("path").endswith(".csv"), table_text).otherwise(F.col("text")).alias("text"), F.when(old, "old binary format; save it as docx or xlsx").alias("error"))

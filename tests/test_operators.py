@@ -138,8 +138,12 @@ def test_uploads(spark, tmp_path):
     (tmp_path / "a.docx").write_bytes(docx.getvalue())
     (tmp_path / "b.xlsx").write_bytes(xlsx.getvalue())
     (tmp_path / "c.txt").write_text("plain")
-    got = {r.path.rsplit("/", 1)[1]: r.text for r in sources.uploads(spark.read.format("binaryFile").load(str(tmp_path))).collect()}
-    assert got == {"a.docx": "Hi\tyou\na\tb", "b.xlsx": 'one\t\t"x""y"', "c.txt": "plain"}
+    (tmp_path / "d.csv").write_bytes(b'a, "b"\r\n"c",')
+    (tmp_path / "e.xls").write_bytes(b"\xd0\xcf")
+    read = sources.uploads(spark.read.format("binaryFile").load(str(tmp_path))).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in read if r.error] == ["e.xls"]
+    got = {r.path.rsplit("/", 1)[1]: r.text for r in read}
+    assert got == {"a.docx": "Hi\tyou\na\tb", "b.xlsx": 'one\t\t"x""y"', "c.txt": "plain", "d.csv": 'a\t"b\nc\t', "e.xls": None}
 
 
 def test_live_rollup(spark, tmp_path):
