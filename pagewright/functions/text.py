@@ -15,12 +15,6 @@ ENTITIES = (("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&qu
 SPACE = r"(?U)[\s ﻿]+"
 
 
-def decode_entities(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.regexp_replace(text, f"(?i){name}", char)
-    return text
-
-
 def decode_numeric(text: Column) -> Column:
     """Decimal and hexadecimal entities as characters; those of no character stay. Each distinct entity is replaced once."""
     seen = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)(&#(?:x[0-9a-f]{1,6}|\d{1,7});)"), F.lit(1)))
@@ -35,6 +29,14 @@ def decode_numeric(text: Column) -> Column:
     return F.when(F.size(seen) > 0, F.aggregate(seen, text, one)).otherwise(text)
 
 
+def decode_entities(text: Column) -> Column:
+    """Named entities, the ampersand first, then numeric ones."""
+    for name, char in ENTITIES:
+        text = F.regexp_replace(text, f"(?i){name}", char)
+    # bound as a variable, so the replacements above are evaluated once
+    return F.get(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit("&#")), decode_numeric(t)).otherwise(t)), 0)
+
+
 def normalise(text: Column) -> Column:
     """Entities decoded, straight quotes, white space collapsed and trimmed; case kept."""
     t = F.translate(decode_entities(F.coalesce(text, F.lit(""))), "‘’“”", "''\"\"")

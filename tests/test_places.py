@@ -64,6 +64,7 @@ def test_regions(spark):
 def test_numeric_entities(spark):
     df = spark.createDataFrame([("&#65;&#x42;&#x1F600; &#65; &#xD800; &#0;",), ("plain",), (None,)], "t string")
     assert [r.t for r in df.select(T.decode_numeric(F.col("t")).alias("t")).collect()] == ["AB😀 A &#xD800; &#0;", "plain", None]
+    assert df.select(T.normalise(F.lit("It&#8217;s &amp;#65;&#160; now &lt;")).alias("t")).first().t == "It's A now <"
 
 
 def test_copy_ledger(spark):
