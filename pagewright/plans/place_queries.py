@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import INLINE_TAGS
 from pagewright.operators import copy, markup, places
+from pagewright.plans.table_queries import _WORDS
 from pagewright.sources import table
 
 
@@ -40,6 +42,8 @@ ORACLE_SQL = {
     SELECT page_id, url, true AS nav, false AS foot, regexp_extract(unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\b.*?</nav>'), '(?is)<a\b[^>]*>')), 'href="([^"#]*)', 1) AS href FROM pages
     UNION ALL SELECT page_id, url, false, false, regexp_extract(unnest(regexp_extract_all(regexp_replace(html, '(?is)<nav\b.*?</nav>', '', 'g'), '(?is)<a\b[^>]*>')), 'href="([^"#]*)', 1) FROM pages)
   WHERE starts_with(href, '/') OR starts_with(href, 'http')) GROUP BY ALL""",
+    "page_english_score": rf"""SELECT page_id, CAST(len(list_intersect(list_distinct(string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ')), [{_WORDS}])) AS BIGINT) AS score FROM (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(?:{'|'.join(INLINE_TAGS)})\b[^>]*>', '', 'g'), '(?i)</?[a-z][a-z0-9]*\b[^>]*>', ' ', 'g') AS t FROM pages)""",
     "page_regions": r"""SELECT page_id, CASE WHEN m <> '' THEN 'main' ELSE 'body' END AS via, md5(CASE WHEN m <> '' THEN m ELSE regexp_replace(b, '(?is)<nav\b[^>]*>.*?</nav>|<header\b[^>]*>.*?</header>|<footer\b[^>]*>.*?</footer>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g') END) AS region FROM (
   SELECT page_id, regexp_extract(html, '(?is)<main\b[^>]*>(.*?)</main>', 1) AS m, CASE WHEN regexp_matches(html, '(?is)<body\b[^>]*>.*</body>') THEN regexp_extract(html, '(?is)<body\b[^>]*>(.*?)</body>', 1) ELSE html END AS b FROM pages)""",
     "turn_copy_ledger": f"""WITH t AS (SELECT conv_id AS page_id, turn, role, {_CLEAN.format("text")} AS need FROM conversations),
