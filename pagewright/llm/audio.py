@@ -7,7 +7,9 @@ of differing bits over the overlap decides whether they match.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pagewright.llm.components import connected_components
 SPAN = 16
 #: Shared codes at one offset that make a pair a candidate; greatest share of differing bits of a match; least overlap in codes.
 VOTES, ERROR, OVERLAP = 3, 0.2, 8
+#: Bytes of recordings that are heard together.
+SLICE = 1 << 20
 #: Steps between the four levels of a filter, of which each gives two bits.
 LEVELS = (-0.25, 0.0, 0.25)
 
@@ -39,17 +43,23 @@ def _filters() -> list[tuple[int, int, int, int]]:
     return [(i % 4, (5 * i) % 9, 4 + 2 * (i % 3) if (5 * i) % 9 + 4 + 2 * (i % 3) <= 12 else 12 - (5 * i) % 9, (16, 8, 12, 4)[(i // 4) % 4]) for i in range(16)]
 
 
-def chroma(samples: np.ndarray, sound: Sound) -> np.ndarray:
-    """Energy of the twelve pitch classes in each frame, summing to 1."""
-    n = (len(samples) - sound.frame) // sound.hop + 1
-    if n < 1:
-        return np.zeros((0, 12))
+@lru_cache
+def _bins(sound: Sound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequencies that count, their pitch classes as a matrix, and the window of a frame."""
     freq = np.fft.rfftfreq(sound.frame, 1 / sound.rate)
     low, high = max(28.0, 2 * sound.rate / sound.frame), min(3520.0, sound.rate / 2)
     use = np.flatnonzero((freq >= low) & (freq <= high))
     classes = np.zeros((len(use), 12), np.float32)
     classes[np.arange(len(use)), np.round(12 * np.log2(freq[use] / 440.0)).astype(int) % 12] = 1
-    window = np.hamming(sound.frame).astype(np.float32)
+    return use, classes, np.hamming(sound.frame).astype(np.float32)
+
+
+def chroma(samples: np.ndarray, sound: Sound) -> np.ndarray:
+    """Energy of the twelve pitch classes in each frame, summing to 1."""
+    n = (len(samples) - sound.frame) // sound.hop + 1
+    if n < 1:
+        return np.zeros((0, 12))
+    use, classes, window = _bins(sound)
     frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32) - 128, sound.frame)[:: sound.hop]
     out = []
     for at in range(0, n, 1024):
@@ -62,18 +72,28 @@ def chroma(samples: np.ndarray, sound: Sound) -> np.ndarray:
 
 def codes(samples: np.ndarray, sound: Sound) -> np.ndarray:
     """32-bit codes of a recording: one for each frame with SPAN - 1 after it; none for shorter recordings."""
-    c = chroma(samples, sound)
-    n = len(c) - SPAN + 1
-    if n < 1:
-        return np.zeros(0, np.int32)
-    image = np.zeros((len(c) + 1, 13))
-    image[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
-    t = np.arange(n)
+    return codes_of([samples], sound)[0]
+
+
+def codes_of(recordings: list[np.ndarray], sound: Sound) -> list[np.ndarray]:
+    """Codes of each recording. Frames and sums are its own, so they don't depend on the others; only filters run over all."""
+    images, starts, base = [np.zeros((0, 13))], [np.zeros(0, np.int64)], 0
+    many = []
+    for samples in recordings:
+        c = chroma(samples, sound)
+        many.append(max(0, len(c) - SPAN + 1))
+        if many[-1]:
+            image = np.zeros((len(c) + 1, 13))
+            image[1:, 1:] = c.cumsum(axis=0).cumsum(axis=1)
+            images.append(image)
+            starts.append(base + np.arange(many[-1]))
+            base += len(image)
+    image, t = np.ascontiguousarray(np.concatenate(images).T), np.concatenate(starts)
 
     def area(t0, t1, y0, y1):
-        return image[t1, y1] - image[t0, y1] - image[t1, y0] + image[t0, y0]
+        return image[y1][t1] - image[y1][t0] - image[y0][t1] + image[y0][t0]
 
-    packed = np.zeros(n, np.uint32)
+    packed = np.zeros(len(t), np.uint32)
     for kind, y, h, w in _filters():
         half, mid = w // 2, y + h // 2
         if kind == 0:
@@ -85,24 +105,34 @@ def codes(samples: np.ndarray, sound: Sound) -> np.ndarray:
         else:
             a = area(t, t + half, y, mid) + area(t + half, t + w, mid, y + h)
             b = area(t + half, t + w, y, mid) + area(t, t + half, mid, y + h)
-        level = np.digitize(np.log((a + 0.01) / (b + 0.01)), LEVELS).astype(np.uint32)
+        ratio = (a + 0.01) / (b + 0.01)
+        level = sum((ratio >= edge).astype(np.uint32) for edge in np.exp(LEVELS))
         packed = (packed << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
-    return packed.view(np.int32)
+    return np.split(packed.view(np.int32), np.cumsum(many)[:-1])
 
 
 def fingerprints(media: DataFrame, id_col: str, audio_col: str, sound: Sound = Sound()) -> DataFrame:
-    """(id, codes) of each row of 8-bit samples; null audio has no codes."""
+    """(id, codes, heard) of each row of 8-bit samples: its codes, and the hash of the samples if it is too short for one; null audio has neither."""
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [codes(np.frombuffer(x, np.uint8), sound) for x in text_bytes(part.column(1))]
+            at = 0
+            while at < b.num_rows:
+                # up to 256 recordings, of a few megabytes together unless one alone is longer
+                rows, held = [], 0
+                for x in text_bytes(b.column(1).slice(at, 256)):
+                    if rows and held + len(x) > SLICE:
+                        break
+                    rows.append(x)
+                    held += len(x)
+                part, at = b.slice(at, len(rows)), at + len(rows)
+                found = codes_of([np.frombuffer(x, np.uint8) for x in rows], sound)
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["id", "codes"])
+                heard = [hashlib.md5(x).hexdigest() if x and not len(c) else None for x, c in zip(rows, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))), pa.array(heard, pa.string())], names=["id", "codes", "heard"])
 
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, audio_col).mapInArrow(run, f"id {kind}, codes array<int>")
+    return media.select(id_col, audio_col).mapInArrow(run, f"id {kind}, codes array<int>, heard string")
 
 
 def _errors(batches):
@@ -119,16 +149,17 @@ def _errors(batches):
 def align(media: DataFrame, id_col: str = "doc_id", audio_col: str = "audio", sound: Sound = Sound()) -> DataFrame:
     """(id, n_codes, fingerprint, match_id, match_offset, votes, bit_error, component_id) of every recording.
 
-    Recordings with the same codes are one class of the smallest id. Each class is aligned with the first class, by id, that
+    Recordings with the same codes are one class of the smallest id; so are those too short for a code with the same
+    samples. Each class is aligned with the first class, by id, that
     holds each of its pairs of neighbouring codes, so a code of a third of all recordings makes a row for each, not all
     pairs; classes that share a code are linked over the first that has it. The match is the one of the
-    longest overlap, smallest id first. Null and short recordings have no codes and no match; null ids are left without
-    a component. Repeated ids give repeated rows; an empty table gives an empty result.
+    longest overlap, smallest id first. Null and empty recordings have no codes and no match, shorter ones than a
+    code only exact copies; null ids are left without a component. Repeated ids give repeated rows; an empty table gives an empty result.
     """
     prints = written(fingerprints(media, id_col, audio_col, sound))
     digest = F.when(F.size("codes") > 0, F.md5(F.array_join("codes", ",").cast("binary")))
-    prints = prints.withColumn("fingerprint", digest)
-    classes = written(prints.where("fingerprint is not null and id is not null").groupBy("fingerprint").agg(F.min("id").alias("rep"), F.any_value("codes").alias("codes")))
+    prints = prints.withColumn("fingerprint", digest).withColumn("alike", F.coalesce("fingerprint", F.concat(F.lit("="), "heard")))
+    classes = written(prints.where("alike is not null and id is not null").groupBy("alike").agg(F.min("id").alias("rep"), F.any_value("codes").alias("codes")))
     pairs = F.transform(F.sequence(F.lit(1), F.size("codes") - 1), lambda i: F.shiftleft(F.element_at("codes", i).cast("long"), 32).bitwiseXOR(F.element_at("codes", i + 1).cast("long")))
     marks = classes.where(F.size("codes") > 1).select("rep", F.posexplode(pairs).alias("pos", "mark"))
     first = marks.groupBy("mark").agg(F.min(F.struct("rep", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -141,9 +172,9 @@ def align(media: DataFrame, id_col: str = "doc_id", audio_col: str = "audio", so
     matched = written(checked.where((F.col("overlap") >= OVERLAP) & (F.col("error") <= ERROR)))
     comps = connected_components(matched.select("a", "b")).withColumnRenamed("id", "rep")
     top = matched.groupBy(F.col("a").alias("rep")).agg(F.max(F.struct("overlap", (-F.col("b")).alias("lower"), "off", "votes", "error")).alias("m"))
-    named = classes.select("fingerprint", "rep").join(comps, "rep", "left").join(top, "rep", "left").select(
-        "fingerprint", "rep", F.coalesce("component", "rep").alias("component"), (-F.col("m.lower")).alias("match_id"), F.col("m.off").alias("match_offset"), F.col("m.votes").alias("votes"), F.col("m.error").alias("bit_error"))
-    out = prints.join(named, "fingerprint", "left")
+    named = classes.select("alike", "rep").join(comps, "rep", "left").join(top, "rep", "left").select(
+        "alike", "rep", F.coalesce("component", "rep").alias("component"), (-F.col("m.lower")).alias("match_id"), F.col("m.off").alias("match_offset"), F.col("m.votes").alias("votes"), F.col("m.error").alias("bit_error"))
+    out = prints.join(named, "alike", "left")
     return out.select(F.col("id").alias(id_col), F.size("codes").cast("long").alias("n_codes"), "fingerprint",
         F.when(F.col("id") > F.col("rep"), F.col("rep")).otherwise(F.col("match_id")).alias("match_id"), F.when(F.col("id") > F.col("rep"), 0).otherwise(F.col("match_offset")).alias("match_offset"),
         "votes", F.when(F.col("id") > F.col("rep"), 0.0).otherwise(F.col("bit_error")).alias("bit_error"), F.coalesce("component", "id").alias("component_id"))

@@ -313,5 +313,24 @@ def test_audio(spark):
     assert audio.align(df.limit(0)).count() == 0
 
 
+def test_audio_hears_short_texts(spark, tmp_path):
+    rng = random.Random(12)
+    short, tiny = prose(rng, 120)[:450], prose(rng, 40)[:90]
+    table(spark, [(1, short, "a"), (2, short, "a"), (3, tiny, "a"), (4, prose(rng, 40)[:90], "a"), (5, tiny, "a"), (6, "", "a"), (7, "", "a"), (8, None, "a")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in registry.op3_audio(spark, str(tmp_path)).collect()}
+    assert got[1].n_codes == 6 and got[1].fingerprint == got[2].fingerprint is not None and got[2].match_id == got[2].component_id == 1
+    assert got[5].n_codes == 0 and got[5].fingerprint is None and got[5].match_id == got[5].component_id == 3 and got[5].bit_error == 0
+    assert all(got[k].component_id == k and got[k].match_id is None for k in (1, 3, 4, 6, 7, 8))
+
+
+def test_codes_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(7)
+    sound = audio.Sound(frame=128, hop=16)
+    parts = [rng.integers(0, 255, n).astype(np.uint8) for n in (0, 90, 368, 5000, 367, 900)]
+    together = audio.codes_of(parts, sound)
+    assert [len(c) for c in together] == [0, 0, 1, 290, 0, 34]
+    assert all((audio.codes(p, sound) == c).all() for p, c in zip(parts, together, strict=True))
+
+
 def test_every_operator_is_registered():
     assert [re.match(r"op(\d+)_", n)[1] for n in registry.QUERIES] == [str(k) for k in range(1, 11)]
