@@ -141,15 +141,21 @@ def survey(batches):
 
 
 def settle(batches):
-    """Of equal runs the first goes on if its anchor has other surroundings too; the others are covered."""
+    """Of equal runs the first goes on if its anchor has other surroundings too; the others are covered.
+
+    An anchor that is hot in any slice is hot in all: wherever its runs went, its mark makes them go on by single windows.
+    """
     for table in whole_runs(batches, "route"):
         h, c, doc, s, e, kind = (table.column(k).to_numpy() for k in ("h", "c", "doc", "s", "e", "kind"))
+        kind = kind.copy()
         done = np.flatnonzero(kind == COVER)
         live = np.flatnonzero(kind != COVER)
         order, new = _first_of([h[live], (kind[live] == MARK).astype(np.int8), c[live]], doc[live], s[live])
         order = live[order]
         edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
         classes = np.repeat(np.add.reduceat(new.astype(np.int64), edge[:-1]), np.diff(edge)) if len(order) else np.zeros(0, np.int64)
+        hot = np.repeat(np.add.reduceat((kind[order] == MARK).astype(np.int64), edge[:-1]) > 0, np.diff(edge)) if len(order) else np.zeros(0, bool)
+        kind[order[hot & (kind[order] == RUN)]] = HOT_RUN
         go = order[new & (kind[order] != MARK) & ((classes > 1) | (kind[order] == HOT_RUN))]
         old = order[~new & (kind[order] != MARK)]
         rows = np.r_[done, old, go]

@@ -186,6 +186,37 @@ def test_substrings_of_hot_anchors(monkeypatch):
         assert (sum(e - s for s, e in found), len(found)) == want[d][1:3]
 
 
+def test_substrings_of_anchors_hot_in_one_slice_only(monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 6)
+    rng = random.Random(14)
+    shared, edge = prose(rng, 40), prose(rng, 12)
+    data = [(k, prose(rng, 5 + k % 7) + shared + prose(rng, 30)) for k in range(30)]
+    # the last documents are a slice of their own, in which no anchor is hot; two windows with other ends occur only there and once before
+    data += [(30, prose(rng, 9) + shared + edge), (31, prose(rng, 8) + shared + prose(rng, 9)), (32, prose(rng, 7) + shared + edge)]
+    data[3] = (3, data[3][1] + edge + shared + edge)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
+
+    def dealt(batches):
+        return pa.Table.from_batches(list(batches)).sort_by("route").to_batches()
+
+    surveyed = [list(substrings.survey(iter([batch(rows)]))) for rows in (data[:30], data[30:])]
+    assert [any(k == substrings.MARK for b in part for k in b.column("kind").to_pylist()) for part in surveyed] == [True, False]
+    settled = pa.Table.from_batches(list(substrings.settle(iter(dealt(surveyed[0] + surveyed[1]))))).to_pylist()
+    runs = {}
+    for r in settled:
+        if r["kind"]:
+            runs.setdefault(r["doc"], []).append(r)
+    docs = [(d, t, runs[d]) for d, t in data if d in runs]
+    asked = pa.RecordBatch.from_arrays([pa.array([x[k] for x in docs]) for k in range(3)], names=["doc", "text", "runs"])
+    spans = [r for r in settled if not r["kind"]] + pa.Table.from_batches(list(substrings.sort_runs(iter(dealt(substrings.fetch(iter([asked]))))))).to_pylist()
+    want = brute_repeats(data)
+    for d, _ in data:
+        found = substrings.merged([(r["s"], r["e"]) for r in spans if r["doc"] == d])
+        assert (sum(e - s for s, e in found), len(found)) == want[d][1:3]
+
+
 def test_packing(spark, rows):
     from tokenizers import Tokenizer
     import public_tokenizers
