@@ -24,7 +24,7 @@ SAMPLE = 20_000
 LEXICON = 50_000
 #: Labelled toxic texts that a word or beginning must occur in.
 LEAST = 4
-#: Longest span that is decoded, in characters; longer ones are no disguised words.
+#: Longest span whose decoding is remembered, in characters; longer ones are decoded each time.
 SPAN = 48
 
 # fixed values: letters that characters of leetspeak stand for
@@ -88,8 +88,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 def restore(span: str, model: np.ndarray) -> str:
     """Viterbi path of the span's lattice: letters stay; leet characters become one of their letters or go; marks between letters
-    go or part words; of repeated letters any may go."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    go or part words; of repeated letters any may go. A path is a chain of its letters back to the start, so the time is linear in the span."""
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     last = ""
     for c in span:
         options: list[tuple[str, float]]
@@ -100,7 +100,7 @@ def restore(span: str, model: np.ndarray) -> str:
         else:
             options = [("", -0.3), (" ", -0.7)]
         last = c
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, out) in paths.items():
             for x, price in options:
                 if not x:
@@ -111,14 +111,26 @@ def restore(span: str, model: np.ndarray) -> str:
                         continue
                     state, total = ((b, k), cost + price + float(model[a, b, k]))
                 if state not in new or new[state][0] < total:
-                    new[state] = (total, out + x)
+                    new[state] = (total, (x, out) if x else out)
         paths = new
-    return max((cost + float(model[a, b, 0]), out) for (a, b), (cost, out) in paths.items())[1] if paths else span
+    if not paths:
+        return span
+    ends = [(cost + float(model[a, b, 0]), out) for (a, b), (cost, out) in paths.items()]
+    best = max(cost for cost, _ in ends)
+    return max(_spelled(out) for cost, out in ends if cost == best)
+
+
+def _spelled(chain: tuple | None) -> str:
+    letters = []
+    while chain:
+        x, chain = chain
+        letters.append(x)
+    return "".join(reversed(letters))
 
 
 @dataclass
 class Words:
-    """Words of texts with the restored ones; remembers decoded spans."""
+    """Words of texts with the restored ones; remembers decoded spans up to SPAN."""
 
     model: np.ndarray
     memo: dict[str, str] = field(default_factory=dict)
@@ -133,6 +145,7 @@ class Words:
         spans += [m.group() for m in _LEETED.finditer(low)]
         for span in spans:
             if len(span) > SPAN:
+                found.update(restore(span, self.model).split())
                 continue
             if span not in self.memo:
                 if len(self.memo) > 200_000:

@@ -328,6 +328,19 @@ def test_restore_follows_the_model():
         assert toxicity.restore(span, model) == word
 
 
+def test_long_disguises_are_decoded():
+    model = np.full((toxicity.SIZE,) * 3, -6.0, np.float32)
+    said = "you are such an idiot and a real loser"
+    s = [0, 0, *map(toxicity.symbol, said), 0]
+    for a, b, c in zip(s, s[1:], s[2:], strict=False):
+        model[a, b, c] = -0.1
+    words = toxicity.Words(model)
+    for text in (" ".join(said.replace(" ", "")), "l" + "o" * 90 + "ser and idi" + "o" * 60 + "t", ".".join("l0s3r" * 9) + " " + "-".join("1d10t" * 9)):
+        assert len(text) > toxicity.SPAN and {"idiot", "loser"} <= words.of(text)
+    assert not words.memo
+    assert {"idiot", "loser"} <= words.of(" ".join(said.replace(" ", "") * 4000))
+
+
 def test_audio(spark):
     rng = np.random.default_rng(1)
     t = np.arange(40000) / 11025
