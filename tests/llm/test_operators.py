@@ -341,32 +341,6 @@ def test_long_disguises_are_decoded():
     assert {"idiot", "loser"} <= words.of(" ".join(said.replace(" ", "") * 4000))
 
 
-def test_audio(spark):
-    rng = np.random.default_rng(1)
-    t = np.arange(40000) / 11025
-    tune = 128 + 50 * np.sin(2 * np.pi * np.cumsum(np.repeat(rng.choice([220.0, 262, 330, 392, 440, 523], 40), 1000)) / 11025)
-    tune = (tune + 5 * rng.standard_normal(len(t))).clip(0, 255).astype(np.uint8)
-    noisy = (tune[1365 * 3 :].astype(float) + 2 * rng.standard_normal(len(tune) - 1365 * 3)).clip(0, 255).astype(np.uint8)
-    other = rng.integers(0, 255, 40000).astype(np.uint8)
-    data = [(1, tune.tobytes()), (2, noisy.tobytes()), (3, other.tobytes()), (4, None), (5, b""), (6, tune.tobytes()), (6, tune.tobytes()), (7, b"\x80" * 40000)]
-    df = spark.createDataFrame([(*d, "f", 1) for d in data], "doc_id long, audio binary, fingerprint string, rep int")
-    got = {r.doc_id: r for r in audio.align(df, sound=audio.Sound(frame=4096, hop=1365)).collect()}
-    assert got[6].match_id == 1 and got[6].match_offset == 0 and got[6].component_id == 1
-    assert got[2].match_id == 1 and got[2].match_offset == -3 and got[2].bit_error < 0.2 and got[2].component_id == 1
-    assert got[3].component_id == 3 and got[4].n_codes == 0 and got[5].match_id is None
-    assert audio.align(df.limit(0)).count() == 0
-
-
-def test_audio_hears_short_texts(spark, tmp_path):
-    rng = random.Random(12)
-    short, tiny = prose(rng, 120)[:450], prose(rng, 40)[:90]
-    table(spark, [(1, short, "a"), (2, short, "a"), (3, tiny, "a"), (4, prose(rng, 40)[:90], "a"), (5, tiny, "a"), (6, "", "a"), (7, "", "a"), (8, None, "a")]).write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r for r in registry.op3_audio(spark, str(tmp_path)).collect()}
-    assert got[1].n_codes == 6 and got[1].fingerprint == got[2].fingerprint is not None and got[2].match_id == got[2].component_id == 1
-    assert got[5].n_codes == 0 and got[5].fingerprint is None and got[5].match_id == got[5].component_id == 3 and got[5].bit_error == 0
-    assert all(got[k].component_id == k and got[k].match_id is None for k in (1, 3, 4, 6, 7, 8))
-
-
 def test_codes_do_not_depend_on_the_batch():
     rng = np.random.default_rng(7)
     sound = audio.Sound(frame=128, hop=16)
