@@ -13,6 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ from pagewright.llm.common import text_bytes, whole_runs, written
 WINDOW, GRAM = 100, 24
 #: Bytes of text that a task looks at together.
 SLICE = 4 << 20
-#: An anchor with more different surroundings in one slice is dealt out by single windows instead.
+#: An anchor with more different surroundings in the corpus has its windows compared one by one, dealt out by their
+#: digests; one with so many in a single slice has its runs dealt out by their surroundings already in the survey.
 HOT = 64
 #: Ids are broadcast to pick documents up to this number (8 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -143,40 +145,79 @@ def survey(batches):
 def settle(batches):
     """Of equal runs the first goes on if its anchor has other surroundings too; the others are covered.
 
-    An anchor that is hot in any slice is hot in all: wherever its runs went, its mark makes them go on by single windows.
+    Rows come sorted by anchor, kind, surroundings, document and start, and are read as a stream: between batches only the
+    last row, the number of surroundings of its anchor and a run that still waits for others are kept, however many runs
+    an anchor has. An anchor with over HOT surroundings, or with a mark that it was hot in a slice, leaves a mark behind.
     """
-    for table in whole_runs(batches, "route"):
-        h, c, doc, s, e, kind = (table.column(k).to_numpy() for k in ("h", "c", "doc", "s", "e", "kind"))
-        kind = kind.copy()
-        done = np.flatnonzero(kind == COVER)
-        live = np.flatnonzero(kind != COVER)
-        order, new = _first_of([h[live], (kind[live] == MARK).astype(np.int8), c[live]], doc[live], s[live])
-        order = live[order]
-        edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1], True]) if len(order) else np.zeros(1, np.int64)
-        classes = np.repeat(np.add.reduceat(new.astype(np.int64), edge[:-1]), np.diff(edge)) if len(order) else np.zeros(0, np.int64)
-        hot = np.repeat(np.add.reduceat((kind[order] == MARK).astype(np.int64), edge[:-1]) > 0, np.diff(edge)) if len(order) else np.zeros(0, bool)
-        kind[order[hot & (kind[order] == RUN)]] = HOT_RUN
-        go = order[new & (kind[order] != MARK) & ((classes > 1) | (kind[order] == HOT_RUN))]
-        old = order[~new & (kind[order] != MARK)]
-        rows = np.r_[done, old, go]
-        if rows.size:
-            end = np.r_[e[done], e[old] + WINDOW, e[go]].astype(np.int32)
-            what = np.r_[np.zeros(len(done) + len(old), np.int32), kind[go]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(s[rows]), pa.array(end), pa.array(h[rows]), pa.array(what)], names=["doc", "s", "e", "h", "kind"])
+    last, classes, marked, waiting = None, 0, False, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        route, h, c, doc, s, e, kind = (batch.column(k).to_numpy() for k in ("route", "h", "c", "doc", "s", "e", "kind"))
+        out: list[tuple[np.ndarray, ...]] = []
+
+        def put(rows, end, what):
+            out.append((doc[rows], s[rows], end, h[rows], np.full(len(rows), what, np.int32)))
+
+        cover = np.flatnonzero(kind == COVER)
+        put(cover, e[cover], COVER)
+        # runs of slices in which their anchor is hot, dealt by their surroundings: the first of equal ones goes on
+        dealt = np.flatnonzero(kind == HOT_RUN)
+        same = np.r_[False, (h[dealt][1:] == h[dealt][:-1]) & (c[dealt][1:] == c[dealt][:-1])] if len(dealt) else np.zeros(0, bool)
+        if len(dealt) and last is not None:
+            same[0] = last == (HOT_RUN, h[dealt[0]], c[dealt[0]])
+        put(dealt[same], e[dealt[same]] + WINDOW, COVER)
+        put(dealt[~same], e[dealt[~same]], HOT_RUN)
+        # all other runs of an anchor, and its marks before them
+        rest = np.flatnonzero((kind == RUN) | (kind == MARK))
+        edge = np.flatnonzero(np.r_[True, h[rest][1:] != h[rest][:-1], True]) if len(rest) else np.zeros(1, np.int64)
+        if len(rest):
+            if last is None or last[:2] != (RUN, h[rest[0]]):
+                classes, marked, waiting = 0, False, None
+            new = np.r_[True, (h[rest][1:] != h[rest][:-1]) | (c[rest][1:] != c[rest][:-1]) | (kind[rest][1:] != kind[rest][:-1])] & (kind[rest] == RUN)
+            if kind[rest[0]] == RUN and last == (RUN, h[rest[0]], c[rest[0]]):
+                new[0] = False
+            firsts = np.add.reduceat(new.astype(np.int64), edge[:-1])
+            marks = np.add.reduceat((kind[rest] == MARK).astype(np.int64), edge[:-1]) > 0
+            before, n = np.zeros(len(firsts), np.int64), firsts.copy()
+            before[0], n[0], marks[0] = classes, classes + firsts[0], marks[0] or marked
+            if waiting is not None and (n[0] > 1 or marks[0]):
+                out.append(waiting)
+                waiting = None
+            open_ = np.repeat((n > 1) | marks, np.diff(edge))
+            old = rest[~new & (kind[rest] == RUN)]
+            put(old, e[old] + WINDOW, COVER)
+            put(rest[new & open_], e[rest[new & open_]], RUN)
+            # hot anchors say so once: when their surroundings pass HOT, or at their first mark
+            hot = rest[edge[:-1][((n > HOT) & (before <= HOT)) | (marks & ~np.r_[marked, np.zeros(len(n) - 1, bool)])]]
+            put(hot, np.zeros(len(hot), np.int32), MARK)
+            if len(firsts) > 1:
+                waiting = None
+            alone = rest[new & ~open_]
+            if n[-1] == 1 and firsts[-1] and not marks[-1]:
+                k = alone[-1:]
+                waiting = (doc[k], s[k], e[k], h[k], np.full(1, RUN, np.int32))
+            classes, marked = int(n[-1]), bool(marks[-1])
+        if len(rest) or len(dealt):
+            k = max(rest[-1] if len(rest) else -1, dealt[-1] if len(dealt) else -1)
+            last = (HOT_RUN if kind[k] == HOT_RUN else RUN, h[k], c[k])
+        columns = [np.concatenate([x[k] for x in out]) for k in range(5)]
+        if len(columns[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in zip(columns, (np.int64, np.int32, np.int32, np.int64, np.int32), strict=True)], names=["doc", "s", "e", "h", "kind"])
 
 
 def fetch(batches):
     """Bytes of the open runs, or digests of the single windows of hot ones; rows (doc, text, runs)."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             single: list[tuple] = []
             part = batch.slice(at, 256)
             for doc, text, runs in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
                 for run in runs:
                     s, e, h, kind = run["s"], run["e"], run["h"], run["kind"]
                     if kind == RUN:
-                        for column, value in zip(out, (h, doc, s, text[s : e + WINDOW]), strict=True):
+                        for column, value in zip(out, (h, 0, doc, s, text[s : e + WINDOW]), strict=True):
                             column.append(value)
                     else:
                         single += [(xxhash.xxh3_128_digest(text[p : p + WINDOW]), doc, p) for p in range(s, e + 1)]
@@ -184,9 +225,10 @@ def fetch(batches):
             for k, (d, doc, p) in enumerate(single):
                 # of equal windows here the first goes on, the others are covered and say so by an empty digest
                 again = bool(k) and single[k - 1][0] == d
-                for column, value in zip(out, (doc if again else int.from_bytes(d[:8], "little", signed=True), doc, p, b"" if again else d), strict=True):
+                halves = (doc, 0) if again else (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True))
+                for column, value in zip(out, (*halves, doc, p, b"" if again else d), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "doc", "s", "ctx"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["route", "rest", "doc", "s", "ctx"])
 
 
 def equal_windows(starts: np.ndarray, group: np.ndarray, words: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -207,44 +249,63 @@ def equal_windows(starts: np.ndarray, group: np.ndarray, words: np.ndarray, dept
     return live, group
 
 
-def sort_runs(batches):
-    """Covered bytes (doc, s, e) from the runs and windows of each route."""
-    for table in whole_runs(batches, "route"):
-        route, doc, s = (table.column(k).to_numpy() for k in ("route", "doc", "s"))
-        ctx = table.column("ctx").to_pylist()
-        size = np.array([len(x) for x in ctx])
-        found = [(doc[i], s[i].astype(np.int64)) for i in (np.flatnonzero(size == 0),)]
-        one = np.flatnonzero(size == 16)
-        if one.size:
-            d = np.frombuffer(b"".join(ctx[i] for i in one), np.int64).reshape(-1, 2)
-            order, new = _first_of([d[:, 0], d[:, 1]], doc[one], s[one])
-            found.append((doc[one][order[~new]], s[one][order[~new]].astype(np.int64)))
-        runs = np.flatnonzero(size >= WINDOW)
-        edge = np.flatnonzero(np.r_[True, route[runs][1:] != route[runs][:-1], True]) if runs.size else []
-        step = 0
-        while step + 1 < len(edge):
-            stop = step + 1
-            while stop + 1 < len(edge) and size[runs[edge[step] : edge[stop + 1]]].sum() < SLICE:
-                stop += 1
-            rows = runs[edge[step] : edge[stop]]
-            step = stop
-            words = _words(np.frombuffer(b"".join(ctx[i] for i in rows), np.uint8))
-            many = size[rows] - WINDOW + 1
-            which = np.repeat(np.arange(len(rows)), many)
-            inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            starts = (np.cumsum(size[rows]) - size[rows])[which] + inside
-            live, group = equal_windows(starts, route[rows][which], words)
-            at_doc, at = doc[rows][which[live]], s[rows][which[live]] + inside[live]
-            order, new = _first_of([group], at_doc, at)
-            found.append((at_doc[order[~new]], at[order[~new]].astype(np.int64)))
-        d, p = (np.concatenate([f[k] for f in found]) for k in range(2))
-        if not d.size:
-            continue
-        order = np.lexsort([p, d])
-        d, p = d[order], p[order]
-        cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + WINDOW)])
-        end = p[np.r_[cut[1:], len(p)] - 1] + WINDOW
-        yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "s", "e"])
+def _spans(doc: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Covered bytes (doc, s, e) of windows that start at ``at``; windows that overlap or touch are one span."""
+    order = np.lexsort([at, doc])
+    d, p = doc[order], at[order]
+    cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (p[1:] > p[:-1] + WINDOW)])
+    end = p[np.r_[cut[1:], len(p)] - 1] + WINDOW
+    return pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc", "s", "e"])
+
+
+def sort_runs(table: pa.Table):
+    """Covered bytes (doc, s, e) from runs of windows with their bytes, whole anchors, of at most HOT runs each."""
+    route, doc, s = (table.column(k).to_numpy() for k in ("route", "doc", "s"))
+    ctx = table.column("ctx").to_pylist()
+    size = np.array([len(x) for x in ctx])
+    edge = np.flatnonzero(np.r_[True, route[1:] != route[:-1], True])
+    step = 0
+    while step + 1 < len(edge):
+        stop = step + 1
+        while stop + 1 < len(edge) and size[edge[step] : edge[stop + 1]].sum() < SLICE:
+            stop += 1
+        rows = np.arange(edge[step], edge[stop])
+        step = stop
+        words = _words(np.frombuffer(b"".join(ctx[i] for i in rows), np.uint8))
+        many = size[rows] - WINDOW + 1
+        which = np.repeat(np.arange(len(rows)), many)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        starts = (np.cumsum(size[rows]) - size[rows])[which] + inside
+        live, group = equal_windows(starts, route[rows][which], words)
+        at_doc, at = doc[rows][which[live]], s[rows][which[live]] + inside[live]
+        order, new = _first_of([group], at_doc, at)
+        if not new.all():
+            yield _spans(at_doc[order[~new]], at[order[~new]].astype(np.int64))
+
+
+def sort_fetched(batches):
+    """Covered bytes of single windows, all but the first of a digest, and of runs; sorted by route, document and start.
+
+    A digest may be that of very many windows: they pass as a stream of which only the last row is kept. Runs wait until
+    their anchor ends.
+    """
+    last, waiting = None, []
+    for batch in batches:
+        size = pc.binary_length(batch.column("ctx")).to_numpy(zero_copy_only=False)
+        windows, runs = batch.filter(pa.array(size < WINDOW)), batch.filter(pa.array(size >= WINDOW))
+        if windows.num_rows:
+            route, rest, doc, s = (windows.column(k).to_numpy() for k in ("route", "rest", "doc", "s"))
+            again = np.r_[last == (route[0], rest[0]), (route[1:] == route[:-1]) & (rest[1:] == rest[:-1])] | (size[size < WINDOW] == 0)
+            last = (route[-1], rest[-1])
+            if again.any():
+                yield _spans(doc[again], s[again].astype(np.int64))
+        if runs.num_rows:
+            *done, tail = whole_runs(iter([*waiting, runs]), "route")
+            waiting = tail.to_batches()
+            for table in done:
+                yield from sort_runs(table)
+    if waiting:
+        yield from sort_runs(pa.Table.from_batches(waiting))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -270,8 +331,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if not odd and dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
         return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
     keyed = rows.withColumn("th", F.xxhash64("text"))
-    order = keyed.select("id", "th").distinct().orderBy(F.col("id").asc_nulls_last(), "th").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    numbers = written(docs.sparkSession.createDataFrame(order, f"id {dict(rows.dtypes)['id']}, th bigint, doc bigint"))
+    # in sorted order these numbers rise, with gaps between partitions
+    numbers = written(keyed.select("id", "th").distinct().orderBy(F.col("id").asc_nulls_last(), "th").withColumn("doc", F.monotonically_increasing_id()))
     k, n = keyed.alias("k"), numbers.alias("n")
     return written(k.join(n, F.col("k.id").eqNullSafe(F.col("n.id")) & (F.col("k.th") == F.col("n.th"))).select("n.doc", "k.id", "k.text"))
 
@@ -279,12 +340,17 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def covered(rows: DataFrame) -> DataFrame:
     """(doc, spans) of every document that repeats a window which starts earlier; rows (doc, text)."""
     texts = rows.select("doc", "text")
-    runs = texts.mapInArrow(survey, _SURVEYED).repartition("route").sortWithinPartitions("route")
+    order = F.when(F.col("kind") == MARK, 0).otherwise(1)
+    runs = texts.mapInArrow(survey, _SURVEYED).repartition("route").sortWithinPartitions("route", "h", order, "c", "doc", "s")
     settled = written(runs.mapInArrow(settle, _RESOLVED))
-    open_runs = settled.where(F.col("kind") != COVER).groupBy("doc").agg(F.collect_list(F.struct("s", "e", "h", "kind")).alias("runs"))
-    wanted = _picked(texts, settled.where(F.col("kind") != COVER).select("doc").distinct())
-    fetched = wanted.join(open_runs, "doc").select("doc", "text", "runs").mapInArrow(fetch, "route bigint, doc bigint, s int, ctx binary")
-    rest = fetched.repartition("route").sortWithinPartitions("route").mapInArrow(sort_runs, "doc bigint, s int, e int")
+    hot = settled.where(F.col("kind") == MARK).select("h").distinct().withColumn("hot", F.lit(True))
+    open_runs = settled.where(F.col("kind").isin(RUN, HOT_RUN)).join(F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot, "h", "left")
+    open_runs = open_runs.withColumn("kind", F.when(F.col("hot"), HOT_RUN).otherwise(F.col("kind")))
+    by_doc = open_runs.groupBy("doc").agg(F.collect_list(F.struct("s", "e", "h", "kind")).alias("runs"))
+    wanted = _picked(texts, open_runs.select("doc").distinct())
+    fetched = wanted.join(by_doc, "doc").select("doc", "text", "runs").mapInArrow(fetch, "route bigint, rest bigint, doc bigint, s int, ctx binary")
+    fetched = fetched.repartition("route").sortWithinPartitions("route", "rest", "doc", "s")
+    rest = fetched.mapInArrow(sort_fetched, "doc bigint, s int, e int")
     spans = settled.where(F.col("kind") == COVER).select("doc", "s", "e").union(rest)
     return written(spans.groupBy("doc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
 

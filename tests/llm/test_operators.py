@@ -160,61 +160,74 @@ def test_substrings(spark, rows):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
-def test_substrings_of_hot_anchors(monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", 2)
-    rng = random.Random(4)
-    shared = prose(rng, 40)
-    data = [(k, prose(rng, 5 + k % 7) + shared + prose(rng, 30)) for k in range(40)]
-    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in data]), pa.array([t for _, t in data])], names=["doc", "text"])
-
-    def dealt(batches):
-        t = pa.Table.from_batches(list(batches))
-        return t.sort_by("route").to_batches()
-
-    settled = pa.Table.from_batches(list(substrings.settle(iter(dealt(substrings.survey(iter([batch]))))))).to_pylist()
-    assert any(r["kind"] == substrings.HOT_RUN for r in settled)
-    runs = {}
+def dealt(batches, *keys, rows=7):
+    """What a shuffle and a sort make of ``batches``, handed on a few rows at a time."""
+    t = pa.Table.from_batches(list(batches))
+    return iter(t.sort_by([(k, "ascending") for k in keys]).to_batches(max_chunksize=rows))
+
+
+def repeats_by_stages(slices, rows=7):
+    """(n_removed, n_spans) of each document when its slice is a batch of its own; no Spark."""
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
+    surveyed = pa.Table.from_batches([b for part in slices for b in substrings.survey(iter([batch(part)]))])
+    surveyed = surveyed.append_column("order", pa.array([k != substrings.MARK for k in surveyed.column("kind").to_pylist()]).cast("int8"))
+    settled = pa.Table.from_batches(list(substrings.settle(dealt(surveyed.to_batches(), "route", "h", "order", "c", "doc", "s", rows=rows)))).to_pylist()
+    hot = {r["h"] for r in settled if r["kind"] == substrings.MARK}
+    runs, kinds = {}, set()
     for r in settled:
-        if r["kind"]:
+        if r["kind"] in (substrings.RUN, substrings.HOT_RUN):
+            r["kind"] = substrings.HOT_RUN if r["h"] in hot else r["kind"]
+            kinds.add(r["kind"])
             runs.setdefault(r["doc"], []).append(r)
-    docs = [(d, t, runs[d]) for d, t in data if d in runs]
+    docs = [(d, t, runs[d]) for part in slices for d, t in part if d in runs]
     asked = pa.RecordBatch.from_arrays([pa.array([x[k] for x in docs]) for k in range(3)], names=["doc", "text", "runs"])
-    spans = [r for r in settled if not r["kind"]] + pa.Table.from_batches(list(substrings.sort_runs(iter(dealt(substrings.fetch(iter([asked]))))))).to_pylist()
-    want = brute_repeats(data)
-    for d, _ in data:
+    fetched = dealt(substrings.fetch(iter([asked])), "route", "rest", "doc", "s", rows=rows)
+    spans = [r for r in settled if r["kind"] == substrings.COVER] + [r for b in substrings.sort_fetched(fetched) for r in b.to_pylist()]
+    out = {}
+    for d, _ in [x for part in slices for x in part]:
         found = substrings.merged([(r["s"], r["e"]) for r in spans if r["doc"] == d])
-        assert (sum(e - s for s, e in found), len(found)) == want[d][1:3]
+        out[d] = (sum(e - s for s, e in found), len(found))
+    return out, kinds, hot
 
 
-def test_substrings_of_anchors_hot_in_one_slice_only(monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", 6)
-    rng = random.Random(14)
-    shared, edge = prose(rng, 40), prose(rng, 12)
-    data = [(k, prose(rng, 5 + k % 7) + shared + prose(rng, 30)) for k in range(30)]
-    # the last documents are a slice of their own, in which no anchor is hot; two windows with other ends occur only there and once before
-    data += [(30, prose(rng, 9) + shared + edge), (31, prose(rng, 8) + shared + prose(rng, 9)), (32, prose(rng, 7) + shared + edge)]
-    data[3] = (3, data[3][1] + edge + shared + edge)
+def same_as_brute_force(slices, rows=7):
+    got, kinds, hot = repeats_by_stages(slices, rows)
+    want = brute_repeats(sorted(x for part in slices for x in part))
+    assert got == {d: want[d][1:3] for d in got}
+    return kinds, hot
 
-    def batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["doc", "text"])
 
-    def dealt(batches):
-        return pa.Table.from_batches(list(batches)).sort_by("route").to_batches()
-
-    surveyed = [list(substrings.survey(iter([batch(rows)]))) for rows in (data[:30], data[30:])]
-    assert [any(k == substrings.MARK for b in part for k in b.column("kind").to_pylist()) for part in surveyed] == [True, False]
-    settled = pa.Table.from_batches(list(substrings.settle(iter(dealt(surveyed[0] + surveyed[1]))))).to_pylist()
-    runs = {}
-    for r in settled:
-        if r["kind"]:
-            runs.setdefault(r["doc"], []).append(r)
-    docs = [(d, t, runs[d]) for d, t in data if d in runs]
-    asked = pa.RecordBatch.from_arrays([pa.array([x[k] for x in docs]) for k in range(3)], names=["doc", "text", "runs"])
-    spans = [r for r in settled if not r["kind"]] + pa.Table.from_batches(list(substrings.sort_runs(iter(dealt(substrings.fetch(iter([asked]))))))).to_pylist()
-    want = brute_repeats(data)
-    for d, _ in data:
-        found = substrings.merged([(r["s"], r["e"]) for r in spans if r["doc"] == d])
-        assert (sum(e - s for s, e in found), len(found)) == want[d][1:3]
+def test_substrings_of_hot_anchors(monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 2)
+    rng = random.Random(4)
+    shared = prose(rng, 40)
+    kinds, hot = same_as_brute_force([[(k, prose(rng, 5 + k % 7) + shared + prose(rng, 30)) for k in range(40)]])
+    assert substrings.HOT_RUN in kinds and hot
+
+
+@pytest.mark.parametrize("sizes", [(300, 5), (5, 300), (5, 300, 5), (40, 40, 40, 40)])
+def test_substrings_over_slices_at_the_shipped_threshold(sizes):
+    """Anchors hot in one slice and not in another, before and after it, and hot in the corpus but in no slice."""
+    assert substrings.HOT == 64
+    for seed in range(3):
+        rng = random.Random(seed)
+        shared, edge, slices, at = prose(rng, 40), prose(rng, 12), [], 0
+        for n in sizes:
+            slices.append([(at + k, prose(rng, 3 + k % 9) + shared + (edge if k % 4 == 0 else "") + prose(rng, 6)) for k in range(n)])
+            at += n
+        for rows in (7, 100_000):
+            assert same_as_brute_force(slices, rows)[1]
+
+
+def test_substrings_over_slices_by_chance():
+    rng = random.Random(77)
+    for _ in range(12):
+        parts = [prose(rng, 30) for _ in range(4)]
+        at, slices = 0, []
+        for n in (rng.randint(1, 6) for _ in range(rng.randint(1, 5))):
+            slices.append([(at + k, "".join(rng.choice([prose(rng, rng.randint(1, 20)), *parts]) for _ in range(rng.randint(0, 5)))) for k in range(n)])
+            at += n
+        same_as_brute_force(slices, rng.choice([1, 3, 50]))
 
 
 def test_packing(spark, rows):
