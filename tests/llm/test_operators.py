@@ -71,7 +71,7 @@ def test_embeddings(spark, monkeypatch):
     base = rng.standard_normal((30, 32))
     vs = [base[k % 30] + rng.standard_normal(32) * rng.choice([0.0, 0.2, 0.45]) for k in range(300)]
     data = [(k, [float(np.float32(x)) for x in v], 1, 5, "x") for k, v in enumerate(vs)]
-    data += [(1000, None, 1, 5, "x"), (1001, [], 1, 5, "x"), (1002, [0.0] * 32, 1, 5, "x"), (1003, [float("nan")] * 32, 1, 5, "x"), (1004, [None] * 32, 1, 5, "x"), (1005, [1.0, 2.0], 1, 5, "x"), (1006, [2.0, 4.0], 1, 5, "x"), (1007, [float("inf")] * 32, 1, 5, "x")]
+    data += [(1000, None, 1, 5, "x"), (1001, [], 1, 5, "x"), (1002, [0.0] * 32, 1, 5, "x"), (1003, [float("nan")] * 32, 1, 5, "x"), (1004, [None] * 32, 1, 5, "x"), (1005, [1.0, 2.0], 1, 5, "x"), (1006, [2.0, 4.0], 1, 5, "x"), (1007, [float("inf")] * 32, 1, 5, "x"), (None, [1.0, 2.0], 1, 5, "x")]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, label int, rep long, links string")
     u = np.array([v / np.linalg.norm(v) for v in (np.array(d[1]) for d in data[:300])])
     near = (u @ u.T) >= 0.9
@@ -85,15 +85,36 @@ def test_embeddings(spark, monkeypatch):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_estimates_are_unbiased():
+@pytest.mark.parametrize("dim", [48, 63, 64, 200])
+def test_estimates_are_unbiased(dim):
     rng = np.random.default_rng(2)
-    u = rng.standard_normal((2000, 64))
+    u = rng.standard_normal((1500, dim))
+    u[1::2] = u[::2] + rng.standard_normal((750, dim)) * 0.4
     u /= np.linalg.norm(u, axis=1, keepdims=True)
-    signs, turned, factor = embeddings.codes(u)
-    estimate = (signs @ turned[:50].T) / factor[:, None]
-    exact = u @ u[:50].T
-    assert abs((estimate - exact)[50:].mean()) < 0.002
-    assert (embeddings.upper_bounds(signs, factor, turned[:50]) >= exact - 1e-9).all()
+    c = embeddings.codes(u)
+    assert embeddings.Codes.of(c.packed(), dim).sides()[0].tolist() == c.sides()[0].tolist() and c.packed().shape[1] == (dim + 7) // 8 + (dim + 1) // 2 + 12
+    estimate, near = embeddings.may_reach(embeddings.Codes.of(c.packed(), dim), 0.9)
+    exact = u @ u.T
+    apart = ~np.eye(1500, dtype=bool)
+    assert abs((estimate - exact)[apart].mean()) < 0.002 and abs((estimate - exact)[1::2, ::2].diagonal().mean()) < 0.01
+    assert near[exact >= 0.9].all() and (exact >= 0.9)[apart].sum() > 300 and near.mean() < 0.02
+
+
+def test_embeddings_recall_of_planted_pairs(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1500, 64))
+    other = rng.standard_normal((1500, 64))
+    u = base / np.linalg.norm(base, axis=1, keepdims=True)
+    other -= (other * u).sum(1, keepdims=True) * u
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.88, 0.94, (1500, 1))
+    vs = np.concatenate([u, cos * u + np.sqrt(1 - cos**2) * other])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    unit = vs / np.linalg.norm(vs, axis=1, keepdims=True)
+    want = ((unit @ unit.T) >= 0.9).sum(1) - 1
+    got = np.array([r.n_links for r in embeddings.near_duplicates(df).orderBy("vec_id").collect()])
+    print("recall", got.sum() / want.sum(), want.sum())
+    assert (got <= want).all() and got.sum() >= 0.995 * want.sum()
 
 
 def test_mixing(spark, rows):
