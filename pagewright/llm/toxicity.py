@@ -20,12 +20,12 @@ from pagewright.llm.common import crc_fold, written
 
 #: Labelled rows that train the weights: those with the smallest hash of the id, at most so many.
 SAMPLE = 20_000
-#: Words and word beginnings kept with a weight, the heaviest, at most so many.
-LEXICON = 50_000
 #: Labelled toxic texts that a word or beginning must occur in.
 LEAST = 4
 #: Longest span whose decoding is remembered, in characters; longer ones are decoded each time.
 SPAN = 48
+#: Characters of text that are counted or weighed together.
+SLICE = 1 << 20
 
 # fixed values: letters that characters of leetspeak stand for
 LEET = {"4": "a", "@": "a", "8": "b", "3": "e", "9": "g", "6": "g", "1": "il", "!": "i", "|": "li", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
@@ -49,21 +49,30 @@ for _o in range(256):
 
 
 def trigram_counts(texts) -> np.ndarray:
-    """Counts of symbol trigrams, two borders before each text."""
+    """Counts of symbol trigrams, two borders before each text; a long text is counted by slices that carry their last symbols on."""
     total = np.zeros(SIZE**3, np.int64)
     for text in texts:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        s = np.r_[0, 0, _CODE[np.where(points < 256, points, 0)], 0]
-        s = s[np.r_[True, (s[1:] != 0) | (s[:-1] != 0)]]
-        if len(s) > 2:
-            total += np.bincount(s[:-2] * SIZE * SIZE + s[1:-1] * SIZE + s[2:], minlength=SIZE**3) if len(s) > 5000 else _small(s)
+        before = np.zeros(2, np.int64)
+        for at in range(0, len(text), SLICE):
+            points = np.frombuffer(text[at : at + SLICE].lower().encode("utf-32-le", "replace"), np.uint32)
+            s = np.r_[before, _CODE[np.where(points < 256, points, 0)], *([0] if at + SLICE >= len(text) else [])]
+            s = s[np.r_[True, True, (s[2:] != 0) | (s[1:-1] != 0)]]
+            before = s[-2:]
+            if len(s) > 2:
+                total += np.bincount(s[:-2] * SIZE * SIZE + s[1:-1] * SIZE + s[2:], minlength=SIZE**3)
     return total
 
 
-def _small(s: np.ndarray) -> np.ndarray:
-    out = np.zeros(SIZE**3, np.int64)
-    np.add.at(out, s[:-2] * SIZE * SIZE + s[1:-1] * SIZE + s[2:], 1)
-    return out
+def by_size(texts: list, most: int = SLICE):
+    """Ranges of ``texts`` of up to ``most`` characters together, or of one longer text."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        if k > start and held + len(text or "") > most:
+            yield start, k
+            start, held = k, 0
+        held += len(text or "")
+    if len(texts) > start:
+        yield start, len(texts)
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -71,13 +80,14 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
     def count(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                texts = "\n".join(t for t in batch.column(0).slice(at, 2048).to_pylist() if t)
-                total = trigram_counts([texts])
+            texts = batch.column(0).to_pylist()
+            for a, b in by_size(texts):
+                total = trigram_counts(["\n".join(t for t in texts[a:b] if t)])
                 key = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(total[key])], names=["key", "n"])
 
     counts = np.zeros(SIZE**3)
+    # at most SIZE**3 = 216,000 rows
     for row in docs.select(text_col).mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).collect():
         counts[row["key"]] = row["n"]
     three = counts.reshape(SIZE, SIZE, SIZE)
@@ -185,15 +195,19 @@ class Model:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """Bounded training sample (y, text) of rows outside the held-out fold."""
+    """Training sample (y, text) of at most SAMPLE rows outside the held-out fold; an id of several rows trains nothing."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y"))
     known = known.where(crc_fold(id_col) != 0).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
     # at most SAMPLE rows of an id and a number
-    return docs.select(id_col, text_col).join(F.broadcast(known), id_col).select("y", F.col(text_col).alias("text"))
+    single = docs.select(id_col).join(F.broadcast(known), id_col).groupBy(id_col, "y").agg(F.count("*").alias("n")).where("n = 1").select(id_col, "y")
+    return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(single), id_col).select("y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE labelled rows whose crc32(id) mod 5 isn't 0; the language model reads all texts, no labels."""
+    """Fit on at most SAMPLE labelled rows whose crc32(id) mod 5 isn't 0; the language model reads all texts, no labels.
+
+    Letters outside Latin-1 are borders of words here. Without labelled rows, or without toxic ones, every text scores low.
+    """
     letters = language_model(docs, text_col)
     sample = written(_labelled(docs, labels, id_col, text_col, label_col))
     share = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -202,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches):
         words = Words(letters)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            ys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for a, b in by_size(texts):
                 seen: dict[str, list[int]] = {}
-                part = batch.slice(at, 256)
-                for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for y, text in zip(ys[a:b], texts[a:b], strict=True):
                     for f in {f for w in words.of(text) for f in features(w)}:
                         seen.setdefault(f, [0, 0])[1 if y == 1 else 0] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["f", "pos", "neg"])
@@ -213,8 +227,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counted = sample.mapInArrow(count, "f string, pos bigint, neg bigint").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # a weight is the log odds at the lower end of a smoothed estimate, so rare words weigh little
     weight = F.log((F.col("pos") + 0.2) / (n_pos + 1)) - F.log((F.col("neg") + 1.0) / (n_neg + 1))
-    heavy = counted.where(F.col("pos") >= LEAST).select("f", weight.alias("w")).where("w > 1").orderBy(F.desc("w"), "f").limit(LEXICON)
-    weights = {r["f"]: r["w"] for r in heavy.collect()}
+    # each stands in LEAST toxic texts of the sample at least, so the sample bounds them
+    heavy = counted.where(F.col("pos") >= LEAST).select("f", weight.alias("w")).where("w > 1")
+    weights = {r["f"]: r["w"] for r in heavy.toLocalIterator()}
     model = Model(letters, weights, np.zeros(4))
 
     def weigh(batches):
