@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The shared folder for intermediate tables that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a temporary folder is made and set, but only in local mode (tests), where the one process is driver and
+    executors: executors of a cluster don't see each other's folders.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place

@@ -61,13 +61,16 @@ class Space:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Share of the label 1 among the nearest labelled vectors, weighted by cosine."""
+        """Share of the label 1 among the nearest labelled vectors, weighted by cosine; of equally near ones the first of the sample vote."""
         n = len(self.labels)
         if not n:
             return np.full(len(x), 0.5)
         cos = self.place(x) @ self.vectors.T
         k = min(NEIGHBOURS, n)
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+        least = np.partition(cos, n - k, axis=1)[:, n - k, None]
+        above, level = cos > least, cos == least
+        chosen = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        near = np.nonzero(chosen)[1].reshape(len(x), k)
         weight = np.clip(np.take_along_axis(cos, near, 1), 1e-3, 1).astype(np.float64) ** POWER
         return (weight * self.labels[near]).sum(1) / weight.sum(1)
 

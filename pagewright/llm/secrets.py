@@ -122,10 +122,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text
 
     def kept(points):
         """The texts between the cuts, of a text as four bytes a code point, so that a piece is found without reading up to it."""
-        starts = F.concat(F.array(F.lit(0)), F.transform("cuts", lambda x: x["e"]))
-        ends = F.concat(F.transform("cuts", lambda x: x["s"]), F.array((F.length(points) / 4).cast("int")))
+        starts = F.concat(F.array(F.lit(0)), F.transform("c.cuts", lambda x: x["e"]))
+        ends = F.concat(F.transform("c.cuts", lambda x: x["s"]), F.array((F.length(points) / 4).cast("int")))
         return F.array_join(F.zip_with(starts, ends, lambda a, b: F.decode(F.substr(points, 4 * a + 1, 4 * (b - a)), "UTF-32")), mark)
 
-    clean = F.when(F.col("cuts").isNull(), t).otherwise(F.transform(F.array(F.encode(t, "UTF-32")), kept)[0])
+    clean = F.when(F.col("c.cuts").isNull(), t).otherwise(F.transform(F.array(F.encode(t, "UTF-32")), kept)[0])
     rows = docs.alias("d").join(cuts.alias("c"), F.xxhash64(t) == F.col("c.th"), "left")
     return rows.select(*[clean.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])

@@ -71,12 +71,14 @@ def _level(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
     def spots(frames):
         for f in frames:
             h1, h2 = (f[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
-            yield pd.DataFrame({"at": np.unique(np.concatenate(list(_spots(h1, h2, depth, size, probes)))).astype(np.int64)})
+            at = np.unique(np.concatenate(list(_spots(h1, h2, depth, size, probes)))) if len(f) else np.zeros(0, np.uint64)
+            yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
-    bits = np.zeros(size // 8 + 1, np.uint8)
-    for row in keys.mapInPandas(spots, "at bigint").distinct().toLocalIterator():
-        bits[row["at"] >> 3] |= 1 << (row["at"] & 7)
-    return Level(bits, size, probes, depth)
+    # one row for every 64 bits of the filter, which grows with the list and not with the corpus
+    words = keys.mapInPandas(spots, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(size // 64 + 1, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return Level(bits.view(np.uint8), size, probes, depth)
 
 
 def _held(level: Level):
@@ -86,20 +88,19 @@ def _held(level: Level):
     return test
 
 
-def cascade(universe: DataFrame, inside: list[str]) -> list[Level]:
-    """Levels for the keys ``inside`` against all others of ``universe`` (key, h1, h2).
+def cascade(universe: DataFrame, inside: DataFrame) -> list[Level]:
+    """Levels for the keys of ``inside`` (key) against all others of ``universe`` (key, h1, h2).
 
     Level 0 holds the listed keys, level 1 the other keys that level 0 takes for listed, level 2 the listed ones that
     level 1 holds by mistake, and so on until a level errs for no key. The rate of level 0 keeps its errors near the
     number of listed keys, so all levels grow with the list, whatever the universe. Each level's errors are found and
-    hashed by Spark; the driver receives bit positions.
+    hashed by Spark; the driver receives the words of the filters.
     """
-    spark = universe.sparkSession
-    keys = spark.createDataFrame([(k,) for k in sorted(set(inside))], "key string").select("key", *[h.alias(f"h{i + 1}") for i, h in enumerate(_hashes(F.col("key")))])
+    keys = written(inside.select("key").distinct().select("key", *[h.alias(f"h{i + 1}") for i, h in enumerate(_hashes(F.col("key")))]))
     n = keys.count()
     if not n:
         return []
-    others = written(universe.where(~F.col("key").isin(sorted(set(inside)))))
+    others = written(universe.join(keys.select("key"), "key", "left_anti"))
     rate = min(0.5, n * math.sqrt(0.5) / max(1, others.count()))
     levels, sides, k = [], [keys, others], 0
     while n:
@@ -122,21 +123,22 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 def judge(pages: DataFrame, rules=RULES, default: str = DEFAULT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict): the longest rule that fits each url, else ``default``.
 
-    A url's keys are the endings of its host with the label counts of the rules, joined with the starts of its path with
-    the lengths of the rules. The distinct keys of all urls are the universe for which the cascades are exact, so the
+    ``rules`` are rows (host, path, verdict), as tuples or as a DataFrame of any length. A url's keys are the endings of its host
+    joined with the starts of its path, for each pair of label count and path length that some rule has. The distinct keys of all urls are the universe for which the cascades are exact, so the
     lookup needs no join. Null urls and those without ``://`` have empty host and path and fit no rule. Repeated rows
     are judged each; an empty table gives an empty result; other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    labels, lengths = sorted({h.count(".") + 1 for h, _, _ in rules}), sorted({len(p) for _, p, _ in rules})
-    ends = F.array(*[F.when(F.size(F.split("host", r"\.")) >= k, F.substring_index("host", ".", -k)) for k in labels])
-    starts = F.array(*[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths])
-    keys = F.flatten(F.transform(F.filter(ends, lambda e: e.isNotNull() & (e != "")), lambda e: F.transform(F.filter(starts, lambda s: s.isNotNull()), lambda s: F.concat(e, F.lit(_JOIN), s))))
+    listing = (rules if isinstance(rules, DataFrame) else pages.sparkSession.createDataFrame(list(rules), "host string, path string, verdict string")).select("host", "path", "verdict")
+    # pairs of two small numbers
+    forms = sorted(tuple(r) for r in listing.select(F.size(F.split("host", r"\.")).alias("n"), F.length("path").alias("m")).distinct().collect())
+    fits = [F.when((F.size(F.split("host", r"\.")) >= n) & (F.length("path") >= m) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -n), F.lit(_JOIN), F.substring("path", 1, m))) for n, m in forms]
+    keys = F.filter(F.array(*fits), lambda k: k.isNotNull()) if fits else F.array().cast("array<string>")
     rows = written(rows.withColumn("keys", keys))
     universe = written(rows.select(F.explode("keys").alias("key")).distinct().select("key", *[h.alias(f"h{i + 1}") for i, h in enumerate(_hashes(F.col("key")))]))
-    every = cascade(universe, [h + _JOIN + p for h, p, _ in rules])
-    block = cascade(universe, [h + _JOIN + p for h, p, v in rules if v == "block"])
+    listing = listing.select(F.concat("host", F.lit(_JOIN), "path").alias("key"), "verdict")
+    every, block = cascade(universe, listing), cascade(universe, listing.where("verdict = 'block'"))
 
     def member(levels):
         def test(a: pd.Series, b: pd.Series) -> pd.Series:

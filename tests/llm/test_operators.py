@@ -1,6 +1,7 @@
 """Each operator against brute force, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -49,8 +50,6 @@ def test_simhash(spark, rows):
             comp[a] = min(comp[b] for b in fp if (fp[a] ^ fp[b]).bit_count() <= 4)
     assert len(got) == len(rows)
     assert all(r.fp & (1 << 64) - 1 == fp[r.doc_id] and r.component_id == comp[r.doc_id] for r in got)
-    kept = simhash.keep_first(table(spark, rows)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(comp.values()))
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
@@ -67,6 +66,62 @@ def test_simhash_splits_large_buckets(spark, monkeypatch):
     assert all(comp.get(k, k) == want[k] for k in range(len(fps)))
 
 
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_simhash_of_more_blocks(spark, blocks):
+    rng = random.Random(blocks)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    fps = sorted(fps | {f ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 5))) for f in fps})
+    classes = spark.createDataFrame([(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)], "rep long, fp long")
+    got = {tuple(sorted((r.a, r.b))) for r in simhash.links(classes, 4, blocks).collect()}
+    assert got == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 4}
+
+
+def shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_simhash_keeps_one_of_each_group(spark, monkeypatch):
+    """Against exact Jaccard similarity of five-word shingles, with edited copies from 0.5 to 1."""
+    rng = random.Random(21)
+    docs, group = [], {}
+    for k in range(150):
+        words = prose(rng, 300).split()
+        docs.append((3 * k, " ".join(words), "a"))
+        for j in (1, 2):
+            edited = list(words)
+            for at in rng.sample(range(300), rng.choice([0, 1, 3, 5, 12, 30])):
+                edited[at] = "x" + edited[at]
+            docs.append((3 * k + j, " ".join(edited), "a"))
+    text = {i: t for i, t, _ in docs}
+    like = {(i, j): len(shingles(text[i]) & shingles(text[j])) / len(shingles(text[i]) | shingles(text[j])) for i in text for j in text if i < j and i // 3 == j // 3}
+    th = {r.text: r.th for r in table(spark, docs).selectExpr("text", "xxhash64(text) th").collect()}
+    comp = {r.th: r.component for r in simhash.similar(table(spark, docs)).collect()}
+    same = {p: comp[th[text[p[0]]]] == comp[th[text[p[1]]]] for p in like}
+    near, far = [p for p in like if like[p] >= 0.8], [p for p in like if like[p] < 0.72]
+    print("recall", sum(same[p] for p in near) / len(near), len(near), "false", sum(same[p] for p in far), len(far))
+    assert len(near) > 150 and len(far) > 50 and sum(same[p] for p in near) >= 0.95 * len(near) and not any(same[p] for p in far if max(like[q] for q in like if q[0] // 3 == p[0] // 3) < 0.72)
+    assert len(set(comp.values())) >= 150
+    kept = {r.doc_id for r in simhash.keep_first(table(spark, docs)).collect()}
+    first = {}
+    for i in sorted(text):
+        first.setdefault(comp[th[text[i]]], i)
+    assert kept == set(first.values())
+    monkeypatch.setattr(simhash, "CHUNK", 3)
+    assert {r.doc_id for r in simhash.keep_first(table(spark, docs)).collect()} == kept
+
+
+def test_simhash_stage_rows(spark, rows):
+    """Nulls, empty texts, repeated rows, and an id with two texts."""
+    data = [*rows, (None, "One", "a"), (None, None, "a"), (6, "quite another text of some words", "a")]
+    got = sorted(((r.doc_id is None, r.doc_id, r.text) for r in simhash.keep_first(table(spark, data)).collect()), key=str)
+    text = dict((i, t) for i, t, _ in rows)
+    want = [(False, 1, text[1]), (False, 2, None), (False, 5, "One"), (False, 6, "quite another text of some words"), (False, 8, text[8]), *[(False, k, text[k]) for k in range(10, 30)], (True, None, "One"), (True, None, None)]
+    assert got == sorted(want, key=str)
+    empty = table(spark, [])
+    assert simhash.keep_first(empty).count() == 0 and simhash.keep_first(empty).columns == empty.columns
+
+
 def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(0)
     base = rng.standard_normal((30, 32))
@@ -290,6 +345,25 @@ def test_packing(spark, rows):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_ids_are_those_of_tokenizers():
+    """All texts of a table and long ones without white space, against the vocabulary file itself; and the share of padding."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    slow, fast, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(), random.Random(6)
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += ["".join(rng.choice("abcdefghij") for _ in range(20_000)), "ñ漢🙂" * 3000, " \n\t" * 4000, "1234567890" * 900, "".join(chr(rng.randint(32, 0x2FFF)) for _ in range(5000))]
+    assert all(fast(t) == slow.encode(t, add_special_tokens=False).ids for t in texts)
+    lengths = {}
+    for t in texts:
+        n = len(fast(t)) + 1
+        for s in range(0, n, packing.SEQUENCE):
+            lengths[min(packing.SEQUENCE, n - s)] = lengths.get(min(packing.SEQUENCE, n - s), 0) + 1
+    sequences = max(first + count for _, _, count, _, first, _ in packing.patterns(lengths))
+    assert sequences * packing.SEQUENCE <= 1.01 * sum(k * v for k, v in lengths.items()) + packing.SEQUENCE
+
+
 def test_patterns_hold_every_piece():
     rng = random.Random(5)
     for h in ({1: 10**6}, {100: 10**6, 1: 3}, {1500: 100, 3: 77777}, {k: rng.randint(1, 9) for k in range(1, 2049)}):
@@ -314,12 +388,32 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_votes_against_brute_force(spark, rows):
+    """Votes of every document by sorting all its cosines to the labelled vectors, ties by place."""
+    docs = table(spark, rows)
+    space = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int"))
+    assert len(space.labels) == sum(zlib.crc32(str(i).encode()) % 5 != 0 and i < 40 for i, _, _ in rows)
+    x = np.stack([quality.terms((t or "").encode()) for _, t, _ in rows])
+    for labels, vectors in ((space.labels, space.vectors), (np.r_[space.labels, 1 - space.labels, space.labels], np.r_[space.vectors, space.vectors, space.vectors])):
+        many = quality.Space(space.mean, space.axes, vectors, labels)
+        cos = many.place(x) @ vectors.T
+        for k, score in enumerate(many.score(x)):
+            near = sorted(range(len(labels)), key=lambda j: (-cos[k, j], j))[: quality.NEIGHBOURS]
+            w = [max(1e-3, min(1.0, float(cos[k, j]))) ** quality.POWER for j in near]
+            assert math.isclose(score, sum(a * labels[j] for a, j in zip(w, near, strict=True)) / sum(w), rel_tol=1e-5, abs_tol=1e-9)
+    got = {r.doc_id: r.score for r in quality.score(docs, space).collect()}
+    assert all(math.isclose(got[i], s, abs_tol=1e-5) for (i, _, _), s in zip(rows, space.score(x), strict=True))
+
+
 def test_urls(spark):
     pages = [(1, "HTTP://WWW.Example.COM/en/x?y"), (2, "http://shop.example.com/en/"), (3, "http://a.net/es/z#f"), (4, "http://net/fr/"), (5, "http://example.com"), (6, None), (7, "no scheme"), (8, "http://xexample.com/en/"), (9, "x://b.example.com/en"), (9, "x://b.example.com/en"), (10, "http://notnet/es/")]
     df = spark.createDataFrame([(*p, "k", "h") for p in pages], "page_id long, url string, keys string, host string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df).collect()}
     assert got == {1: ("www.example.com/en/", "allow"), 2: ("example.com/en/", "block"), 3: ("net/es/", "block"), 4: ("net/fr/", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: ("com/", "allow"), 9: ("com/", "allow"), 10: (None, "allow")}
     assert urls.judge(df.limit(0)).count() == 0
+    rules = spark.createDataFrame([("example.com", "/en", "block"), ("a.net", "", "block"), ("com", "/e", "allow"), ("absent.org", "/", "block")], "host string, path string, verdict string")
+    assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, rules).collect() if r.rule} == {1: ("example.com/en", "block"), 2: ("example.com/en", "block"), 3: ("a.net", "block"), 8: ("com/e", "allow"), 9: ("example.com/en", "block")}
+    assert {r.verdict for r in urls.judge(df, rules.limit(0)).collect()} == {"allow"}
 
 
 def test_cascade_is_exact(spark):
@@ -327,7 +421,7 @@ def test_cascade_is_exact(spark):
 
     universe = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("key")).select("key", *[h.alias(f"h{i + 1}") for i, h in enumerate(urls._hashes(F.col("key")))])
     inside = [f"k{i}" for i in range(0, 3000, 7)]
-    levels = urls.cascade(universe, inside)
+    levels = urls.cascade(universe, spark.createDataFrame([(k,) for k in inside], "key string"))
     rows = universe.collect()
     h1, h2 = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in ("h1", "h2"))
     assert {r.key for r, hit in zip(rows, urls.listed(levels, h1, h2), strict=True) if hit} == set(inside) and len(levels) > 1
@@ -411,6 +505,63 @@ def test_restore_follows_the_model():
         assert toxicity.restore(span, model) == word
 
 
+def test_restore_against_all_paths():
+    """The best of all paths of a lattice, each scored whole."""
+    rng = random.Random(5)
+    model = np.log(np.random.default_rng(5).dirichlet(np.ones(toxicity.SIZE), (toxicity.SIZE, toxicity.SIZE))).astype(np.float32)
+
+    def options(span):
+        last = ""
+        for c in span:
+            if toxicity.symbol(c):
+                yield [(c, 0.0)] + ([("", -0.5)] if c == last else [])
+            elif c in toxicity.LEET:
+                yield [(x, -0.7) for x in toxicity.LEET[c]] + [("", -4.0)]
+            else:
+                yield [("", -0.3), (" ", -0.7)]
+            last = c
+
+    def cost(path):
+        out = "".join(x for x, _ in path)
+        if out.startswith(" ") or "  " in out:
+            return None, out
+        s = [0, 0, *(toxicity.symbol(x) if x != " " else 0 for x in out), 0]
+        return sum(p for _, p in path) + sum(float(model[a, b, c]) for a, b, c in zip(s, s[1:], s[2:], strict=False)), out
+
+    for _ in range(150):
+        span = "".join(rng.choice("aabo0113$. ") for _ in range(rng.randint(1, 8)))
+        paths = [cost(p) for p in itertools.product(*options(span))]
+        best = max((c for c, _ in paths if c is not None), default=None)
+        got = toxicity.restore(span, model)
+        assert best is None or any(o == got and abs(c - best) < 1e-3 for c, o in paths if c is not None)
+
+
+def test_trigrams_of_long_texts(monkeypatch):
+    rng = random.Random(3)
+    text = " ".join(prose(rng, 50) + rng.choice(["", "  ", " 1, ", "é漢"]) for _ in range(20))
+    whole = toxicity.trigram_counts([text])
+    symbols = [0, 0]
+    for c in [*text.lower(), " "]:
+        k = toxicity.symbol(c) if ord(c) < 256 else 0
+        if k or symbols[-1]:
+            symbols.append(k)
+    want = np.zeros(toxicity.SIZE**3, int)
+    for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        want[(a * toxicity.SIZE + b) * toxicity.SIZE + c] += 1
+    assert (whole == want).all()
+    for n in (1, 7, 100):
+        monkeypatch.setattr(toxicity, "SLICE", n)
+        assert (toxicity.trigram_counts([text]) == want).all()
+    assert list(toxicity.by_size(["abc", None, "d", "e" * 9, "f"], 4)) == [(0, 3), (3, 4), (4, 5)] and list(toxicity.by_size([])) == []
+
+
+def test_toxicity_of_repeated_ids_and_no_labels(spark):
+    docs = table(spark, [(1, "good words here", "a"), (1, "other text", "a"), (2, "more", "a")])
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    assert toxicity._labelled(docs, labels, "doc_id", "text", "toxic").count() == 1
+    assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0}
+
+
 def test_long_disguises_are_decoded():
     model = np.full((toxicity.SIZE,) * 3, -6.0, np.float32)
     said = "you are such an idiot and a real loser"
