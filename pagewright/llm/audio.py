@@ -31,7 +31,7 @@ VOTES, ERROR, OVERLAP = 3, 0.2, NEAR + LAG
 CHUNK = 1024
 #: Codes compared at once.
 AT_ONCE = 1 << 21
-#: Ids are broadcast to pick recordings up to this number (8 MB); beyond it they are joined by a shuffle.
+#: Ids and marks are broadcast up to this number (24 MB); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of recordings that are heard together.
 SLICE = 1 << 20
@@ -251,6 +251,11 @@ def _lay(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "root", "other", "off", "votes", "overlap", "error"])
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows`` to be broadcast if there are few of them, counted first; more are joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def align(media: DataFrame, id_col: str = "doc_id", audio_col: str = "audio", sound: Sound = Sound()) -> DataFrame:
     """(id, n_codes, fingerprint, match_id, match_offset, votes, bit_error, component_id) of every recording; ids are integers.
 
@@ -266,15 +271,16 @@ def align(media: DataFrame, id_col: str = "doc_id", audio_col: str = "audio", so
     prints = written(fingerprints(media, id_col, audio_col, sound))
     classes = written(prints.where("alike is not null and id is not null").groupBy("alike").agg(F.min("id").cast("long").alias("rep")))
     reps = prints.where(F.size("codes") >= OVERLAP).select("alike", F.col("id").cast("long").alias("rep"), "codes")
-    few = classes.count() <= BROADCAST_IDS
-    reps = reps.join(F.broadcast(classes) if few else classes, ["alike", "rep"], "left_semi")
+    reps = reps.join(_small(classes), ["alike", "rep"], "left_semi")
     marks = reps.select("rep", "codes").mapInArrow(_marks, "rep bigint, pos int, mark bigint, before bigint")
     first = marks.groupBy("mark").agg(F.min("before").alias("least"), F.max("before").alias("most"), F.count("*").alias("n")).where("least <> most")
-    held = marks.select("rep", "pos", "mark").join(first.select("mark", "n"), "mark").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    shared = _small(written(first.select("mark", "n")))
+    held = marks.select("rep", "pos", "mark").join(shared, "mark").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     held = held.withColumn("own", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     held = held.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
     held = written(held.select("rep", "pos", "own", "lo", "hi", F.xxhash64("mark", "lo", "hi").alias("grp")))
-    laid = held.join(reps.select("rep", "codes"), "rep").repartition("grp").sortWithinPartitions("grp")
+    asked = reps.join(_small(held.select("rep").distinct()), "rep", "left_semi").select("rep", "codes")
+    laid = held.join(asked, "rep").repartition("grp").sortWithinPartitions("grp")
     found = written(laid.mapInArrow(_lay, "rep bigint, root bigint, other bigint, off int, votes bigint, overlap bigint, error double"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(found.select("rep", "other"))).withColumnRenamed("id", "rep")
     best = found.groupBy("rep").agg(F.max(F.struct("votes", "overlap", (-F.col("other")).alias("lower"), "off", "error")).alias("m"))
