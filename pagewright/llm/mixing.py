@@ -10,8 +10,9 @@ from pagewright.llm.common import written
 
 #: Words are runs of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Documents of a source that one bucket of keys is expected to hold at most; only the bucket of a source's cut is sorted.
-BUCKET_ROWS = 20_000
+#: Documents of a source that one bucket of keys is expected to hold at most, or ten times the root of their number if that is
+#: more, so that neither a bucket nor the list of buckets grows in proportion; only the bucket of a source's cut is sorted.
+BUCKET_ROWS = 4_000
 #: Least weight of a document.
 LEAST = 0.25
 
@@ -51,7 +52,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     -ln(u) / weight, least first, until the words are spent, the last one in part. That is the order of u^(1/weight). u is a
     hash of the id (of the text where it is null), so reruns agree. ``quality`` is a weight from above 0 to 1; weights below LEAST
     or null count as LEAST, those over 1 as 1. Keys fall in buckets of equal width: as an exponential key is nowhere denser than its weight,
-    no bucket is expected to hold over BUCKET_ROWS documents, whatever the weights. Whole buckets are taken or left by
+    no bucket is expected to hold over BUCKET_ROWS documents (or ten times the root of their number), whatever the weights. Whole buckets are taken or left by
     their sums, and only the bucket of the cut is sorted, so a source with a third of all rows costs no large sort. Null texts and texts of white space have size 0 and give 0 words; a null
     source is a source of its own, the last. Repeated rows count each. An empty table gives an empty result.
     """
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = written(targets(sums.withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30))), weights, max_epochs).drop("source"))
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + 1e-12)).otherwise(0).cast("long"))
     sources = sources.withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target") - F.col("epochs") * F.col("source_size"))).cast("long"))
-    sources = sources.withColumn("buckets", F.ceil(F.col("n") / BUCKET_ROWS))
+    sources = sources.withColumn("buckets", F.ceil(F.col("n") / F.greatest(F.lit(BUCKET_ROWS), 10 * F.sqrt("n"))))
     rows = base.join(sources.select("skey", "source_size", "target", "epochs", "rest", "buckets"), "skey")
     rows = rows.withColumn("bucket", F.floor(F.col("r") * F.col("buckets")))
     by = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("in_bucket"))
