@@ -111,6 +111,13 @@ def escape_html(text: Column) -> Column:
     return text
 
 
+def safe_href(href: Column) -> Column:
+    """An address that may become a live link: http, https or without a scheme; null for others and for ``//host``."""
+    s = F.trim(F.coalesce(href, F.lit("")))
+    web = s.rlike(r"(?i)^https?://")
+    return F.when((s != "") & ~s.startswith("//") & (web | ~s.rlike(r"(?i)^[a-z][a-z0-9+.\-]*:")), s)
+
+
 def label_words(text: Column) -> Column:
     """A label in lower case, everything but letters and digits as single spaces, padded."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), F.lit(" "))

@@ -52,6 +52,20 @@ def asset_identity(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(plain, r":.*$", ""), r"\.[A-Za-z0-9]{2,5}$", "")), "[^a-z0-9]", "")
 
 
+def author_path(url: Column, domain: Column, lang_path: Column, root: Column) -> Column:
+    """Where a page stands in the editing tree: the market's content root with the path below the market's language path, no ending.
+
+    Null for a market without a root, another domain, and paths outside the language path; ``www.`` and preview hosts count as the domain.
+    """
+    host = F.lower(F.regexp_extract(F.trim(url), r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    host = F.regexp_replace(host, r"^(www|preview(-[a-z]+)?)\.", "")
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.trim(url), r"(?i)^https?://[^/?#]*([^?#]*)", 1), r"(?i)\.html?$", ""), "/+$", "")
+    lp = F.regexp_replace(F.coalesce(lang_path, F.lit("")), "^/+|/+$", "")
+    lp = F.when(lp != "", F.concat(F.lit("/"), lp)).otherwise("")
+    inside = (lp == "") | (F.lower(path) == F.lower(lp)) | F.lower(path).startswith(F.concat(F.lower(lp), F.lit("/")))
+    return F.when(root.isNotNull() & (host == domain) & inside, F.concat(F.regexp_replace(root, "/+$", ""), F.substr(path, F.length(lp) + 1)))
+
+
 def environment_of(host: Column, preview: str = r"^preview", author: str = r"^author") -> Column:
     """unknown, preview, author or production, by the host's first label."""
     return F.when(F.coalesce(host, F.lit("")) == "", "unknown").when(host.rlike(preview), "preview").when(host.rlike(author), "author").otherwise("production")

@@ -201,7 +201,10 @@ def find_row(queries: DataFrame, values: DataFrame) -> DataFrame:
 
 @F.pandas_udf(StructType([StructField("html", StringType()), StructField("restored", IntegerType()), StructField("unplaced", IntegerType())]))
 def carry_markup(english: pd.Series, localised: pd.Series) -> pd.DataFrame:
-    """Inline tags of the English markup around the same words of a localised text, each once, the rest escaped."""
+    """Inline tags of the English markup around the same words of a localised text, each once, the rest escaped.
+
+    A link to anything but http, https or an address without a scheme stays text.
+    """
 
     def one(source: str | None, text: str | None) -> tuple[str, int, int]:
         pieces: list[tuple[str, str | None, str]] = [(text or "", None, "")]
@@ -217,7 +220,10 @@ def carry_markup(english: pd.Series, localised: pd.Series) -> pd.DataFrame:
                 missed += 1
                 continue
             before, after = pieces[k][0].split(words, 1)
-            pieces[k : k + 1] = [(before, None, ""), (words, tag, html.unescape(href[1]) if href else ""), (after, None, "")]
+            to = html.unescape(href[1]).strip() if href else ""
+            if tag == "a" and (to.startswith("//") or re.match(r"(?i)(?!https?://)[a-z][a-z0-9+.\-]*:", to)):
+                tag = None
+            pieces[k : k + 1] = [(before, None, ""), (words, tag, to), (after, None, "")]
             placed += 1
         esc = lambda s: html.escape(s).replace("&#x27;", "'")
         out = "".join(esc(p) if t is None else f'<a href="{esc(h)}">{esc(p)}</a>' if t == "a" else f"<{t}>{esc(p)}</{t}>" for p, t, h in pieces)

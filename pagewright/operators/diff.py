@@ -29,8 +29,8 @@ def coverage(diff: DataFrame, *by: str) -> DataFrame:
 
 def bracket(ledger: DataFrame, by: str, ord_col: str, located: str) -> DataFrame:
     """``ledger`` with the nearest located rows before and after each row."""
-    w = W.partitionBy(by).orderBy(ord_col)
-    return ledger.withColumn("before", F.last(located, True).over(w.rowsBetween(W.unboundedPreceding, -1))).withColumn("after", F.first(located, True).over(w.rowsBetween(1, W.unboundedFollowing)))
+    before, after = (W.partitionBy(by).orderBy(o).rowsBetween(W.unboundedPreceding, -1) for o in (ord_col, F.desc(ord_col)))
+    return ledger.withColumn("before", F.last(located, True).over(before)).withColumn("after", F.last(located, True).over(after))
 
 
 def out_of_order(rows: DataFrame, by: str, ord_col: str, pos: str) -> DataFrame:

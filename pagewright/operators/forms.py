@@ -105,7 +105,7 @@ def id_verdicts(pages: DataFrame, expected: DataFrame, overrides: list[tuple[str
     """
     path = U.path_of(F.col("url"))
     fixed = F.coalesce(*[F.when(U.under_path(path, F.lit(p.lower().rstrip("/"))), F.lit(i)) for p, i in overrides], F.lit(None).cast("string"))
-    rows = pages.join(expected.select("page_id", F.col("form_id").alias("listed")), "page_id", "left").join(F.broadcast(market_ids.select("market", F.col("form_id").alias("usual"))), "market", "left")
+    rows = pages.join(expected.select("page_id", F.col("form_id").alias("listed")), "page_id", "left").join(market_ids.select("market", F.col("form_id").alias("usual")), "market", "left")
     rows = rows.withColumn("want", F.coalesce("listed", F.when(F.col("status") == "found", F.coalesce(fixed, "usual"))))
     trim = lambda c: F.lower(F.regexp_replace(c, "^/+|/+$", ""))
     by_path = F.col("listed").isNotNull() & ~F.col("listed").rlike(r"^\d+$")

@@ -157,3 +157,9 @@ def metadata_compare(wanted: DataFrame, pages: DataFrame) -> DataFrame:
         row("url", c("w_url"), c("canonical"), U.path_of(c("w_url")) == U.path_of(c("canonical"))),
     )
     return w.join(f, "page_id").select("page_id", F.explode(items).alias("x")).select("page_id", "x.*").where("expected is not null")
+
+
+def titles(pages: DataFrame) -> DataFrame:
+    """(page_id, title_chars, stray, h1): length of the raw title, whether spaces stand around it, and H1 tags."""
+    title = F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title>", 1)
+    return pages.select("page_id", F.length(title).cast("bigint").alias("title_chars"), (title != F.trim(title)).alias("stray"), F.regexp_count("html", F.lit(r"(?i)<h1[\s>]")).cast("bigint").alias("h1"))

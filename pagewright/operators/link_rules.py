@@ -71,11 +71,11 @@ def cross_market_findings(pages: DataFrame, market: DataFrame, registry: DataFra
     tens of rows. Pages of whole-domain markets, and domains that hold languages of one market only, are left alone.
     """
     shared = registry.groupBy("domain").agg(F.count_distinct("base").alias("bases")).where("bases > 1").select("domain")
-    mine = market.where("prefix <> ''").join(F.broadcast(shared), "domain")
+    mine = market.where("prefix <> ''").join(shared, "domain")
     to = targets(pages).withColumn("host", U.bare_host(F.col("dst"))).withColumn("path", F.regexp_replace(U.path_of(F.col("dst")), r"\?.*$", ""))
     out = mine.join(to, "page_id").where((F.col("host") == F.col("domain")) & ~U.under_path(F.col("path"), F.col("prefix")) & ~F.col("path").rlike(r"^/(content/dam|etc\.clientlibs)/"))
     r = registry.select(F.col("domain").alias("d"), F.col("prefix").alias("p"), F.col("market").alias("other")).where("p <> ''")
-    near = out.join(F.broadcast(r), (F.col("domain") == F.col("d")) & U.under_path(F.col("path"), F.col("p")), "left")
+    near = out.join(r, (F.col("domain") == F.col("d")) & U.under_path(F.col("path"), F.col("p")), "left")
     named = near.groupBy("page_id", "dst", "path", "places").agg(F.max_by("p", F.length("p")).alias("p"), F.max_by("other", F.length("p")).alias("other"))
     key = F.coalesce("p", F.concat(F.lit("/"), F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(2)), F.lit(""))))
     per = named.groupBy("page_id", key.alias("to"), "other").agg(F.sum("places").alias("n"))

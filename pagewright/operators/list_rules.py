@@ -69,16 +69,19 @@ def paragraph_lists(paragraphs: DataFrame) -> DataFrame:
 def spelling_findings(counts: DataFrame, misspelt: dict[str, str], brands: list[str], us_uk: list[tuple[str, str]]) -> DataFrame:
     """Listed misspellings, brand names written wrong, both spellings on one page, from (page_id, word, n) of word counts.
 
-    The lists are configuration and become expressions or broadcast tables of their own few rows. A brand is written
+    The lists are configuration and become expressions or tables of their own few rows. A brand is written
     wrong by one edit, or two from eight letters on, with its first letter and about its length; a word whose plural
     the page has too is left alone.
     """
     spark = counts.sparkSession
     wrong = spark.createDataFrame(list(misspelt.items()) or [("", "")], "word string, fix string")
-    listed = counts.join(F.broadcast(wrong), "word")
+    listed = counts.join(wrong, "word")
     names = spark.createDataFrame([(b, b.lower()) for b in brands if " " not in b] or [("", "")], "brand string, lb string")
-    near = (F.substring("word", 1, 1) == F.substring("lb", 1, 1)) & (F.abs(F.length("word") - F.length("lb")) <= 1) & (F.length("word") >= 5) & (F.col("word") != F.col("lb")) & ~F.col("word").isin(*[b.lower() for b in brands])
-    close = counts.join(F.broadcast(names), near).where(distance("word", "lb") <= F.when(F.length("lb") >= 8, 2).otherwise(1))
+    names, counts = names.withColumn("initial", F.substring("lb", 1, 1)), counts.withColumn("initial", F.substring("word", 1, 1))
+    near = (F.abs(F.length("word") - F.length("lb")) <= 1) & (F.length("word") >= 5) & (F.col("word") != F.col("lb")) & ~F.col("word").isin(*[b.lower() for b in brands])
+    edits = F.when(F.length("lb") >= 8, 2).otherwise(1)
+    # a swap is two plain edits at most, so the plain distance leaves only near pairs to the exact one
+    close = counts.join(names, "initial").where(near & F.levenshtein("word", "lb", 4).between(0, 2 * edits)).where(distance("word", "lb") <= edits)
     plural = counts.where(F.col("word").endswith("s")).select("page_id", F.regexp_replace("word", "s$", "").alias("word"))
     close = close.join(plural, ["page_id", "word"], "left_anti")
     us, uk = [a for a, _ in us_uk], [b for _, b in us_uk]

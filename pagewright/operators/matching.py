@@ -10,13 +10,17 @@ from pagewright.functions import text as T
 from pagewright.functions import urls as U
 
 # fixed values: words of link texts that name no page, in six languages
-STOP_WORDS = tuple(dict.fromkeys((
-    "learn more about read find out discover explore see view get go to visit click here now touch option options start started begin continue browse try today "
+STOP_WORDS = tuple((
+    "learn more about read find out discover explore see view get go to visit click here now touch "
+    "option options start started begin continue browse try today "
     "opzioni inizia opciones comenzar empezar opcoes comecar optionen starten beginnen commencer "
-    "the a an and or of for to in on at by with from your you our us we this that all its it is are corporation page link more info information details "
+    "the a an and or of for to in on at by with from your you our us we this that all its it is are "
+    "corporation page link more info information details "
     "scopri di piu leggi qui maggiori informazioni il la le lo gli i un una del della dei delle per con su "
-    "saiba mais leia aqui o os as um uma do da dos das para com em leer mas haga clic el los las nuestro nuestra sobre en "
-    "mehr erfahren hier klicken der die das ein eine und fur mit zu uber unsere en savoir plus lire suite ici les des du pour avec sur notre nos").split()))
+    "saiba mais leia aqui o os as um uma do da dos das para com em "
+    "leer mas aqui haga clic el los las un una del para con en sobre nuestro nuestra "
+    "mehr erfahren hier klicken der die das ein eine und fur mit zu uber unsere "
+    "en savoir plus lire la suite ici le les un une des du pour avec sur notre nos").split())
 # fixed values: sections whose pages are articles about a thing, not the thing
 EDITORIAL = ("news", "news-insights", "press-releases", "press", "stories", "references", "blogs", "blog", "articles", "notizie", "noticias", "noticias-y-referencias", "aktuelles", "actualites", "case-studies")
 #: A section with so many pages is editorial too.
@@ -32,35 +36,48 @@ def tokens(col, brand: tuple[str, ...] = ()):
 
 
 def sitemap(pages: DataFrame) -> DataFrame:
-    """(path, url, segs, last, words): one entry for a path, that of the smallest url."""
-    rows = pages.select(F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("path"), "url").groupBy("path").agg(F.min("url").alias("url"))
+    """(host, path, url, segs, last, words, editorial): one entry for a path of a host, that of the smallest url.
+
+    ``segs`` leave out the language segment of the host (``language_prefix``); ``last`` and ``words`` are tokens of the last and of all.
+    """
+    rows = pages.select(U.host_of(F.col("url")).alias("host"), F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("path"), "url").groupBy("host", "path").agg(F.min("url").alias("url"))
+    rows = rows.join(language_prefix(rows), "host", "left")
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    return rows.withColumn("segs", segs).withColumn("last", tokens(F.coalesce(F.try_element_at("segs", F.lit(-1)), F.lit("")))).withColumn("words", tokens(F.array_join("segs", " ")))
+    rows = rows.withColumn("segs", F.when(F.try_element_at(segs, F.lit(1)) == F.col("prefix"), F.slice(segs, 2, 1 << 20)).otherwise(segs)).drop("prefix")
+    return editorial(rows.withColumn("last", tokens(F.coalesce(F.try_element_at("segs", F.lit(-1)), F.lit("")))).withColumn("words", tokens(F.array_join("segs", " "))))
 
 
 def suggest(texts: DataFrame, entries: DataFrame, top: int = 3) -> DataFrame:
-    """(text_id, rank, path, score): entries that cover the words of a text best.
+    """(text_id, rank, path, url, score): entries of the text's host that cover its words best.
 
-    Words of the last segment count two, others one; each further word of it costs 0.05; scores over 0.2 stay, the
-    highest first, shorter paths first on a tie. Texts meet entries by an equi-join on words, never all by all.
+    ``texts`` is (text_id, host, text, exclude), ``exclude`` a path that is not suggested or null. Words of the last segment count
+    two, others one; each further word of it costs 0.05; scores over 0.2 stay, the highest first, shorter paths first on a tie.
+    Editorial entries count only for texts that ask for them. Texts meet entries by an equi-join on host and word, never all by
+    all, and the pairs carry numbers only.
     """
-    words = texts.select("text_id", tokens(F.col("text")).alias("tt")).where("size(tt) > 0").withColumn("n", F.size("tt"))
-    index = entries.select("path", "last", F.explode("words").alias("word"))
-    hits = words.select("text_id", "tt", "n", F.explode("tt").alias("word")).join(index, "word")
-    got = hits.groupBy("text_id", "path").agg(F.sum(F.when(F.array_contains("last", F.col("word")), 2).otherwise(1)).alias("got"), F.max("n").alias("n"), F.max(F.size(F.array_except("last", "tt"))).alias("extra"))
+    tt = texts.select("text_id", "host", "exclude", F.array_distinct(tokens(F.col("text"))).alias("tt")).where("size(tt) > 0")
+    asks = F.exists("tt", lambda t: t.isin(*EDITORIAL) | t.rlike("^(news|stor|press|reference|blog)"))
+    words = tt.select("text_id", "host", "exclude", asks.alias("asks"), F.size("tt").alias("n"), F.explode("tt").alias("word"))
+    index = entries.select("host", "path", "url", "editorial", F.size("last").alias("long"), F.col("last").alias("l"), F.explode("words").alias("word"))
+    index = index.select("host", "path", "url", "editorial", "long", "word", F.array_contains("l", F.col("word")).alias("own"))
+    hits = words.join(index, ["host", "word"]).where((F.col("asks") | ~F.col("editorial")) & ~F.coalesce(F.col("exclude") == F.col("path"), F.lit(False)))
+    got = hits.groupBy("text_id", "path", "url").agg(F.sum(F.when(F.col("own"), 2).otherwise(1)).alias("got"), F.max("n").alias("n"), (F.max("long") - F.count_if("own")).alias("extra"))
     scored = got.withColumn("score", F.col("got") / (2 * F.col("n")) - 0.05 * F.col("extra")).where("score > 0.2")
     best = W.partitionBy("text_id").orderBy(F.desc("score"), F.length("path"), "path")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("text_id", "rank", "path", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("text_id", "rank", "path", "url", (F.floor(F.col("score") * 100 + 0.5) / 100).alias("score"))
 
 
 def longest_prefix(pages: DataFrame, registry: DataFrame) -> DataFrame:
-    """(page_id, market): the entry of the page's domain with the longest path prefix; a whole-domain entry has an empty prefix."""
+    """(page_id, market): the entry of the page's domain with the longest path prefix; a whole-domain entry has an empty prefix.
+
+    A page meets the registry by an equi-join on the endings of its host.
+    """
     rows = pages.select("page_id", U.bare_host(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
-    fits = (F.col("host") == F.col("domain")) | F.col("host").endswith(F.concat(F.lit("."), F.col("domain")))
+    labels = F.size(F.split("host", r"\."))
+    ends = rows.select("page_id", "path", F.explode(F.transform(F.sequence(F.lit(1), labels), lambda k: F.array_join(F.slice(F.split("host", r"\."), labels - k + 1, k), "."))).alias("domain"))
     under = (F.col("prefix") == "") | U.under_path(F.col("path"), F.col("prefix"))
-    # the registry is configuration: tens of rows
-    joined = rows.join(F.broadcast(registry), fits & under, "left")
-    return joined.groupBy("page_id").agg(F.max_by("market", F.struct(F.length("prefix"), F.length("domain"))).alias("market"))
+    found = ends.join(registry, "domain").where(under).groupBy("page_id").agg(F.max_by("market", F.struct(F.length("prefix"), F.length("domain"))).alias("market"))
+    return rows.select("page_id").join(found, "page_id", "left")
 
 
 def robots_allows(paths: DataFrame, rules: list[tuple[bool, str]]) -> DataFrame:
@@ -72,36 +89,64 @@ def robots_allows(paths: DataFrame, rules: list[tuple[bool, str]]) -> DataFrame:
     return paths.withColumn("allowed", F.coalesce(F.array_max(F.filter(tries, lambda x: x.isNotNull()))["allow"], F.lit(True)))
 
 
-def passages(docs: DataFrame, items: DataFrame, k: int = 8) -> DataFrame:
+#: Passages of fewer than three words share no whole word with a text for sure; so many are compared with every text.
+SHORT_PASSAGES = 1_000
+
+
+def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, docs, hits): documents that hold a passage, and how often, by a word that both must share.
 
-    Items and documents meet on each item's longest word, so the join is an equi-join on words.
+    Items and documents meet on each item's longest inner word, so the join is an equi-join on words; only ids go through it,
+    and the texts of the pairs it finds are fetched. Shorter passages, counted first, are looked for in every text.
     """
     words = lambda c: F.array_distinct(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "))
-    inner = lambda c: F.slice(words(c), 2, F.greatest(F.size(words(c)) - 2, F.lit(1)))
-    keyed = items.withColumn("word", F.array_max(F.transform(inner(F.col("text")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]).select("item_id", F.col("text").alias("passage"), "word")
-    rows = docs.select("doc_id", "text", F.explode(words(F.col("text"))).alias("word")).join(keyed, "word")
-    n = T.occurrences(F.col("text"), F.col("passage"))
-    return rows.select("item_id", "doc_id", n.alias("n")).where("n > 0").groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+    parts = items.select("item_id", F.col("text").alias("passage"), F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w")).where("length(passage) > 0")
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    keyed = parts.where("size(w) > 2").withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    pairs = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).join(keyed.select("item_id", "word"), "word").select("doc_id", "item_id").distinct()
+    texts = docs.select("doc_id", "text")
+    found = pairs.join(keyed.select("item_id", "passage"), "item_id").join(texts, "doc_id")
+    short = parts.where("size(w) <= 2").select("item_id", "passage")
+    n = short.count()
+    if n > SHORT_PASSAGES:
+        raise ValueError(f"{n} passages of one or two words; at most {SHORT_PASSAGES} can be looked for in every text")
+    if n:
+        found = found.select("item_id", "doc_id", "passage", "text").union(texts.join(F.broadcast(short), F.contains("text", "passage")).select("item_id", "doc_id", "passage", "text"))
+    hits = found.select("item_id", T.occurrences(F.col("text"), F.col("passage")).alias("n")).where("n > 0")
+    return hits.groupBy("item_id").agg(F.count("*").alias("docs"), F.sum("n").alias("hits"))
+
+
+def first_segments(pages: DataFrame) -> DataFrame:
+    """(host, segment, n, total): the first path segment that most pages of a host start with, the later one of equals, and all its pages."""
+    rows = pages.select(U.host_of(F.col("url")).alias("host"), F.regexp_extract(U.path_of(F.col("url")), "^/([^/?]+)", 1).alias("segment"))
+    n = rows.groupBy("host", "segment").agg(F.count("*").alias("n"))
+    return n.groupBy("host").agg(F.max(F.struct("n", "segment")).alias("x"), F.sum("n").alias("total")).select("host", "x.segment", "x.n", "total")
 
 
 def language_prefix(pages: DataFrame, share: float = 0.6) -> DataFrame:
     """(host, prefix): the language segment that three of five pages of a host start with; hosts without one have no row."""
-    rows = pages.select(U.host_of(F.col("url")).alias("host"), F.regexp_extract(U.path_of(F.col("url")), "^/([^/?]+)", 1).alias("prefix"))
-    n = rows.groupBy("host", "prefix").agg(F.count("*").alias("n"))
-    best = n.groupBy("host").agg(F.max_by("prefix", F.struct("n", "prefix")).alias("prefix"), F.max("n").alias("most"), F.sum("n").alias("total"))
-    return best.where(F.col("prefix").rlike("^[a-z]{2}(-[a-z]{2})?$") & (F.col("most") >= share * F.col("total"))).select("host", "prefix")
+    most = first_segments(pages).where(F.col("segment").rlike("^[a-z]{2}(-[a-z]{2})?$") & (F.col("n") >= share * F.col("total")))
+    return most.select("host", F.col("segment").alias("prefix"))
 
 
 def editorial(entries: DataFrame, bulk: int = BULK_SECTION) -> DataFrame:
-    """``entries`` (path, segs, ...) with ``editorial``: in a section of articles by name, or in one of ``bulk`` pages."""
-    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.array_join(F.slice(c, F.lit(1), i), "/"))
-    sections = F.when(F.size("segs") > 1, above("segs")).otherwise(F.array().cast("array<string>"))
-    rows = entries.withColumn("__sections", sections)
-    counts = rows.select(F.explode("__sections").alias("section")).groupBy("section").agg(F.count("*").alias("n")).where(F.col("n") >= bulk).select("section")
-    crowded = rows.select("path", F.explode("__sections").alias("section")).join(counts, "section").select("path").distinct().withColumn("crowded", F.lit(True))
+    """``entries`` (host, path, segs, ...) with ``editorial``: in a section of articles by name, or in one of ``bulk`` pages of its host."""
+    rows = sections_above(entries)
+    counts = sections(rows).where(F.col("pages") >= bulk).select("host", "section")
+    crowded = rows.join(counts, ["host", "section"]).select("host", "path").distinct().withColumn("crowded", F.lit(True))
     named = F.arrays_overlap("segs", F.array(*map(F.lit, EDITORIAL)))
-    return rows.join(crowded, "path", "left").withColumn("editorial", named | F.coalesce("crowded", F.lit(False))).drop("crowded", "__sections")
+    return entries.join(crowded, ["host", "path"], "left").withColumn("editorial", named | F.coalesce("crowded", F.lit(False))).drop("crowded")
+
+
+def sections_above(entries: DataFrame) -> DataFrame:
+    """(host, path, section): each section path above an entry."""
+    above = F.transform(F.sequence(F.lit(1), F.size("segs") - 1), lambda i: F.array_join(F.slice("segs", F.lit(1), i), "/"))
+    return entries.where("size(segs) > 1").select("host", "path", F.explode(above).alias("section"))
+
+
+def sections(rows: DataFrame) -> DataFrame:
+    """(host, section, pages) from one row for each page and section above it."""
+    return rows.groupBy("host", "section").agg(F.count("*").alias("pages"))
 
 
 def confident(suggestions: DataFrame) -> DataFrame:
@@ -115,11 +160,11 @@ def confident(suggestions: DataFrame) -> DataFrame:
 def context_suggest(titles: DataFrame, entries: DataFrame, top: int = 3) -> DataFrame:
     """(text_id, rank, path, words): pages whose last segment's words are all in a title, the most words first, then the shorter path.
 
-    Titles meet pages by an equi-join on the page's rarest word in name order, and the rest is checked on the pair.
+    Titles (text_id, host, text) meet pages of their host by an equi-join on the page's last word in name order, and the rest is checked on the pair.
     """
-    have = titles.select("text_id", tokens(F.col("text")).alias("have"))
-    keyed = entries.where("size(last) > 0").select("path", "last", F.array_max("last").alias("word"))
-    pairs = have.select("text_id", "have", F.explode("have").alias("word")).join(keyed, "word").where(F.size(F.array_except("last", "have")) == 0)
+    have = titles.select("text_id", "host", tokens(F.col("text")).alias("have"))
+    keyed = entries.where("size(last) > 0 and not editorial").select("host", "path", "last", F.array_max("last").alias("word"))
+    pairs = have.select("text_id", "host", "have", F.explode("have").alias("word")).join(keyed, ["host", "word"]).where(F.size(F.array_except("last", "have")) == 0)
     w = W.partitionBy("text_id").orderBy(F.desc(F.size("last")), F.length("path"), "path")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("text_id", "rank", "path", F.size("last").alias("words"))
 
@@ -129,12 +174,19 @@ def contexts(stream: DataFrame, most: int = 4, untitled: int = 2) -> DataFrame:
     last paragraphs in between, ``most`` of them, ``untitled`` where there is no title; its own text is left out."""
     w = W.partitionBy("page_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     rows = stream.withColumn("title", F.last(F.when(F.col("kind") == "title", F.col("text")), True).over(w)).withColumn("section", F.count_if(F.col("kind") == "title").over(w))
-    inside = W.partitionBy("page_id", "section").orderBy("ord").rowsBetween(-16, -1)
-    rows = rows.withColumn("before", F.collect_list(F.when(F.col("kind") == "paragraph", F.col("text"))).over(inside))
-    others = F.filter("before", lambda x: x != F.col("text"))
-    keep = F.when(F.col("title").isNull(), untitled).otherwise(most)
-    body = F.slice(others, F.greatest(F.size(others) - keep + 1, F.lit(1)), keep)
-    return rows.where("kind = 'link'").select("page_id", "ord", "text", "title", F.array_join(body, " ").alias("body"))
+    # a section of a page is gathered once; each of its links takes what stands before it
+    one = F.array_sort(F.collect_list(F.struct("ord", "kind", "text", "title")))
+    part = rows.where("kind <> 'title'").groupBy("page_id", "section").agg(one.alias("all"))
+
+    def body(link):
+        others = F.filter("paragraphs", lambda x: (x["ord"] < link["ord"]) & (x["text"] != link["text"]))
+        keep = F.when(link["title"].isNull(), untitled).otherwise(most)
+        near = F.slice(others, F.greatest(F.size(others) - keep + 1, F.lit(1)), keep)
+        return F.struct(link["ord"].alias("ord"), link["text"].alias("text"), link["title"].alias("title"), F.array_join(F.transform(near, lambda x: x["text"]), " ").alias("body"))
+
+    of_kind = lambda kind: F.filter("all", lambda x: x["kind"] == kind)
+    part = part.select("page_id", of_kind("link").alias("links"), of_kind("paragraph").alias("paragraphs"))
+    return part.select("page_id", F.explode(F.transform("links", body)).alias("x")).select("page_id", "x.*")
 
 
 def market_status(pages: DataFrame, registry: DataFrame) -> DataFrame:
@@ -145,11 +197,11 @@ def market_status(pages: DataFrame, registry: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", U.bare_host(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("path"))
     reg = registry.select("market", "base", "domain", F.coalesce("prefix", F.lit("")).alias("prefix"), F.coalesce("former", F.array().cast("array<string>")).alias("former"))
-    at = rows.join(F.broadcast(reg), F.col("host") == F.col("domain"), "left")
+    at = rows.join(reg, F.col("host") == F.col("domain"), "left")
     under = (F.col("prefix") == "") | U.under_path(F.col("path"), F.col("prefix"))
     per = at.groupBy("page_id", "host").agg(F.max_by(F.when(under, F.col("market")), F.when(under, F.length("prefix"))).alias("market"), F.count("domain").alias("n"), F.count_distinct("base").alias("bases"))
     old = reg.select(F.explode("former").alias("f"), "market").groupBy("f").agg(F.min("market").alias("moved"))
-    out = per.join(F.broadcast(old), F.col("host") == F.col("f"), "left")
+    out = per.join(old, F.col("host") == F.col("f"), "left")
     status = F.when(F.col("market").isNotNull(), "found").when((F.col("n") > 1) & (F.col("bases") == 1), "ambiguous").when(F.col("moved").isNotNull(), "former").otherwise("unknown")
     return out.select("page_id", F.coalesce("market", "moved").alias("market"), status.alias("status"))
 

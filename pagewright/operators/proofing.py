@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -33,6 +33,12 @@ def distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([osa(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether ``distance`` is 1: one letter more, less or other, or two neighbours swapped."""
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+    return (a != b) & ((F.levenshtein(a, b, 1) == 1) | ((F.length(a) == F.length(b)) & swapped))
+
+
 def spelled_two_ways(counts: DataFrame, id_col: str) -> DataFrame:
     """(id, word, other): a word seen once that differs by a swap or a doubled letter from one seen more often.
 
@@ -44,4 +50,4 @@ def spelled_two_ways(counts: DataFrame, id_col: str) -> DataFrame:
     keyed = long.select(id_col, "word", "n", F.explode(F.array(F.concat(F.lit("s"), letters), F.concat(F.lit("d"), single))).alias("key"))
     rare, common = keyed.where("n = 1"), keyed.where("n >= 2").select(id_col, F.col("word").alias("other"), "key")
     pairs = rare.join(common, [id_col, "key"]).where("word <> other and abs(length(word) - length(other)) <= 1")
-    return pairs.select(id_col, "word", "other").distinct().where(distance("word", "other") == 1)
+    return pairs.select(id_col, "word", "other").distinct().where(one_edit(F.col("word"), F.col("other")))

@@ -9,10 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
+from pagewright.functions import urls as U
 from pagewright.operators import markup
 
-# fixed values: link texts that say nothing about where a link goes
-GENERIC_LINK_TEXT = ("click here", "here", "read more", "learn more", "more", "find out more", "see more", "view more", "details", "link")
+# fixed values: link texts that say nothing about where a link goes, in six languages
+GENERIC_LINK_TEXT = (
+    "click here", "here", "read more", "more", "learn more", "find out more", "this link", "link",
+    "clicca qui", "qui", "leggi di più", "scopri di più", "scopri",
+    "haga clic aquí", "aquí", "leer más", "más información",
+    "clique aqui", "aqui", "saiba mais", "leia mais",
+    "hier klicken", "hier", "mehr", "weiterlesen", "mehr erfahren",
+    "cliquez ici", "ici", "en savoir plus", "lire la suite",
+)
 
 
 def finding(rows: DataFrame, category: str, severity: str, field: str, found: Column | None, note: str) -> DataFrame:
@@ -64,10 +72,26 @@ def link_findings(pages: DataFrame, generic: tuple[str, ...] = GENERIC_LINK_TEXT
     ])
 
 
+def languages(html: Column) -> tuple[Column, Column]:
+    """(lang of the page, first data-lang of its markup), null where it has none."""
+    page = F.regexp_extract(html, r"(?is)(<html\b[^>]*>)", 1)
+    tag = F.regexp_extract(html, r"(?is)(<[a-z][a-z0-9]*\b[^>]*\sdata-lang\s*=[^>]*>)", 1)
+    return F.nullif(F.trim(T.attr(page, "lang")), F.lit("")), F.nullif(F.trim(T.attr(tag, "data-lang")), F.lit(""))
+
+
+def language_mismatch(pages: DataFrame) -> DataFrame:
+    """(page_id, lang, path_lang): pages whose language is not that of the first segment of their path."""
+    lang = F.lower(F.substring(languages(F.col("html"))[0], 1, 2))
+    rows = pages.select("page_id", lang.alias("lang"), F.regexp_extract(U.path_of(F.col("url")), r"^/([a-z]{2})(?:/|$)", 1).alias("path_lang"))
+    return rows.where("lang is not null and path_lang <> '' and lang <> path_lang")
+
+
 def metadata_findings(pages: DataFrame) -> DataFrame:
-    """Empty keywords; description missing or outside 70 to 160 characters; page language against its path."""
-    rows = pages.select("page_id", markup.meta(F.col("html"), "keywords").alias("keywords"), markup.meta(F.col("html"), "description").alias("description"))
+    """Empty keywords; description missing or outside 70 to 160 characters; two languages declared."""
+    lang, other = languages(F.col("html"))
+    rows = pages.select("page_id", markup.meta(F.col("html"), "keywords").alias("keywords"), markup.meta(F.col("html"), "description").alias("description"), lang.alias("lang"), other.alias("other"))
     return checks(rows, [
+        (F.substring(F.lower("lang"), 1, 2) != F.substring(F.lower("other"), 1, 2), "metadata", "break", "Page language", F.col("other"), "lang and data-lang disagree"),
         ("keywords = ''", "metadata", "check", "Keywords", None, "keywords are empty"),
         ("description is null or description = ''", "metadata", "check", "Description", None, "no description"),
         ("description <> '' and length(description) not between 70 and 160", "metadata", "check", "Description", F.length("description"), "not 70 to 160 characters"),

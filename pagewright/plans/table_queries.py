@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
-from pagewright.operators import classify, crawl, diff, matching, proofing
+from pagewright.operators import classify, crawl, diff, matching, proofing, rules
 from pagewright.sources import table
 
 SIGNALS = [("licence", "licensed", 3), ("licence", "version 2", 2), ("contact", "phone", 1), ("contact", "@", 2), ("secret", "token", 2), ("secret", "password", 3)]
@@ -40,9 +40,17 @@ def doc_numbers(spark, sf_dir):
 
 
 def doc_word_counts(spark, sf_dir):
-    """Words of letters by number of documents and uses, those in over ten documents."""
+    """Words of letters by number of documents and uses."""
     n = proofing.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return n.groupBy("word").agg(F.count("*").alias("docs"), F.sum("n").alias("uses")).where("docs > 10")
+    return n.groupBy("word").agg(F.count("*").alias("docs"), F.sum("n").alias("uses"))
+
+
+def word_slips(spark, sf_dir):
+    """Pairs of part type words a letter apart, by plain column expressions."""
+    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower(F.concat_ws(" ", "p_type", "p_name")), "[^a-z]+")).alias("word")).where("length(word) > 2").distinct()
+    other = words.select(F.col("word").alias("other"), F.substring("word", 1, 1).alias("initial"))
+    pairs = words.withColumn("initial", F.substring("word", 1, 1)).join(other, "initial").where("word < other")
+    return pairs.where(proofing.one_edit(F.col("word"), F.col("other"))).select("word", "other")
 
 
 def doc_spelled_two_ways(spark, sf_dir):
@@ -59,10 +67,10 @@ def doc_repeated_lines(spark, sf_dir):
 
 
 def doc_quality_severity(spark, sf_dir):
-    """Labelled documents by language and severity."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
-    severity = F.when(F.col("toxic") == 1, "break").when(F.col("quality") == 0, "check").otherwise("pass")
-    return rows.groupBy("lang", severity.alias("severity")).agg(F.count("*").alias("n"))
+    """Labels as findings: breaks and checks of the documents of each language."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id").withColumnRenamed("doc_id", "page_id")
+    found = rules.checks(rows, [("toxic = 1", "copy", "break", "Tone", F.col("lang"), "toxic"), ("quality = 0", "copy", "check", "Quality", F.col("lang"), "poor")])
+    return rules.tally(found.withColumnRenamed("found", "lang"), "lang")
 
 
 def passage_presence(spark, sf_dir):
@@ -100,7 +108,7 @@ def event_rollup(spark, sf_dir):
     return crawl.rollup(rows)
 
 
-QUERIES = {f.__name__: f for f in (doc_sections, doc_sentences, doc_english_score, doc_numbers, doc_word_counts, doc_spelled_two_ways, doc_repeated_lines, doc_quality_severity, passage_presence, turn_brackets, turn_runs, shorter_turns, classified_documents, event_rollup)}
+QUERIES = {f.__name__: f for f in (doc_sections, doc_sentences, doc_english_score, doc_numbers, doc_word_counts, word_slips, doc_spelled_two_ways, doc_repeated_lines, doc_quality_severity, passage_presence, turn_brackets, turn_runs, shorter_turns, classified_documents, event_rollup)}
 _LINES = "(SELECT doc_id, ord, trim(line) AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ord FROM documents) WHERE trim(line) <> '')"
 _WORDS = ", ".join(f"'{w}'" for w in T.ENGLISH_WORDS)
 
@@ -119,9 +127,10 @@ ORACLE_SQL = {
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 25) AS s FROM documents)""",
     "doc_english_score": f"SELECT doc_id, CAST(len(list_intersect(list_distinct(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')), [{_WORDS}])) AS BIGINT) AS score FROM documents",
     "doc_numbers": r"SELECT * FROM (SELECT doc_id, array_to_string(regexp_extract_all(text, '\d+(?:[.,]\d+)?'), ' ') AS numbers FROM documents) WHERE numbers <> ''",
-    "doc_word_counts": r"SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY word HAVING count(DISTINCT doc_id) > 10",
+    "doc_word_counts": r"SELECT word, count(DISTINCT doc_id) AS docs, count(*) AS uses FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM documents) GROUP BY word",
+    "word_slips": "WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(concat_ws(' ', p_type, p_name)), '[^a-z]+')) AS word FROM part) WHERE length(word) > 2) SELECT a.word, b.word AS other FROM w a JOIN w b ON a.word < b.word AND left(a.word, 1) = left(b.word, 1) AND damerau_levenshtein(a.word, b.word) = 1",
     "doc_repeated_lines": f"SELECT doc_id, lower(text) AS line, count(*) AS found FROM {_LINES} GROUP BY ALL HAVING count(*) > 1",
-    "doc_quality_severity": "SELECT lang, CASE WHEN toxic = 1 THEN 'break' WHEN quality = 0 THEN 'check' ELSE 'pass' END AS severity, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
+    "doc_quality_severity": "SELECT lang, count(*) FILTER (toxic = 1) AS breaks, count(*) FILTER (quality = 0) AS checks FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality = 0 GROUP BY lang",
     "passage_presence": "SELECT item_id, count(*) AS docs, CAST(sum((length(d.text) - length(replace(d.text, b.text, ''))) // length(b.text)) AS BIGINT) AS hits FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY item_id",
     "turn_brackets": "SELECT conv_id, turn, last_value(u IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, first_value(u IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM (SELECT conv_id, turn, CASE WHEN role = 'user' THEN turn END AS u FROM conversations)",
     "turn_runs": "SELECT conv_id, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS island FROM conversations) GROUP BY conv_id, role, island",

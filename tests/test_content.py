@@ -61,12 +61,13 @@ def test_votes_needs_signals(spark):
 
 def test_suggestions(spark):
     p = spark.createDataFrame([(k, u) for k, u in enumerate(["https://a.com/lifts/home-lifts", "https://a.com/lifts", "https://a.com/news/lifts-won"])], "page_id long, url string")
-    e = matching.editorial(matching.sitemap(p))
+    e = matching.sitemap(p)
     assert {r.path: r.editorial for r in e.collect()} == {"/lifts/home-lifts": False, "/lifts": False, "/news/lifts-won": True}
-    t = spark.createDataFrame([(1, "Home lifts"), (2, "Découvrez les ascenseurs")], "text_id int, text string")
-    s = matching.suggest(t, e.where("not editorial"))
-    assert [(r.text_id, r.path, r.confident) for r in matching.confident(s).collect()] == [(1, "/lifts/home-lifts", True)]
-    c = matching.context_suggest(spark.createDataFrame([(1, "Our home lifts and doors")], "text_id int, text string"), e)
+    t = spark.createDataFrame([(1, "a.com", "Home lifts", None), (2, "a.com", "Découvrez les ascenseurs", None), (3, "a.com", "lifts news", None), (4, "a.com", "Home lifts", "/lifts/home-lifts"), (5, "b.com", "Home lifts", None)], "text_id int, host string, text string, exclude string")
+    s = matching.suggest(t, e)
+    assert {(r.text_id, r.path, r.confident) for r in matching.confident(s).collect()} == {(1, "/lifts/home-lifts", True), (3, "/news/lifts-won", True), (4, "/lifts", True)}
+    assert {r.url for r in s.where("text_id = 1 and rank = 1").collect()} == {"https://a.com/lifts/home-lifts"}
+    c = matching.context_suggest(spark.createDataFrame([(1, "a.com", "Our home lifts and doors")], "text_id int, host string, text string"), e)
     assert [(r.path, r.words) for r in c.orderBy("rank").collect()] == [("/lifts/home-lifts", 2), ("/lifts", 1)]
 
 
@@ -74,6 +75,11 @@ def test_contexts(spark):
     kinds = [("paragraph", "a"), ("link", "go"), ("title", "T"), *[("paragraph", f"p{k}") for k in range(6)], ("link", "more")]
     s = spark.createDataFrame([(1, k, a, b) for k, (a, b) in enumerate(kinds)], "page_id int, ord int, kind string, text string")
     assert [(r.text, r.title, r.body) for r in matching.contexts(s).orderBy("ord").collect()] == [("go", None, "a"), ("more", "T", "p2 p3 p4 p5")]
+    # thirty links between the paragraphs and the last link, and its own text again and again
+    kinds = [("title", "T"), ("paragraph", "a"), ("paragraph", "b"), *[("link", f"l{k}") for k in range(30)], *[("paragraph", "last")] * 20, ("link", "last")]
+    s = spark.createDataFrame([(1, k, a, b) for k, (a, b) in enumerate(kinds)], "page_id int, ord int, kind string, text string")
+    got = matching.contexts(s).orderBy("ord").collect()
+    assert len(got) == 31 and (got[-1].text, got[-1].title, got[-1].body) == ("last", "T", "a b") and got[0].body == "a b"
 
 
 def test_market_status(spark):

@@ -89,7 +89,7 @@ def test_diff(spark):
 
 def test_matching(spark):
     p = spark.createDataFrame([(k, u) for k, u in enumerate(["https://a.com/en/lifts/monospace", "https://a.com/en/lifts", "https://a.com/fr", "https://a.com/france", "https://b.org/x"])], "page_id long, url string")
-    texts = spark.createDataFrame([(1, "Learn more about monospace lifts"), (2, "here")], "text_id int, text string")
+    texts = spark.createDataFrame([(1, "a.com", "Learn more about monospace lifts", None), (2, "a.com", "here", None)], "text_id int, host string, text string, exclude string")
     assert [(r.text_id, r["rank"], r.path, r.score) for r in matching.suggest(texts, matching.sitemap(p)).orderBy("rank").collect()] == [(1, 1, "/en/lifts/monospace", 0.75), (1, 2, "/en/lifts", 0.5)]
     reg = spark.createDataFrame([("all", "a.com", ""), ("fr", "a.com", "/fr")], "market string, domain string, prefix string")
     assert {r.page_id: r.market for r in matching.longest_prefix(p, reg).collect()} == {0: "all", 1: "all", 2: "fr", 3: "all", 4: None}
