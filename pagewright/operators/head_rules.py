@@ -33,11 +33,12 @@ def facts(pages: DataFrame) -> DataFrame:
     )
 
 
-def title_format(title, own_names, separator, corporate: bool, other_names: list[str], brand: str):
+def title_format(title, own_names, separator, corporate: bool, other_names: list[str], brand: str, drafts=None, shared=False):
     """(state, reason) of a title by the naming rule "page - brand name": green if confirmed, red if wrong, else amber.
 
     ``own_names`` is the column of confirmed names of the page's market (null: unknown market), ``separator`` that of
-    the only mark the market takes (null: any), ``other_names`` all confirmed names.
+    the only mark the market takes (null: any), ``other_names`` all confirmed names, ``drafts`` the column of names the market
+    has not confirmed yet. Where ``shared``, another title of the page carries the brand, and the page's name alone will do.
     """
     t = T.normalise(title)
     sep = F.regexp_extract(t, r"^.*\s([|-])\s", 1)
@@ -50,6 +51,8 @@ def title_format(title, own_names, separator, corporate: bool, other_names: list
     return (
         F.when(F.coalesce(t, F.lit("")) == "", state("red", "no title"))
         .when(T.duplicate_part(t).isNotNull(), state("red", "site name doubled"))
+        .when((sep == "") & t.rlike(rf"(?i)\s[–—]\s*{brand}\b"), state("amber", "a long dash before the site name"))
+        .when((sep == "") & F.lit(shared) & ~t.rlike(rf"\b{brand}\b"), state("green", "page name alone"))
         .when(sep == "", state("amber", "no site name"))
         .when(suffix == brand, state("amber", "no country after the brand"))
         .when(name == "", state("amber", "the ending is no site name"))
@@ -59,6 +62,7 @@ def title_format(title, own_names, separator, corporate: bool, other_names: list
         .when(F.array_contains(own, name), state("green", "confirmed name of the market"))
         .when(name.isin(*known) & own_names.isNotNull(), state("red", "another market's name"))
         .when(own_names.isNull(), state("amber", "market unknown"))
+        .when(F.array_contains(F.transform(F.coalesce(drafts if drafts is not None else F.lit(None), F.array().cast("array<string>")), lambda x: F.lower(x)), name), state("amber", "draft name of the market"))
         .otherwise(state("amber", "not a confirmed name"))
     )
 
