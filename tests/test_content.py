@@ -60,12 +60,12 @@ def test_votes_needs_signals(spark):
 
 
 def test_suggestions(spark):
-    p = spark.createDataFrame([(k, u) for k, u in enumerate(["https://a.com/lifts/home-lifts", "https://a.com/lifts", "https://a.com/news/lifts-won"])], "page_id long, url string")
+    p = spark.createDataFrame([(k, u) for k, u in enumerate(["https://a.com/lifts/home-lifts", "https://a.com/lifts", "https://a.com/stories/lifts-won"])], "page_id long, url string")
     e = matching.sitemap(p)
-    assert {r.path: r.editorial for r in e.collect()} == {"/lifts/home-lifts": False, "/lifts": False, "/news/lifts-won": True}
-    t = spark.createDataFrame([(1, "a.com", "Home lifts", None), (2, "a.com", "Découvrez les ascenseurs", None), (3, "a.com", "lifts news", None), (4, "a.com", "Home lifts", "/lifts/home-lifts"), (5, "b.com", "Home lifts", None)], "text_id int, host string, text string, exclude string")
+    assert {r.path: r.editorial for r in e.collect()} == {"/lifts/home-lifts": False, "/lifts": False, "/stories/lifts-won": True}
+    t = spark.createDataFrame([(1, "a.com", "Home lifts", None), (2, "a.com", "Découvrez les ascenseurs", None), (3, "a.com", "Lifts won: stories", None), (4, "a.com", "Home lifts", "/lifts/home-lifts"), (5, "b.com", "Home lifts", None)], "text_id int, host string, text string, exclude string")
     s = matching.suggest(t, e)
-    assert {(r.text_id, r.path, r.confident) for r in matching.confident(s).collect()} == {(1, "/lifts/home-lifts", True), (3, "/news/lifts-won", True), (4, "/lifts", True)}
+    assert {(r.text_id, r.path, r.confident) for r in matching.confident(s).collect()} == {(1, "/lifts/home-lifts", True), (3, "/stories/lifts-won", True), (4, "/lifts", True)}
     assert {r.url for r in s.where("text_id = 1 and rank = 1").collect()} == {"https://a.com/lifts/home-lifts"}
     c = matching.context_suggest(spark.createDataFrame([(1, "a.com", "Our home lifts and doors")], "text_id int, host string, text string"), e)
     assert [(r.path, r.words) for r in c.orderBy("rank").collect()] == [("/lifts/home-lifts", 2), ("/lifts", 1)]
