@@ -26,6 +26,20 @@ def sitemap_urls(texts: DataFrame) -> DataFrame:
     return texts.select("site", F.posexplode(urls).alias("ord", "url")).select("site", "url", "ord")
 
 
+def sitemap_files(texts: DataFrame) -> DataFrame:
+    """(file, url, is_index) of sitemap texts (file, text): their addresses, and whether the file lists further sitemaps; what ``crawl.sitemap_walk`` reads."""
+    flags = texts.select("file", F.col("text").rlike(r"(?i)<(?:\w+:)?sitemapindex\b").alias("is_index"))
+    urls = sitemap_urls(texts.select(F.col("file").alias("site"), "text")).select(F.col("site").alias("file"), "url")
+    return urls.join(flags, "file").select("file", "url", "is_index")
+
+
+def robots_sitemaps(texts: DataFrame) -> DataFrame:
+    """(host, url, ord) of the Sitemap lines of robots files (host, text), whichever group they stand in; first of equals."""
+    rows = texts.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("ord", "line"))
+    url = F.trim(F.regexp_extract(F.regexp_replace("line", r"\s#.*$", ""), r"(?i)^\s*sitemap\s*:\s*(\S+)", 1))
+    return rows.select("host", url.alias("url"), "ord").where("url <> ''").groupBy("host", "url").agg(F.min("ord").alias("ord"))
+
+
 def robots_rules(texts: DataFrame) -> DataFrame:
     """(host, allow, path, ord) of the groups that name every agent; an agent line after a rule opens a new group."""
     line = F.trim(F.regexp_replace("line", r"#.*$", ""))

@@ -152,3 +152,17 @@ def test_modules(spark):
     assert [(r.name, r.nth, r.of) for r in got] == [("module-a", 1, 2), ("module-a", 2, 2)] and "tail" in got[0].body and "y" not in got[0].body
     c = spark.createDataFrame([(1, ["cmp", "hero", "x"]), (2, ["cmp"]), (3, ["z"])], "element_id int, classes array<string>")
     assert {r.element_id: r.component for r in components.component_of(c, [("base", ["cmp"]), ("hero", ["cmp", "hero"])]).collect()} == {1: "hero", 2: "base", 3: None}
+
+
+def test_sitemap_files_are_walked(spark):
+    from pagewright import sources
+
+    index = '<sitemapindex><sitemap><loc>https://a.com/s1.xml</loc></sitemap><sitemap><loc>https://a.com/s2.xml</loc></sitemap></sitemapindex>'
+    texts = [("https://a.com/sitemap.xml", index), ("https://a.com/s1.xml", "<urlset><url><loc>https://a.com/x</loc></url></urlset>"), ("https://a.com/s2.xml", "<urlset><url><loc>https://a.com/y?a=1&amp;b=2</loc></url></urlset>"), ("https://a.com/empty.xml", "")]
+    files = sources.sitemap_files(spark.createDataFrame(texts, "file string, text string"))
+    assert {(r.file[14:], r.url[14:], r.is_index) for r in files.collect()} == {("sitemap.xml", "s1.xml", True), ("sitemap.xml", "s2.xml", True), ("s1.xml", "x", False), ("s2.xml", "y?a=1&b=2", False)}
+    robots = spark.createDataFrame([("a.com", "User-agent: x\nDisallow: /\nSitemap: https://a.com/sitemap.xml # all\nsitemap:https://a.com/sitemap.xml\n#Sitemap: https://a.com/no.xml")], "host string, text string")
+    named = [r.url for r in sources.robots_sitemaps(robots).collect()]
+    assert named == ["https://a.com/sitemap.xml"]
+    pages, _ = crawl.sitemap_walk(files, named)
+    assert {(r.url[14:], r.level) for r in pages.collect()} == {("x", 1), ("y?a=1&b=2", 1)}
