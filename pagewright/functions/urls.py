@@ -76,9 +76,20 @@ def verdict_of(status: Column) -> Column:
     return F.when(status.between(200, 299), "ok").when(status.isin(404, 410) | (status >= 500), "dead").otherwise("unverified")
 
 
+def urls_in(text: Column) -> Column:
+    """All http(s) URLs of a text in order, repeats included, without trailing marks; null: none."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)(https?://[^\s<>\"')\]]+)"), F.lit(1))
+    return F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:]+$", ""))
+
+
+def is_asset(url: Column, marks: tuple[str, ...]) -> Column:
+    """Whether an address has any of ``marks`` (hosts or parts of paths of an asset store) in it."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(url), F.lit(m.lower())) for m in marks], F.lit(False))
+
+
 def split_urls(text: Column) -> Column:
     """http(s) URLs of a text without trailing marks; of those that differ in case only the first stays."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"<>]+)"), F.lit(1)), lambda u: F.regexp_replace(u, r"[.,;:]+$", ""))
+    found = urls_in(text)
     none = F.array().cast("array<string>")
     return F.aggregate(found, none, lambda acc, u: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(u)), acc).otherwise(F.array_append(acc, u)))
 

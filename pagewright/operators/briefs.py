@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -232,17 +233,21 @@ def carry_markup(english: pd.Series, localised: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(a, b) for a, b in zip(english, localised, strict=True)], columns=["html", "restored", "unplaced"])
 
 
+def platform_of(url: Column, migrated: tuple[str, ...], markers: tuple[str, ...], old: str = "old", new: str = "new") -> Column:
+    """The platform of one address, as ``platform_vote`` judges it."""
+    from pagewright.functions import urls as U
+
+    host = U.host_of(url)
+    moved = reduce(lambda a, b: a | b, [host.endswith(m.lower()) for m in migrated], F.lit(False))
+    return F.when(U.is_asset(url, markers), old).when(moved, new).otherwise(old)
+
+
 def platform_vote(urls: DataFrame, migrated: tuple[str, ...], markers: tuple[str, ...], old: str = "old", new: str = "new") -> DataFrame:
     """(brief_id, platform): the platform all hosts of a brief agree on, Mixed where they don't; briefs without urls have no row.
 
     An address with a marker is on the old platform; a host that ends in a migrated one is on the new; others on the old.
     """
-    from pagewright.functions import urls as U
-
-    host = U.host_of(F.col("url"))
-    marked = F.coalesce(*[F.when(F.lower("url").contains(m.lower()), True) for m in markers], F.lit(False))
-    moved = F.coalesce(*[F.when(host.endswith(m.lower()), True) for m in migrated], F.lit(False))
-    votes = urls.select("brief_id", F.when(marked, old).when(moved, new).otherwise(old).alias("v"))
+    votes = urls.select("brief_id", platform_of(F.col("url"), migrated, markers, old, new).alias("v"))
     return votes.groupBy("brief_id").agg(F.when(F.count_distinct("v") > 1, "Mixed").otherwise(F.min("v")).alias("platform"))
 
 
@@ -262,3 +267,71 @@ def signals(texts: DataFrame) -> DataFrame:
     paras = F.filter(F.split(t, r"\n"), lambda p: F.length(F.trim(p)) >= 200)
     tab = F.filter(F.split(t, r"\n"), lambda p: F.size(F.split(p, "\t")) >= 3)
     return texts.select("text_id", (F.size(paras) >= 3).alias("long_paragraphs"), (F.regexp_count(t, F.lit("[À-ÖØ-öø-ÿ]")) >= 8).alias("accented"), F.regexp_count(t, F.lit(r"https?://")).alias("urls"), F.size(tab).alias("tabular_rows")).withColumn("has_table", c("tabular_rows") >= 3)
+
+
+# the structural facts that ``structure`` finds
+FLAGS = ("site_url", "two_site_urls", "rows_paired", "content_path", "asset", "url_pair_rows", "removal_marks", "sections", "long_body", "translated_rows", "not_english")
+
+
+def structure(texts: DataFrame, asset_marks: tuple[str, ...], asset_label: str = r"assets\s*[-–]") -> DataFrame:
+    """``texts`` with ``site`` and ``assets`` (their addresses) and the boolean columns of ``FLAGS``; null texts count as empty.
+
+    An address with one of ``asset_marks`` is an asset; site addresses that differ in case only count once. A row pairs if a
+    line with a site address has two; it marks a removal if a cell is a lone x beside an address.
+    """
+    from pagewright.functions import urls as U
+
+    t = F.coalesce("text", F.lit(""))
+    lines = F.transform(F.split(t, r"\r?\n"), lambda x: F.struct(x.alias("line"), F.size(F.array_distinct(F.transform(F.filter(U.urls_in(x), lambda u: ~U.is_asset(u, asset_marks)), lambda u: F.lower(u)))).alias("n")))
+    r = texts.withColumn("site", F.filter(U.split_urls(t), lambda u: ~U.is_asset(u, asset_marks))).withColumn("assets", F.filter(U.urls_in(t), lambda u: U.is_asset(u, asset_marks))).withColumn("__lines", lines)
+    count = lambda test: F.size(F.filter("__lines", test))
+    paired, named = count(lambda x: x["n"] >= 2), count(lambda x: x["n"] >= 1)
+    flags = (
+        F.size("site") >= 1, F.size("site") >= 2, (named > 0) & (named == paired), t.rlike(r"(?i)/content/[a-z0-9/-]+|(?m)^\s*/[a-z0-9][a-z0-9/-]*/\s*$"),
+        (F.size("assets") >= 1) | t.rlike(f"(?i){asset_label}"), paired >= 1, count(lambda x: x["line"].rlike(r"(?i)(^|\t)\s*x\s*(\t|$)") & (x["n"] >= 1)) >= 1,
+        F.regexp_count(t, F.lit(r"\[\d+\.\d+\]")) >= 2, count(lambda x: F.length(F.trim(x["line"])) >= 200) >= 3,
+        count(lambda x: F.contains(x["line"], F.lit("\t")) & x["line"].rlike("[À-ɏ]")) >= 3, F.regexp_count(t, F.lit("[À-ɏ]")) >= 8,
+    )
+    return r.select(*texts.columns, "site", "assets", *[f.alias(n) for n, f in zip(FLAGS, flags, strict=True)])
+
+
+def analyse(briefs: DataFrame, work: dict, markets: dict[str, str]) -> DataFrame:
+    """(brief_id, type, score, matched, confident, platform, have, missing, questions, steps, ready): what each brief asks for.
+
+    ``briefs`` is (brief_id, text), ``markets`` names with their domains. ``work`` is configuration: ``terms`` and ``flags``
+    (type, term or flag, weight), ``needs`` (type, need, question, pattern, flag; either may be None, rows of one need are
+    alternatives), ``steps`` (type, platform, step), ``migrated``, ``markers``, ``assets`` and ``least``. The platform is
+    what all site addresses agree on; without any, that of the target market of a brief with a header of markets, else
+    Unknown. A brief is ready if it lacks nothing and its platform is certain. Null texts count as empty.
+    """
+    from pagewright.operators.classify import heaviest, type_scores
+
+    r = rows(briefs)
+    heads = header_rows(r, list(markets))
+    place = F.create_map(*[F.lit(x) for k, v in markets.items() for x in (k.strip().lower(), v)])
+    target = target_market(r, heads, list(markets)).join(heads.select("brief_id", F.lit(True).alias("head")), "brief_id", "left")
+    target = target.select("brief_id", F.lit(True).alias("target_named"), F.when(F.col("head"), F.concat(F.lit("https://"), F.try_element_at(place, F.col("market")))).alias("at"))
+    s = structure(briefs.withColumn("text", F.coalesce("text", F.lit(""))), work["assets"]).join(target, "brief_id", "left").withColumn("target_named", F.coalesce("target_named", F.lit(False)))
+    judge = lambda u: platform_of(u, work["migrated"], work["markers"])
+    votes = F.array_distinct(F.transform("site", judge))
+    s = s.withColumn("platform", F.when(F.size(votes) > 1, "Mixed").when(F.size(votes) == 1, votes[0]).when(F.col("at").isNotNull(), judge(F.col("at"))).otherwise("Unknown"))
+    s = s.withColumn("t", heaviest(type_scores(F.col("text"), work["terms"], work["flags"]), work["least"]))
+
+    def needs_of(kind: str) -> Column:
+        met: dict[tuple[str, str], list[Column]] = {}
+        for t, need, question, pattern, flag in work["needs"]:
+            if t == kind:
+                met.setdefault((need, question), []).append(F.col(flag) if flag else F.col("text").rlike(f"(?i){pattern}"))
+        one = [F.struct(F.lit(n).alias("need"), F.lit(q).alias("question"), reduce(lambda a, b: a | b, c).alias("met")) for (n, q), c in met.items()]
+        return F.array(*one) if one else F.lit(None)
+
+    kinds = list(dict.fromkeys(t for t, *_ in [*work["terms"], *work["flags"]]))
+    none = F.array().cast("array<string>")
+    steps: dict[tuple[str, str], list[str]] = {}
+    for kind, platform, step in work["steps"]:
+        steps.setdefault((kind, platform), []).append(step)
+    s = s.withColumn("needs", F.coalesce(*[F.when(F.col("t.type") == k, needs_of(k)) for k in kinds]))
+    s = s.withColumn("steps", F.coalesce(*[F.when((F.col("t.type") == k) & (F.col("platform") == p), F.array(*map(F.lit, v))) for (k, p), v in steps.items()], none))
+    pick = lambda met, field: F.coalesce(F.transform(F.filter("needs", lambda x: x["met"] == F.lit(met)), lambda x: x[field]), none)
+    s = s.select("brief_id", "t.*", "platform", pick(True, "need").alias("have"), pick(False, "need").alias("missing"), pick(False, "question").alias("questions"), "steps")
+    return s.withColumn("ready", (F.size("missing") == 0) & ~F.col("platform").isin("Unknown", "Mixed"))
