@@ -141,7 +141,7 @@ def unpivot(brief_rows: DataFrame, shapes: DataFrame, roles: dict[str, str]) ->
     cells = data.select("brief_id", "row", F.trim(F.col("cells")[0]).alias("market"), F.posexplode(F.arrays_zip(F.slice("names", 2, 1 << 20).alias("name"), F.slice("cells", 2, 1 << 20).alias("cell"))).alias("col", "x")).where("x.name is not null")
     role = F.coalesce(*[F.when(F.col("x.name").rlike(rx), F.lit(r)) for rx, r in roles.items()], F.lit(None).cast("string"))
     parts = cells.select("brief_id", "row", "market", F.col("x.name").alias("header"), role.alias("role"), F.posexplode(F.split("x.cell", r"\n\s*\n")).alias("part", "text"))
-    return parts.select("brief_id", "market", "role", "header", "part", F.trim("text").alias("text")).where("text <> ''")
+    return parts.select("brief_id", "row", "market", "role", "header", "part", F.trim("text").alias("text")).where("text <> ''")
 
 
 def front_matter(brief_rows: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -150,6 +150,12 @@ def front_matter(brief_rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     ``fields`` maps labels in lower case to field names, halves of a slashed label count after the whole. Copy ends it: the
     first row that neither opens with a label nor continues one.
     """
+    r = _fronted(brief_rows, fields).where("past = 0 and field is not null and value <> ''")
+    return r.select("brief_id", "field", "row", "value").withColumn("ord", F.row_number().over(W.partitionBy("brief_id", "field").orderBy("row"))).drop("row")
+
+
+def _fronted(brief_rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """Rows with their ``line``, the ``field`` and ``value`` of front matter, and ``past``, which is 1 from the first row of copy on."""
     one = F.array_join(F.filter("cells", lambda c: F.trim(c) != ""), "\t")
     r = brief_rows.withColumn("line", one)
     cut = F.regexp_extract("line", r"(?s)^([^\t:]{1,40})[\t:]\s*(.*)$", 1)
@@ -160,10 +166,8 @@ def front_matter(brief_rows: DataFrame, fields: dict[str, str]) -> DataFrame:
     bullet = F.col("line").rlike(r"^\s*[●•·*-]\s*\t?")
     w = W.partitionBy("brief_id").orderBy("row")
     r = r.withColumn("copy", (F.col("field").isNull() & ~bullet) | F.col("line").rlike(r"\[\d+\.\d+\]"))
-    r = r.withColumn("past", F.max(F.col("copy").cast("int")).over(w)).where("past = 0")
-    r = r.withColumn("field", F.last("field", True).over(w)).where("field is not null")
-    value = F.trim(F.regexp_replace(F.regexp_replace("line", r"(?s)^[^\t:●•]{1,40}[\t:]\s*", ""), r"^[●•·*-]\s*\t?", ""))
-    return r.select("brief_id", "field", "row", value.alias("value")).where("value <> ''").withColumn("ord", F.row_number().over(W.partitionBy("brief_id", "field").orderBy("row"))).drop("row")
+    r = r.withColumn("past", F.max(F.col("copy").cast("int")).over(w)).withColumn("field", F.last("field", True).over(w))
+    return r.withColumn("value", F.trim(F.regexp_replace(F.regexp_replace("line", r"(?s)^[^\t:●•]{1,40}[\t:]\s*", ""), r"^[●•·*-]\s*\t?", "")))
 
 
 def paired(brief_values: DataFrame, label_field: str = "cta", link_field: str = "cta link") -> DataFrame:
@@ -335,3 +339,69 @@ def analyse(briefs: DataFrame, work: dict, markets: dict[str, str]) -> DataFrame
     pick = lambda met, field: F.coalesce(F.transform(F.filter("needs", lambda x: x["met"] == F.lit(met)), lambda x: x[field]), none)
     s = s.select("brief_id", "t.*", "platform", pick(True, "need").alias("have"), pick(False, "need").alias("missing"), pick(False, "question").alias("questions"), "steps")
     return s.withColumn("ready", (F.size("missing") == 0) & ~F.col("platform").isin("Unknown", "Mixed"))
+
+
+# fixed values: labels of rows that hold a page's metadata, its sections and its copy
+COLUMN_METADATA = {"meta title": "title", "page name": "pageName", "meta description": "description", "meta keywords": "keywords"}
+COLUMN_SECTIONS, COLUMN_BODY = ("headline", "title"), ("subheading", "body")
+SHEET_ROLES = {"(?i)header|title|headline": "section", r"(?i)\bbody\b|text|paragraph|description|content|copy": "body"}
+FRONT_METADATA = ("title", "pageName", "description", "canonical", "keywords", "market")
+ADDRESS = r"^(https?://|/)"
+
+
+def expected(brief_rows: DataFrame, types: DataFrame, fields: dict[str, str], localised: str, keywords: str, asset_label: str = r"assets\s*[-–]") -> DataFrame:
+    """(brief_id, mode, part, field, text, href, section, row): what a brief says its page must carry, read by its work type.
+
+    ``types`` is (brief_id, type). Briefs of type ``localised`` are sheets with a row for each market, sheets with a row for each
+    field (the last cell counts, the n-th call to action has the n-th address), or prose, of which lines of 40 characters or more
+    are copy. Those of type ``keywords`` name keywords in the last cell of the first row that opens with an address. All others are
+    front matter, labelled by ``fields``, then lines: a number in brackets at the end marks a section, ``asset_label`` an image.
+    """
+    from pagewright.functions import text as T
+
+    r = brief_rows.join(types.select("brief_id", "type"), "brief_id")
+    null = F.lit(None).cast("string")
+
+    def say(d: DataFrame, mode: str, part, text, field=null, href=null, section=null) -> DataFrame:
+        part = F.lit(part) if isinstance(part, str) else part
+        return d.select("brief_id", F.lit(mode).alias("mode"), part.alias("part"), field.alias("field"), text.alias("text"), href.alias("href"), section.alias("section"), F.col("row").cast("int").alias("row"))
+
+    local = r.where(F.col("type") == localised)
+    shape = orientation(local.select("brief_id", "row", "cells"))
+    sheets = unpivot(local.select("brief_id", "row", "cells"), shape, SHEET_ROLES).where("role is not null")
+    size = local.groupBy("brief_id").agg(F.count_if(F.size("cells") >= 3).alias("tabular")).join(shape.where("orientation = 'markets-by-field'"), "brief_id", "left_anti")
+    rest = local.join(size, "brief_id")
+    line = F.trim(F.array_join("cells", " "))
+    prose = rest.where((F.col("tabular") < 2) & (F.length(line) >= 40))
+
+    c = rest.where("tabular >= 2 and size(cells) >= 3").withColumn("key", F.lower(T.normalise(F.col("cells")[0]))).withColumn("last", F.trim(F.element_at("cells", -1))).where("last <> ''")
+    names = F.create_map(*[F.lit(x) for kv in COLUMN_METADATA.items() for x in kv])
+    meta = c.where(F.col("key").isin(*COLUMN_METADATA)).groupBy("brief_id", names[F.col("key")].alias("name")).agg(F.min_by("last", "row").alias("last"), F.min("row").alias("row"))
+    copy = c.where(F.col("key").isin(*COLUMN_SECTIONS, *COLUMN_BODY))
+    cta = c.where(F.col("key").rlike(r"^cta\b")).withColumn("is_link", F.contains("key", F.lit("link"))).withColumn("n", F.row_number().over(W.partitionBy("brief_id", "is_link").orderBy("row")))
+    to = cta.where("is_link").select("brief_id", "n", F.col("last").alias("to"))
+    cta = cta.where("not is_link").join(to, ["brief_id", "n"], "left")
+
+    k = r.where((F.col("type") == keywords) & (F.size("cells") >= 2) & F.trim(F.col("cells")[0]).rlike("(?i)^https?://"))
+    k = k.groupBy("brief_id").agg(F.min_by(F.trim(F.element_at("cells", -1)), "row").alias("last"), F.min("row").alias("row"))
+
+    f = _fronted(r.where(~F.col("type").isin(localised, keywords)).select("brief_id", "row", "cells"), fields)
+    front = f.where("past = 0 and field is not null and value <> ''")
+    inside = front.where(F.col("field").isin(*FRONT_METADATA)).groupBy("brief_id", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda x: x["value"]), ", ").alias("text"), F.min("row").alias("row"))
+    own = front.where(~F.col("field").isin(*FRONT_METADATA))
+    kind = F.when(F.col("field") == "topic", "section").when(F.col("field") == "image", "image").when(F.col("field") == "links", "link").otherwise("front")
+    body = f.where("past = 1").withColumn("line", F.trim(F.array_join("cells", "\t")))
+    head, image = F.regexp_extract("line", r"^(.+?)\s*\[\d+\.\d+\]$", 1), F.regexp_extract("line", rf"(?i)^(?:hero\s*:\s*)?(?:\w+ )?{asset_label}\s*(.+)$", 1)
+    what = F.when(head != "", F.struct(F.lit("section").alias("part"), head.alias("text"))).when(image != "", F.struct(F.lit("image").alias("part"), image.alias("text"))).when(F.length("line") >= 40, F.struct(F.lit("body").alias("part"), F.col("line").alias("text")))
+    body = body.withColumn("x", what).where("x is not null")
+    return reduce(DataFrame.union, [
+        say(sheets, "markets-by-field", F.col("role"), F.col("text"), section=F.col("market")),
+        say(prose, "prose", "body", line),
+        say(meta, "columns", "metadata", F.col("last"), F.col("name")),
+        say(copy, "columns", F.when(F.col("key").isin(*COLUMN_SECTIONS), "section").otherwise("body"), F.col("last"), section=F.col("section")),
+        say(cta, "columns", "link", F.col("last"), href=F.when(F.col("to").rlike(ADDRESS), F.col("to")), section=F.col("section")),
+        say(k, "columns", "metadata", F.col("last"), F.lit("keywords")),
+        say(inside, "labelled", "metadata", F.col("text"), F.col("field")),
+        say(own, "labelled", kind, F.col("value"), F.when(kind == "front", F.col("field")), F.when((kind == "link") & F.col("value").rlike(ADDRESS), F.col("value"))),
+        say(body, "labelled", F.col("x.part"), F.col("x.text")),
+    ])

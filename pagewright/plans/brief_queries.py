@@ -51,7 +51,35 @@ def brief_analysis(spark, sf_dir):
     return a.select(*[F.array_join(c, "; ").alias(c) if c in ("have", "missing", "questions", "steps") else F.col(c) for c in a.columns])
 
 
-QUERIES = {f.__name__: f for f in (brief_structure, doc_structure, brief_analysis)}
+_PROSE = "A long enough paragraph of copy that reads as prose in any case."
+TYPED = Rows("brief_id int, type string, text string", [
+    (1, "local", f"Country\tHeader\tBody text\tOwner\nItaly\tCiao\t{_PROSE}\tyou\n\t\t\nSpain\tHola\t{_PROSE}\tme\n"),
+    (2, "local", "Top\nMeta title\tLift\tAscensore\nMeta title\tLift\tLater\nHeadline\tA\tB\nBody\tC\t\nSubheading\tC\tD\nCTA\tGo\tVai\nCTA 2\tBuy\tCompra\nCTA Link\t\t/it/a\nCTA link 2\t\ttbd\n"),
+    (3, "local", f"Short line\n{_PROSE}\n"),
+    (4, "keywords", "Page\tWords\nhttps://a.it/x\told\t lifts, doors \nhttps://a.it/y\tlate"),
+    (5, "page", f"Market: Italy\nTitle: Home lifts\nH1: Lifts at home\nKeywords\tlift\n●\tdoor\nLinks: /it/a\nNote: ask first\n{_PROSE}\nWhy lifts [1.2]\nHero: Brand assets – front.png\nshort\n"),
+    (6, "page", ""), (7, "page", None), (8, "local", None), (9, "keywords", "no address here"),
+])
+LABELS = {"market": "market", "title": "title", "h1": "topic", "keywords": "keywords", "links": "links", "note": "note"}
+EXPECTED = Rows("brief_id int, mode string, part string, field string, text string, href string, section string, row int", [
+    (1, "markets-by-field", "section", None, "Ciao", None, "Italy", 2), (1, "markets-by-field", "body", None, _PROSE, None, "Italy", 2),
+    (1, "markets-by-field", "section", None, "Hola", None, "Spain", 3), (1, "markets-by-field", "body", None, _PROSE, None, "Spain", 3),
+    (2, "columns", "metadata", "title", "Ascensore", None, None, 2), (2, "columns", "section", None, "B", None, "Top", 4), (2, "columns", "body", None, "D", None, "Top", 6),
+    (2, "columns", "link", None, "Vai", "/it/a", "Top", 7), (2, "columns", "link", None, "Compra", None, "Top", 8),
+    (3, "prose", "body", None, _PROSE, None, None, 2), (4, "columns", "metadata", "keywords", "lifts, doors", None, None, 2),
+    (5, "labelled", "metadata", "market", "Italy", None, None, 1), (5, "labelled", "metadata", "title", "Home lifts", None, None, 2), (5, "labelled", "section", None, "Lifts at home", None, None, 3),
+    (5, "labelled", "metadata", "keywords", "lift, door", None, None, 4), (5, "labelled", "link", None, "/it/a", "/it/a", None, 6), (5, "labelled", "front", "note", "ask first", None, None, 7),
+    (5, "labelled", "body", None, _PROSE, None, None, 8), (5, "labelled", "section", None, "Why lifts", None, None, 9), (5, "labelled", "image", None, "front.png", None, None, 10),
+])
+
+
+def brief_expectations(spark, sf_dir):
+    """What briefs written out say of their pages, by work type."""
+    b = TYPED.df(spark)
+    return briefs.expected(briefs.rows(b), b, LABELS, "local", "keywords")
+
+
+QUERIES = {f.__name__: f for f in (brief_structure, doc_structure, brief_analysis, brief_expectations)}
 _URLS = r"""list_transform(regexp_extract_all({0}, '(?i)https?://[^\s<>"'')\]]+'), lambda u: regexp_replace(u, '[.,;:]+$', ''))"""
 _ASSET = "(contains(lower({0}), 'assets.test') OR contains(lower({0}), '/store/'))"
 _SITE = f"list_filter({_URLS}, lambda u: NOT {_ASSET.format('u')})"
@@ -83,4 +111,4 @@ DECIDED = Rows("brief_id int, type string, score int, matched string, confident
     (10, "redirect", 5, "retire, url_pair_rows", True, "old", "source; destination", "", "", "Open the folder; Publish", True),
     (11, "local", 4, "translated_rows", True, "Unknown", "", "market", "Which market?", "", False),
 ])
-ORACLE_SQL = {"brief_structure": _structure(BRIEFS.sql(), "brief_id"), "doc_structure": _structure("documents", "doc_id"), "brief_analysis": f"SELECT * FROM {DECIDED.sql()}"}
+ORACLE_SQL = {"brief_structure": _structure(BRIEFS.sql(), "brief_id"), "doc_structure": _structure("documents", "doc_id"), "brief_analysis": f"SELECT * FROM {DECIDED.sql()}", "brief_expectations": f"SELECT * FROM {EXPECTED.sql()}"}

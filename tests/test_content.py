@@ -166,3 +166,17 @@ def test_sitemap_files_are_walked(spark):
     assert named == ["https://a.com/sitemap.xml"]
     pages, _ = crawl.sitemap_walk(files, named)
     assert {(r.url[14:], r.level) for r in pages.collect()} == {("x", 1), ("y?a=1&b=2", 1)}
+
+
+def test_structure_and_analysis(spark):
+    from pagewright.operators.classify import classify
+    from pagewright.plans.brief_queries import ASSETS, MARKETS, WORK
+
+    b = spark.createDataFrame([(1, "India\nField\tItaly\tIndia\nTitle\ta\tb\n"), (2, None)], "brief_id int, text string")
+    assert {r.brief_id: (r.platform, r.ready) for r in briefs.analyse(b, WORK, MARKETS).collect()} == {1: ("new", True), 2: ("Unknown", False)}
+    assert briefs.analyse(b.where("brief_id < 0"), WORK, MARKETS).count() == 0
+    s = briefs.structure(spark.createDataFrame([(1, "(https://a.it/x) HTTPS://A.it/X https://assets.test/a https://assets.test/a", "kept")], "brief_id int, text string, extra string"), ASSETS).first()
+    assert s.site == ["https://a.it/x"] and s.assets == ["https://assets.test/a"] * 2 and s.extra == "kept" and s.asset and not s.rows_paired
+    t = spark.createDataFrame([(1, "one two", True), (2, None, None)], "text_id int, text string, flag boolean")
+    got = classify(t, [("b", "one", 2), ("a", "two", 2)], structural=[("b", "flag", 1)]).orderBy("text_id").collect()
+    assert [(r.type, r.score, r.matched, r.confident) for r in got] == [("b", 3, "one, flag", True), ("a", 0, "", False)]
