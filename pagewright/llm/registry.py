@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import audio, embeddings, mixing, packing, quality, secrets, simhash, substrings, toxicity, urls
+from pagewright.llm import audio, conversations, embeddings, minhash, mixing, packing, quality, secrets, simhash, spelling, substrings, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged first."""
+    return conversations.report(_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the more frequent words that they are variants of."""
+    return spelling.group(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return minhash.compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embeddings": op1_embeddings,
     "op2_mixing": op2_mixing,
@@ -83,5 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_simhash": op10_simhash,
+    "op11_conversations": op11_conversations,
+    "op12_spelling": op12_spelling,
+    "op13_fingerprints": op13_fingerprints,
 }
-ORACLE_SQL: dict[str, str] = {"op7_url_filter": urls.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op7_url_filter": urls.ORACLE, "op11_conversations": conversations.ORACLE, "op12_spelling": spelling.ORACLE}
