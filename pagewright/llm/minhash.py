@@ -67,16 +67,19 @@ def bins(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def packed(text: bytes, words: int = WORDS) -> bytes:
-    """The low BITS of every bin, packed; empty for a text without words."""
-    h = shingle_hashes(text, words)
-    if not h.size:
-        return b""
-    own = _mixed(bins(h) + np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def low_bits(values: np.ndarray) -> bytes:
+    """The low BITS of every bin's value mixed with its number, packed."""
+    own = _mixed(values + np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     low = (own & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - BITS :]).tobytes()
 
 
+def packed(text: bytes, words: int = WORDS) -> bytes:
+    """The fingerprint of a text, empty without words."""
+    h = shingle_hashes(text, words)
+    return low_bits(bins(h)) if h.size else b""
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """Estimate of the Jaccard similarity of two texts' shingles from 0 to 1, corrected for bits that agree by chance; two without words are alike."""
     if not a or not b:

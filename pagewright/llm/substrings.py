@@ -324,22 +324,29 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, text): ids that are unique order themselves; else rows are numbered by id, null last, and text hash."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, id, text) of all rows, and (doc, text) of each document once: rows that repeat id and text are one document.
+
+    Ids that are unique order themselves; else documents are numbered by id, null last, and text hash.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     odd = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count()
     if not odd and dict(rows.dtypes)["id"] in ("bigint", "int", "smallint", "tinyint"):
-        return rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+        own = rows.select(F.col("id").cast("long").alias("doc"), "id", "text")
+        return own, own.select("doc", "text")
     keyed = rows.withColumn("th", F.xxhash64("text"))
     # in sorted order these numbers rise, with gaps between partitions
     numbers = written(keyed.select("id", "th").distinct().orderBy(F.col("id").asc_nulls_last(), "th").withColumn("doc", F.monotonically_increasing_id()))
     k, n = keyed.alias("k"), numbers.alias("n")
-    return written(k.join(n, F.col("k.id").eqNullSafe(F.col("n.id")) & (F.col("k.th") == F.col("n.th"))).select("n.doc", "k.id", "k.text"))
+    rows = written(k.join(n, F.col("k.id").eqNullSafe(F.col("n.id")) & (F.col("k.th") == F.col("n.th"))).select("n.doc", "k.id", "k.text"))
+    return rows, written(rows.groupBy("doc").agg(F.min("text").alias("text")))
 
 
-def covered(rows: DataFrame) -> DataFrame:
-    """(doc, spans) of every document that repeats a window which starts earlier; rows (doc, text)."""
-    texts = rows.select("doc", "text")
+def covered(texts: DataFrame) -> DataFrame:
+    """(doc, spans) of every document that repeats a window which starts earlier; ``texts`` (doc, text) has each document once.
+
+    Windows around hot anchors and equal runs are settled by 64- and 128-bit digests; all others are compared byte by byte.
+    """
     order = F.when(F.col("kind") == MARK, 0).otherwise(1)
     runs = texts.mapInArrow(survey, _SURVEYED).repartition("route").sortWithinPartitions("route", "h", order, "c", "doc", "s")
     settled = written(runs.mapInArrow(settle, _RESOLVED))
@@ -363,8 +370,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with other texts are ordered by text hash, null ids last; rows that repeat id and text are one document and get its
     result each. An empty table gives an empty result; other columns are ignored.
     """
-    rows = _numbered(docs, id_col, text_col)
-    spans = covered(rows)
+    rows, once = _numbered(docs, id_col, text_col)
+    spans = covered(once)
     ids = spans.select("doc")
     few = ids.count() <= BROADCAST_IDS
     own = rows.join(F.broadcast(ids) if few else ids, "doc", "left_anti")

@@ -257,6 +257,20 @@ def test_substrings(spark, rows):
     assert substrings.remove_repeats(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_substrings_keep_rows_that_repeat(spark, parts):
+    """Rows of one id and text are one document: none covers the other, and each gets the result of a single one."""
+    rng = random.Random(5)
+    a, b, c = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500)) for _ in range(3))
+    once = [(1, a, "x"), (2, b, "x"), (3, a[100:400] + c, "x"), (4, c, "x")]
+    rows = [once[0], once[0], once[1], once[2], once[2], once[2], once[3], (None, b, "x"), (None, b, "x")]
+    got = substrings.remove_repeats(table(spark, rows).repartition(parts)).collect()
+    want = brute_repeats([(i, t) for i, t, _ in once]) | {None: (500, 500, 1, hashlib.sha256(b"").hexdigest())}
+    assert want[1][1] == want[2][1] == 0 and want[3][1] == 300 and want[4][1] == 500
+    assert sorted(map(repr, got)) == sorted(repr(r) for r in got) and len(got) == len(rows)
+    assert all(tuple(r)[1:] == want[r.doc_id] for r in got)
+
+
 def dealt(batches, *keys, rows=7):
     """What a shuffle and a sort make of ``batches``, handed on a few rows at a time."""
     t = pa.Table.from_batches(list(batches))
