@@ -68,7 +68,8 @@ def rows():
     texts = ["Yes.", "No!", "Why?", "and then", "", " \t", "Well. \n", "é…", None, "Yes."]
     roles = ["user", "assistant", "user", "assistant", "system", None, "", "tool", "User"]
     out = [(c, rng.choice([*range(6), None]), rng.choice(roles), rng.choice(texts) if rng.random() < 0.6 else f"Turn {rng.randint(0, 99)}.") for c in [*range(40), None] for _ in range(rng.randint(1, 9))]
-    return [*out, *out[:30], (77, 1, "user", "a" * 300_000 + "."), (77, 2, "assistant", "b" * 300_000)]
+    gone = next(c for c in range(500, 999) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    return [*out, *out[:30], (gone, 0, "user", "Dropped."), (77, 1, "user", "a" * 300_000 + "."), (77, 2, "assistant", "b" * 300_000)]
 
 
 def expected(rows):
