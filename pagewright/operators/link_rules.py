@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewright.functions import urls as U
-from pagewright.operators import markup, matching
+from pagewright.operators import markup, matching, model
 from pagewright.operators.head_rules import facts
 from pagewright.operators.rules import finding, union
 
@@ -92,34 +92,99 @@ def rulings_of(links: DataFrame, rulings: list[tuple[str | None, str, str, str]]
     return links.select("page_id", "text", "href", F.coalesce(*fits, F.lit(None).cast("string")).alias("verdict"))
 
 
-def audit(pages: DataFrame, entries: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(page_id, kind, text, href, verdict, reason, n): every own link judged against the sitemap.
+def _judged(verdict: str, reason: str, suggested=None, sure=None):
+    none = F.array().cast("array<string>")
+    return F.struct(F.lit(verdict).alias("verdict"), F.lit(reason).alias("reason"), (none if suggested is None else F.coalesce(suggested, none)).alias("suggested"), F.coalesce(F.lit(False) if sure is None else sure, F.lit(False)).alias("confident"))
 
-    ``entries`` is ``matching.sitemap`` with its host, ``prefixes`` (host, prefix) the language segment that most of a host's
-    pages carry. Red: placeholders, scripts, editor paths, and paths without the language segment that exist with it;
-    amber: paths the sitemap doesn't list, and texts whose words name another page better; else green.
+
+def _by_text(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, key, paths, best, score, sure): suggestions for each different bag of words of a host's links; a text that all pages carry is looked up once."""
+    texts = rows.where("size(tt) > 0").groupBy("host", "key").agg(F.min("text").alias("text")).withColumn("text_id", F.struct("host", "key")).withColumn("exclude", F.lit(None).cast("string"))
+    found = matching.suggest(texts.select("text_id", "host", "text", "exclude"), entries)
+    paths = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
+    top = matching.confident(found).withColumnRenamed("path", "best").withColumnRenamed("confident", "sure")
+    return paths.join(top, "text_id").select("text_id.host", "text_id.key", "paths", "best", "score", "sure")
+
+
+def _by_context(rows: DataFrame, stream: DataFrame, entries: DataFrame) -> DataFrame:
+    """(page_id, at, title, near, named): the title above each link without words of its own, the words around it, and pages that the title names (path, words)."""
+    links = rows.where("size(tt) = 0").select("page_id", "at", "text")
+    around = stream.where("kind <> 'link'").select("page_id", "at", "kind", "text").unionByName(links.withColumn("kind", F.lit("link")))
+    placed = matching.contexts(around.withColumnRenamed("at", "ord")).withColumnRenamed("ord", "at").drop("text").join(rows.select("page_id", "at", "host"), ["page_id", "at"])
+    titles = placed.where("title is not null").select("host", "title").distinct().withColumn("text_id", F.struct("host", "title"))
+    found = matching.context_suggest(titles.select("text_id", "host", F.col("title").alias("text")), entries, 4)
+    named = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "words"))), lambda x: F.struct(x["path"].alias("path"), x["words"].alias("words"))).alias("named")).select("text_id.host", "text_id.title", "named")
+    words = F.array_union(matching.tokens(F.coalesce("title", F.lit(""))), matching.tokens(F.coalesce("body", F.lit(""))))
+    return placed.join(named, ["host", "title"], "left").select("page_id", "at", "title", words.alias("near"), "named")
+
+
+def audit(pages: DataFrame, entries: DataFrame, prefixes: DataFrame, rulings: list[tuple[str | None, str, str, str]] = (), cta: str = "actions|cta|ctalink") -> DataFrame:
+    """(page_id, kind, text, href, target, verdict, reason, suggested, confident, ruled, n): every own link of a page judged against the sitemap of its host.
+
+    ``entries`` is ``matching.sitemap``, ``prefixes`` (host, prefix) the language segment that most of a host's pages carry, ``rulings`` as in ``rulings_of``. Red: links without a destination, bare calls to
+    action, scripts, editor paths, and paths that exist only with the language segment. Amber: paths the sitemap doesn't list; a listing where a page below it is named; texts that name another page
+    better, or not the one they lead to. Green: the page itself, and the page the text names. A text of no words of its own is judged by the title and paragraphs around it, and left out if they say nothing.
+    Links to other sites, within the page and home are not judged. Rows of one kind, text and address are one, as the first of them was judged.
     """
-    own = pages.select("page_id", U.host_of(F.col("url")).alias("host"), U.path_of(F.col("url")).alias("own"))
-    rows = markup.links(pages).join(own, "page_id").withColumn("href", F.trim(F.coalesce("href", F.lit(""))))
+    own = pages.select("page_id", U.host_of(F.col("url")).alias("host"), F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("own"))
+    stream = model.link_stream(pages)
+    bare = markup.dead_ctas(pages, cta).select("page_id", (F.lit(-1) - F.col("ord")).alias("at"), "text", F.lit(None).cast("string").alias("href"), F.lit("dead-cta").alias("kind"))
+    links = stream.where("kind = 'link'").withColumn("href", F.trim(F.coalesce("href", F.lit(""))))
+    empty, script = F.col("href").isin("", "#"), F.col("href").rlike("(?i)^(javascript:|~/)")
+    safe = F.col("tag").rlike(markup.SAFE_ATTRIBUTES) | F.lower("text").rlike(markup.SAFE_LABELS)
+    links = links.where(~(empty & safe) & (empty | ~F.col("href").startswith("#")) & ~F.col("href").rlike("(?i)^(mailto|tel):"))
+    rows = links.select("page_id", "at", "text", "href", F.when(empty | script, "placeholder").otherwise("link").alias("kind")).unionByName(bare).join(own, "page_id")
     there = F.when(F.col("href").rlike(r"^(?i:https?:)?//"), U.host_of(F.regexp_replace("href", "^//", ""))).otherwise(F.col("host"))
-    rows = rows.where(~F.col("href").rlike("^(?i)(mailto|tel):") & (F.col("placeholder") | (there == F.col("host")))).withColumn("target", F.regexp_replace(U.path_of(F.col("href")), r"\?.*$", ""))
-    rows = rows.join(prefixes.select("host", "prefix"), "host", "left").withColumn("fixed", F.when(F.coalesce(F.col("prefix") != "", F.lit(False)) & (F.coalesce(F.try_element_at(F.split("target", "/"), F.lit(2)), F.lit("")) != F.col("prefix")), F.concat(F.lit("/"), "prefix", F.when(F.col("target") == "/", "").otherwise(F.col("target")))))
-    known = entries.select("host", F.col("path").alias("target"), F.lit(True).alias("known"), F.col("words").alias("page_words"))
-    rows = rows.join(known, ["host", "target"], "left").join(known.select("host", F.col("target").alias("fixed"), F.lit(True).alias("fixed_known")), ["host", "fixed"], "left")
-    words = matching.tokens(F.col("text"))
-    home = (F.col("target") == "/") | (F.col("target") == F.concat(F.lit("/"), "prefix"))
-    listed = F.coalesce("known", F.lit(False)) | (F.col("target") == F.col("own"))
-    off = (F.size(words) > 0) & listed & ~F.arrays_overlap(words, F.coalesce("page_words", F.array().cast("array<string>"))) & (F.col("target") != F.col("own"))
-    say = lambda v, r: F.struct(F.lit(v).alias("verdict"), F.lit(r).alias("reason"))
+    rows = rows.where((F.col("kind") != "link") | (there == F.col("host"))).withColumn("target", F.when(F.col("kind") == "link", F.regexp_replace(U.path_of(F.col("href")), r"\?.*$", "")))
+    rows = rows.withColumn("tt", matching.tokens(F.col("text"))).withColumn("key", F.array_join(F.array_sort("tt"), " "))
+    rows = rows.join(prefixes.select("host", "prefix"), "host", "left")
+    lacks = F.coalesce(F.col("prefix") != "", F.lit(False)) & (F.coalesce(F.try_element_at(F.split("target", "/"), F.lit(2)), F.lit("")) != F.col("prefix"))
+    rows = rows.withColumn("fixed", F.when(lacks, F.concat(F.lit("/"), "prefix", F.when(F.col("target") == "/", "").otherwise(F.col("target")))))
+    sites = entries.select("host").distinct().withColumn("site", F.lit(True))
+    known = entries.select("host", F.col("path").alias("target"), F.col("last"), F.col("words").alias("all"), F.lit(True).alias("known"))
+    rows = rows.join(known, ["host", "target"], "left").join(entries.select("host", F.col("path").alias("fixed"), F.lit(True).alias("fixed_known")), ["host", "fixed"], "left").join(sites, "host", "left")
+    rows = rows.join(_by_text(rows, entries), ["host", "key"], "left").join(_by_context(rows, stream, entries), ["page_id", "at"], "left")
+
+    is_self = F.col("target") == F.col("own")
+    home = (F.col("target") == "/") | F.coalesce(F.col("target") == F.concat(F.lit("/"), "prefix"), F.lit(False))
+    missing = F.coalesce("fixed_known", F.lit(False)) | F.coalesce(F.col("fixed") == F.col("own"), F.lit(False))
+    listed = F.coalesce("known", F.lit(False))
+    generic = F.size("tt") == 0
+    others = lambda but: F.slice(F.filter("named", lambda x: ~x["path"].eqNullSafe(but)), 1, 3)
+    paths = lambda xs: F.transform(xs, lambda x: x["path"])
+    firm = lambda xs: F.get(xs, 0)["words"] >= 2
+    got = F.size(F.array_intersect("tt", "all")) + F.size(F.array_intersect("tt", "last"))
+    mine = got / (2 * F.size("tt")) - 0.05 * F.size(F.array_except("last", "tt"))
+    rows = rows.withColumn("mine", F.when(listed & ~generic, mine)).withColumn("lead", others(F.col("own"))).withColumn("alt", others(F.col("target")))
+    suggested = F.when(generic, paths(F.col("lead"))).otherwise(F.col("paths"))
+    sure = F.when(generic, firm(F.col("lead"))).otherwise(F.col("sure"))
+    rest = F.filter("paths", lambda p: p != F.col("target"))
+    better = F.coalesce((F.col("best") != F.col("target")) & (F.col("score") > F.col("mine") + 0.05) & (F.col("score") >= 0.5), F.lit(False))
+    named = (F.size("last") > 0) & (F.size(F.array_except("last", "tt")) == 0)
+    around = F.size(F.array_except("last", F.coalesce("near", F.array().cast("array<string>")))) == 0
+    of_generic = F.when(~listed & ~is_self, _judged("amber", "the sitemap does not list this path", suggested, sure)).when(~is_self & (F.size("last") > 0), F.when(around, _judged("green", "what stands around it is about the page", sure=F.lit(True))).when(firm(F.col("alt")), _judged("amber", "what stands around it is about another page", paths(F.col("alt")), F.lit(True))))
+    of_text = (
+        F.when(~listed & ~is_self, _judged("amber", "the sitemap does not list this path", F.col("paths"), F.col("sure"))).when(is_self, _judged("green", "leads to this page itself", sure=F.col("sure")))
+        .when(better & F.col("best").startswith(F.concat("target", F.lit("/"))), _judged("amber", "leads to a listing; a page below it is named", rest, F.col("sure")))
+        .when(named | ((F.col("mine") >= 0.6) & ~better), _judged("green", "leads to the page its text names", sure=F.col("sure"))).when(better, _judged("amber", "the text names another page better", rest, F.col("sure")))
+        .otherwise(_judged("amber", "the text does not name the page it leads to", rest, F.col("sure")))
+    )
     judged = (
-        F.when(F.col("placeholder"), say("red", "no destination")).when(F.col("href").rlike("^(?i)javascript:"), say("red", "runs a script")).when(F.col("href").startswith("~/"), say("red", "editor path"))
-        .when(F.coalesce("fixed_known", F.lit(False)) | F.coalesce(F.col("fixed") == F.col("own"), F.lit(False)), say("red", "language segment missing")).when(F.coalesce(home, F.lit(False)), say("green", "home"))
-        .when(~listed, say("amber", "not in the sitemap")).when(off, say("amber", "text names none of the page's words")).otherwise(say("green", "named page"))
+        F.when(F.col("kind") == "dead-cta", _judged("red", "a call to action without a link", suggested, sure)).when(F.col("href").isin("", "#"), _judged("red", "no destination", suggested, sure))
+        .when(F.col("href").startswith("~"), _judged("red", "editor path", suggested, sure)).when(F.col("kind") == "placeholder", _judged("red", "runs a script", suggested, sure))
+        .when(missing, _judged("red", "language segment missing", F.array("fixed"), F.lit(True))).when(home | F.col("site").isNull(), F.lit(None)).when(generic, of_generic).otherwise(of_text)
     )
-    rows = rows.select("page_id", F.when(F.col("placeholder"), "placeholder").otherwise("link").alias("kind"), "text", "href", judged.alias("j"))
-    return rows.groupBy("page_id", "kind", "text", "href").agg(F.min("j").alias("j"), F.count("*").alias("n")).select("page_id", "kind", "text", "href", "j.*", "n")
+    rows = rows.withColumn("j", judged).where("j is not null")
+    ruling = F.lit(None).cast("string")
+    for site, rx, to, verdict in reversed(rulings):
+        ruling = F.when(F.col("text").rlike(f"(?i){rx}") & (F.col("target") == to.lower()) & (F.lit(site is None) | (F.col("host") == (site or ""))), F.lit(verdict)).otherwise(ruling)
+    rows = rows.withColumn("ruling", F.when((F.col("kind") == "link") & ~missing, ruling))
+    one = F.struct("at", "target", F.coalesce("ruling", "j.verdict").alias("verdict"), F.when(F.col("ruling").isNotNull(), "ruled").otherwise(F.col("j.reason")).alias("reason"), "j.suggested", "j.confident", F.col("ruling").isNotNull().alias("ruled"))
+    per = rows.groupBy("page_id", "kind", F.when(F.col("text") == "", "(no label)").otherwise(F.col("text")).alias("text"), "href").agg(F.min_by(one, "at").alias("x"), F.count("*").alias("n"))
+    return per.select("page_id", "kind", "text", "href", "x.target", "x.verdict", "x.reason", "x.suggested", "x.confident", "x.ruled", "n")
 
 
 def first_places(rows: DataFrame, by: list[str], ord_col: str, shown: int = 3) -> DataFrame:
     """The first ``shown`` rows of each group in order."""
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*by).orderBy(ord_col))).where(F.col("__n") <= shown).drop("__n")
+    ranked = rows.select(F.struct(*rows.columns).alias("row"), F.row_number().over(W.partitionBy(*by).orderBy(ord_col)).alias("n"))
+    return ranked.where(F.col("n") <= shown).select("row.*")

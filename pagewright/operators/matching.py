@@ -206,24 +206,37 @@ def market_status(pages: DataFrame, registry: DataFrame) -> DataFrame:
     return out.select("page_id", F.coalesce("market", "moved").alias("market"), status.alias("status"))
 
 
-def claim(wants: DataFrame, links: DataFrame) -> DataFrame:
-    """(page_id, ord, want, href, state): each want of a brief takes one link of the page, none twice.
+def claim(wants: DataFrame, links: DataFrame, fold_case: bool = False) -> DataFrame:
+    """(page_id, ord, want, link, href, state): each want of a brief in its order takes the page's first link that is left and fits, none twice.
 
-    The n-th want of a label takes the page's n-th link of that label; wants left over that are addresses take a link of
-    that path no label has claimed. A claimed link to another path than wanted is a wrong target. ``wants`` is (page_id,
-    ord, label, href), ``links`` (page_id, ord, text, href).
+    ``wants`` is (page_id, ord, label, href), ``links`` (page_id, ord, text, href) and perhaps placeholder. A want whose label is its address, or that has only an address for a label, fits a link to
+    that path; any other fits a link of that label. Labels and addresses take from the same links, so what one takes the other lacks. A claimed link to another path than wanted is a wrong target;
+    a want that only a placeholder carries is one. The walk is a fold over the page's row: one page meets one page's wants, and nothing but the two gatherings by page is shuffled.
     """
-    nth = lambda *by: F.row_number().over(W.partitionBy("page_id", *by).orderBy("ord"))
-    w = wants.withColumn("key", F.lower(T.normalise(F.col("label")))).withColumn("n", nth("key"))
-    have = links.withColumn("key", F.lower(T.normalise(F.col("text")))).withColumn("n", nth("key")).select("page_id", "key", "n", F.col("ord").alias("link"), F.col("href").alias("found"))
-    first = w.join(have.where("key <> ''"), ["page_id", "key", "n"], "left")
-    free = have.join(first.where("link is not null").select("page_id", "link"), ["page_id", "link"], "left_anti").withColumn("path", U.path_of(F.col("found")))
-    free = free.select("page_id", "path", F.row_number().over(W.partitionBy("page_id", "path").orderBy("link")).alias("m"), F.col("link").alias("link2"), F.col("found").alias("found2"))
-    bare = F.when(F.col("link").isNull(), U.path_of(F.coalesce("href", "label")))
-    rest = first.withColumn("path", bare).withColumn("m", F.when(F.col("path").isNotNull(), F.row_number().over(W.partitionBy("page_id", "path").orderBy("ord"))))
-    done = rest.join(free, ["page_id", "path", "m"], "left").withColumn("got", F.coalesce("found", "found2"))
-    state = F.when(F.col("got").isNull(), "missing").when(F.col("href").isNotNull() & (U.path_of(F.col("href")) != U.path_of(F.col("got"))), "wrong target").otherwise("found")
-    return done.select("page_id", "ord", F.col("label").alias("want"), F.col("got").alias("href"), state.alias("state"))
+    norm = lambda c: F.lower(T.normalise(c)) if fold_case else T.normalise(c)
+    label, to = norm(F.col("label")), norm(F.coalesce("href", F.lit("")))
+    bare = F.when(F.col("href").isNotNull(), label == to).otherwise(F.col("label").rlike("(?i)^(https?://|/)"))
+    w = wants.select("page_id", F.struct("ord", "label", "href", label.alias("key"), U.path_of(F.coalesce("href", "label")).alias("path"), F.coalesce(bare, F.lit(False)).alias("bare")).alias("w"))
+    idle = F.col("placeholder") if "placeholder" in links.columns else F.lit(False)
+    have = links.select("page_id", F.struct("ord", "href", norm(F.col("text")).alias("key"), U.path_of(F.col("href")).alias("path"), F.coalesce(idle, F.lit(False)).alias("idle")).alias("l"))
+    per = w.groupBy("page_id").agg(F.array_sort(F.collect_list("w")).alias("wants")).join(have.groupBy("page_id").agg(F.array_sort(F.collect_list("l")).alias("links")), "page_id", "left")
+    kinds = dict(have.select("l.*").dtypes) | {"want": dict(wants.dtypes)["ord"]}
+    none = F.from_json(F.lit("[]"), f"array<struct<ord:{kinds['want']},want:string,link:{kinds['ord']},href:string,state:string>>")
+    start = F.struct(F.array().cast(f"array<{kinds['ord']}>").alias("taken"), none.alias("out"))
+
+    def step(done, want):
+        fits = lambda x: ~x["idle"] & ~F.array_contains(done["taken"], x["ord"]) & F.when(want["bare"], x["path"] == want["path"]).otherwise((x["key"] == want["key"]) & (want["key"] != ""))
+        held = F.exists("links", lambda x: x["idle"] & (x["key"] == want["key"]))
+
+        def put(hit):
+            wrong = want["href"].isNotNull() & ~want["bare"] & (hit["path"] != want["path"])
+            state = F.when(hit.isNull(), F.when(F.coalesce(held, F.lit(False)), "placeholder").otherwise("missing")).when(wrong, "wrong target").otherwise("found")
+            row = F.struct(want["ord"].alias("ord"), want["label"].alias("want"), hit["ord"].alias("link"), hit["href"].alias("href"), state.alias("state"))
+            return F.struct(F.when(hit.isNull(), done["taken"]).otherwise(F.array_append(done["taken"], hit["ord"])).alias("taken"), F.array_append(done["out"], row).alias("out"))
+
+        return F.get(F.transform(F.array(F.get(F.filter("links", fits), 0)), put), 0)
+
+    return per.select("page_id", F.explode(F.aggregate("wants", start, step)["out"]).alias("x")).select("page_id", "x.*")
 
 
 def assets(wants: DataFrame, images: DataFrame) -> DataFrame:

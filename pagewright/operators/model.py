@@ -102,13 +102,13 @@ _NOT_LOOSE = frozenset("p li h1 h2 h3 h4 h5 h6 label input select textarea butto
 
 @F.pandas_udf(_BLOCK)
 def blocks(html: pd.Series) -> pd.Series:
-    """Headings, paragraphs, list items, images, folds and innermost divs of a page by offset, with their inner markup.
+    """Headings, paragraphs, list items, images, folds, links with their tag, and innermost divs of a page by offset, with their inner markup.
 
     Copy inside a fold belongs to the fold. A div counts if no other div and no block of copy, heading or form control is inside it.
     """
 
     def one(page: str | None):
-        page, found, divs, run, head, fold = page or "", [], [], None, None, None
+        page, found, divs, run, head, fold, link = page or "", [], [], None, None, None, None
 
         def add(at: int, kind: str, level: int | None, raw: str) -> None:
             found.append({"at": at, "kind": kind, "level": level, "raw": raw})
@@ -149,6 +149,10 @@ def blocks(html: pd.Series) -> pd.Series:
                 run = (at, m.end())
             elif name == "img" and not shuts:
                 add(at, "image", None, m.group())
+            elif name == "a":
+                if shuts and link is not None:
+                    add(link, "link", None, page[link:at])
+                link = None if shuts else at if link is None else link
         if run:
             add(run[0], "copy", None, page[run[1] :])
         return sorted(found, key=lambda x: x["at"])
@@ -172,7 +176,17 @@ def page_stream(pages: DataFrame) -> DataFrame:
     text = F.when(F.col("kind") == "image", picture).when(F.col("kind") == "fold", T.strip_tags(F.regexp_extract("raw", summary, 1))).otherwise(T.strip_tags(F.col("raw")))
     answer = F.when(F.col("kind") == "fold", F.nullif(T.strip_tags(F.regexp_replace("raw", r"(?is)^.*?</summary>", "")), F.lit("")))
     out = rows.select("page_id", "at", "kind", "level", text.alias("text"), answer.alias("answer"))
-    return out.where((F.col("text") != "") & ((F.col("kind") != "loose") | (F.length("text") <= LOOSE)))
+    return out.where((F.col("kind") != "link") & (F.col("text") != "") & ((F.col("kind") != "loose") | (F.length("text") <= LOOSE)))
+
+
+def link_stream(pages: DataFrame) -> DataFrame:
+    """(page_id, at, kind, text, href, tag): titles, paragraphs and links of each page in order; titles are headings down to the third level and folds."""
+    rows = pages.select("page_id", F.explode_outer(blocks("html")).alias("b")).where("b is not null").select("page_id", "b.*")
+    kind = F.when(((F.col("kind") == "heading") & (F.col("level") <= 3)) | (F.col("kind") == "fold"), "title").when(F.col("kind") == "copy", "paragraph").when(F.col("kind") == "link", "link")
+    tag = F.when(F.col("kind") == "link", F.regexp_extract("raw", r"(?s)^(<[^>]*>)", 1))
+    shown = F.when(F.col("kind") == "fold", F.regexp_extract("raw", r"(?is)<summary\b[^>]*>(.*?)</summary>", 1)).otherwise(F.col("raw"))
+    out = rows.select("page_id", "at", kind.alias("kind"), T.strip_tags(shown).alias("text"), T.attr(tag, "href").alias("href"), tag.alias("tag"))
+    return out.where(F.col("kind").isNotNull() & ((F.col("kind") == "link") | (F.col("text") != "")))
 
 
 def landmarks(stream: DataFrame) -> DataFrame:

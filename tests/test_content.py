@@ -91,12 +91,44 @@ def test_market_status(spark):
 def test_claim_and_assets(spark):
     w = spark.createDataFrame([(1, 1, "Go", "/a"), (1, 2, "Go", "/b"), (1, 3, "Go", "/c"), (1, 4, "/z", None)], "page_id int, ord int, label string, href string")
     have = spark.createDataFrame([(1, 1, "go", "/a"), (1, 2, "Go", "/x"), (1, 3, "else", "/z")], "page_id int, ord int, text string, href string")
-    assert [(r.ord, r.href, r.state) for r in matching.claim(w, have).orderBy("ord").collect()] == [(1, "/a", "found"), (2, "/x", "wrong target"), (3, None, "missing"), (4, "/z", "found")]
+    assert [(r.ord, r.href, r.state) for r in matching.claim(w, have, fold_case=True).orderBy("ord").collect()] == [(1, "/a", "found"), (2, "/x", "wrong target"), (3, None, "missing"), (4, "/z", "found")]
+    assert [(r.ord, r.href, r.state) for r in matching.claim(w, have).orderBy("ord").collect()] == [(1, "/x", "wrong target"), (2, None, "missing"), (3, None, "missing"), (4, "/z", "found")]
     i = spark.createDataFrame([(1, "/dam/My-Pic_01.jpg")], "page_id int, src string")
     a = spark.createDataFrame([(1, "my pic 01"), (1, "other")], "page_id int, asset string")
     assert {r.want: r.src for r in matching.assets(a, i).collect()} == {"my pic 01": "/dam/My-Pic_01.jpg", "other": None}
 
 
+def test_claims_compete_in_order(spark):
+    """Against a walk in plain Python, on pages whose labels and addresses take from the same links."""
+    import random
+
+    rng = random.Random(3)
+    labels, paths = ["Lifts", "lifts", "Doors", "", "Read &amp; go"], ["/a", "/a/", "/b", "/c.html", "https://x.test/c", None]
+    wants, links = [], []
+    for page in range(60):
+        for k in range(rng.randint(0, 7)):
+            href = rng.choice(paths)
+            wants.append((page, k, rng.choice([*labels, href or "/b", href or "/c"]), href))
+        links += [(page, k, rng.choice(labels), rng.choice(paths), rng.random() < 0.2) for k in range(rng.randint(0, 6))]
+    path = lambda u: "/" + (u or "").replace("https://x.test", "").replace(".html", "").strip("/")
+    norm = lambda t: t.replace("&amp;", "&").strip()
+    expected = []
+    for page in range(60):
+        taken, mine = set(), [x for x in links if x[0] == page]
+        for _, k, label, href in (x for x in wants if x[0] == page):
+            bare = norm(label) == norm(href) if href is not None else label.startswith(("/", "http"))
+            hit = next((x for x in mine if not x[4] and x[1] not in taken and (path(x[3]) == path(href or label) if bare else norm(x[2]) == norm(label) != "")), None)
+            if hit:
+                taken.add(hit[1])
+            state = ("placeholder" if any(x[4] and norm(x[2]) == norm(label) for x in mine) else "missing") if not hit else "wrong target" if href and not bare and path(hit[3]) != path(href) else "found"
+            expected.append((page, k, label, hit and hit[1], hit and hit[3], state))
+    w = spark.createDataFrame(wants, "page_id long, ord int, label string, href string")
+    have = spark.createDataFrame(links, "page_id long, ord int, text string, href string, placeholder boolean")
+    got = sorted(map(tuple, matching.claim(w, have).collect()), key=lambda r: r[:2])
+    assert got == expected and {r[-1] for r in got} == {"found", "missing", "placeholder", "wrong target"}
+    assert matching.claim(w.limit(0), have).count() == 0 and {r.state for r in matching.claim(w, have.limit(0)).collect()} == {"missing"}
+
+
 def test_pick(spark):
     p = spark.createDataFrame([(1, "https://a.com/x"), (2, "https://a.com/y"), (3, "https://a.com/z")], "page_id int, url string")
     b = spark.createDataFrame([(1, "a.com/x"), (2, None), (3, None)], "brief_id int, url string")

@@ -87,13 +87,28 @@ def test_link_rules(spark):
 
 
 def test_link_audit(spark):
-    site = [("https://a.com/en/lifts", ""), ("https://a.com/en/doors", ""), ("https://a.com/en/page", '<a href="/en/lifts">Our lifts</a><a href="/en/lifts">Our lifts</a><a href="/lifts">Lifts</a><a href="#">Go</a><a href="/en/gone">Gone</a><a href="/en/doors">Stairs</a><a href="javascript:x()">Run</a><a href="https://b.com">B</a><a href="/en">Home</a>')]
+    body = (
+        '<h2>Home lifts and doors</h2><p>About <a href="/en/lifts">Our lifts</a><a href="/en/lifts">Our lifts</a><a href="/lifts">Lifts</a><a href="#">Go</a><a href="/en/gone">Gone</a><a href="/en/doors">Stairs</a><a href="javascript:x()">Run</a>'
+        '<a href="/en">Home</a><a href="https://b.com/x">Out</a><a href="#top">Up</a><a href="/en/lifts">Home lifts</a><a href="/en/page#a">This page</a><a href="~/x">Edit</a><a href="mailto:a@b.c">Mail</a><a href="/en/doors">Home lifts</a>'
+        '<a href="/en/lifts/home-lifts">Read more</a><a href="/en/doors">Learn more</a><a href="/en/stairs">Learn more</a><a href="/en/missing">Click here</a><a href="#">Discover</a><div class="cta">Home lifts now</div><a href="/en/doors">Ruled text</a></p>'
+    )
+    urls = ["lifts", "doors", "stairs", "lifts/home-lifts", *[f"filler/{k}" for k in range(3)]]
+    site = [*((f"https://a.com/en/{u}", "") for u in urls), ("https://a.com/en/page", body), ("https://c.com/", '<a href="/en/x">Some words</a>')]
     p = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(site)], "page_id long, url string, html string")
     prefix = matching.language_prefix(p)
     assert [tuple(r) for r in prefix.collect()] == [("a.com", "en")]
-    entries = matching.sitemap(p).withColumn("host", U.host_of(F.col("url")))
-    got = {r.href: (r.verdict, r.n) for r in link_rules.audit(p, entries, prefix).collect()}
-    assert got == {"/en/lifts": ("green", 2), "/lifts": ("red", 1), "#": ("red", 1), "/en/gone": ("amber", 1), "/en/doors": ("amber", 1), "javascript:x()": ("red", 1), "/en": ("green", 1)}
+    got = {(r.text, r.href): r for r in link_rules.audit(p, matching.sitemap(p), prefix, [(None, "^ruled", "/en/doors", "green"), ("other.com", "stairs", "/en/doors", "red")]).collect()}
+    want = {
+        ("Our lifts", "/en/lifts"): ("green", "leads to the page its text names", []), ("Lifts", "/lifts"): ("red", "language segment missing", ["/en/lifts"]), ("Go", "#"): ("red", "no destination", ["/en/lifts/home-lifts", "/en/doors", "/en/lifts"]),
+        ("Gone", "/en/gone"): ("amber", "the sitemap does not list this path", []), ("Stairs", "/en/doors"): ("amber", "the text names another page better", ["/en/stairs"]), ("Run", "javascript:x()"): ("red", "runs a script", []),
+        ("Home lifts", "/en/lifts"): ("amber", "leads to a listing; a page below it is named", ["/en/lifts/home-lifts"]), ("This page", "/en/page#a"): None, ("Edit", "~/x"): ("red", "editor path", []),
+        ("Home lifts", "/en/doors"): ("amber", "the text names another page better", ["/en/lifts/home-lifts", "/en/lifts"]), ("Read more", "/en/lifts/home-lifts"): ("green", "what stands around it is about the page", []),
+        ("Learn more", "/en/doors"): ("green", "what stands around it is about the page", []), ("Learn more", "/en/stairs"): ("amber", "what stands around it is about another page", ["/en/lifts/home-lifts", "/en/doors", "/en/lifts"]),
+        ("Click here", "/en/missing"): ("amber", "the sitemap does not list this path", ["/en/lifts/home-lifts", "/en/doors", "/en/lifts"]), ("Discover", "#"): ("red", "no destination", ["/en/lifts/home-lifts", "/en/doors", "/en/lifts"]),
+        ("Home lifts now", None): ("red", "a call to action without a link", ["/en/lifts/home-lifts", "/en/lifts"]), ("Ruled text", "/en/doors"): ("green", "ruled", ["/en/doors"] and []), ("Some words", "/en/x"): ("amber", "the sitemap does not list this path", []),
+    }
+    assert {k: (r.verdict, r.reason, r.suggested) for k, r in got.items()} == {k: v for k, v in want.items() if v}
+    assert got["Our lifts", "/en/lifts"].n == 2 and got["Lifts", "/lifts"].confident and got["Click here", "/en/missing"].confident and not got["Gone", "/en/gone"].confident
 
 
 def test_list_rules(spark):
