@@ -117,15 +117,15 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_FIELDS = (("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
-_SCHEMA = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_FIELDS = (("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
+_SCHEMA = "n_chars bigint, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _compared(text: str, own: bytes, following: str, its: bytes) -> tuple:
     changed = edited(text, following)
     raw = changed.encode()
     new = own if changed == text else packed(raw)
-    return len(text), hashlib.sha256(raw).hexdigest(), own.hex(), new.hex(), likeness(own, new), likeness(own, its)
+    return len(text), hashlib.sha256(raw).digest(), own, new, likeness(own, new), likeness(own, its)
 
 
 def _chain(kind: pa.DataType):
@@ -183,4 +183,6 @@ def compare_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (arrow, *(k for _, k in _FIELDS)), strict=True)], names=["doc", *(n for n, _ in _FIELDS)])
 
     done = told.where("n_chars is not null").select("doc", *(n for n, _ in _FIELDS))
-    return done.union(edges.mapInArrow(close, f"doc {kind}, {_SCHEMA}")).withColumnRenamed("doc", id_col)
+    both = done.union(edges.mapInArrow(close, f"doc {kind}, {_SCHEMA}"))
+    digits = [F.lower(F.hex(n)).alias(n) if k == pa.binary() else F.col(n) for n, k in _FIELDS]
+    return both.select(F.col("doc").alias(id_col), *digits)
