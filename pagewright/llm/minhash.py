@@ -25,6 +25,10 @@ from pagewright.llm.common import written
 BINS, BITS, WORDS = 512, 4, 5
 _TOP = np.uint64(64 - BINS.bit_length() + 1)
 _ORDER: list[np.ndarray] = []
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Hashes of words that a task has seen, dropped when there are so many.
+_SEEN: dict[bytes, int] = {}
+SEEN = 200_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -34,24 +38,33 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _order() -> np.ndarray:
-    """Row b: the place of every bin in the order in which bin b looks for a value; the same everywhere."""
+    """Row b: all bins in the order in which bin b looks for a value; the same everywhere."""
     if not _ORDER:
-        h = _mixed(np.arange(1, BINS * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        _ORDER.append(h.reshape(BINS, BINS).argsort(axis=1).argsort(axis=1).astype(np.int16))
+        h = _mixed(np.arange(1, BINS * BINS + 1, dtype=np.uint64) * _ODD)
+        _ORDER.append(h.reshape(BINS, BINS).argsort(axis=1).astype(np.int16))
     return _ORDER[0]
 
 
+def _word(word: bytes) -> int:
+    if len(_SEEN) >= SEEN:
+        _SEEN.clear()
+    h = _SEEN[word] = xxhash.xxh64_intdigest(word)
+    return h
+
+
 def shingle_hashes(text: bytes, words: int = WORDS) -> np.ndarray:
-    """XXH64 of each shingle of words, A-Z lower-cased; a text of fewer words is one shingle, one without words none."""
+    """A hash of each shingle of words, A-Z lower-cased, from the XXH64 of its words; a text of fewer words is one shingle, one without words none."""
     parts = text.lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts])
+    seen = _SEEN.get
+    h = np.array([seen(p) or _word(p) for p in parts], np.uint64)
     n = max(1, len(parts) - words + 1)
-    stops = (ends[min(words, len(parts)) - 1 :] - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(joined[s:e]) for s, e in zip([0, *ends[: n - 1].tolist()], stops, strict=True)), np.uint64, n)
+    out = np.zeros(n, np.uint64)
+    for k in range(min(words, len(parts))):
+        out = (out + h[k : k + n]) * _ODD
+        out ^= out >> np.uint64(29)
+    return _mixed(out)
 
 
 def bins(hashes: np.ndarray) -> np.ndarray:
@@ -61,15 +74,19 @@ def bins(hashes: np.ndarray) -> np.ndarray:
     np.minimum.at(least, where, hashes)
     full = np.zeros(BINS, bool)
     full[where] = True
-    some, none = np.flatnonzero(full), np.flatnonzero(~full)
-    if some.size and none.size:
-        least[none] = least[some[_order()[none[:, None], some[None, :]].argmin(axis=1)]]
+    empty, at, width = np.flatnonzero(~full), 0, 16
+    while empty.size and hashes.size:
+        look = _order()[empty, at : at + width]
+        hit = full[look]
+        found = hit.any(axis=1)
+        least[empty[found]] = least[look[found, hit[found].argmax(axis=1)]]
+        empty, at, width = empty[~found], at + width, 4 * width
     return least
 
 
 def low_bits(values: np.ndarray) -> bytes:
     """The low BITS of every bin's value mixed with its number, packed."""
-    own = _mixed(values + np.arange(BINS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    own = _mixed(values + np.arange(BINS, dtype=np.uint64) * _ODD)
     low = (own & np.uint64((1 << BITS) - 1)).astype(np.uint8)
     return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - BITS :]).tobytes()
 
