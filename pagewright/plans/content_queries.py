@@ -53,14 +53,6 @@ def page_head_findings(spark, sf_dir):
     return head_rules.union(parts).groupBy("severity", "field", "note").agg(F.count("*").alias("n"))
 
 
-def page_link_audit(spark, sf_dir):
-    """Own links by verdict and reason against the sitemap of all pages."""
-    p = table(spark, sf_dir, "pages")
-    hosts = p.select(U.host_of(F.col("url")).alias("host"), F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("path"), "url")
-    entries = hosts.groupBy("host", "path").agg(F.min("url").alias("url")).withColumn("words", matching.tokens(F.replace("path", F.lit("/"), F.lit(" "))))
-    return link_rules.audit(p, entries, matching.language_prefix(p)).groupBy("verdict", "reason").agg(F.count("*").alias("rows"), F.sum("n").alias("links"))
-
-
 def page_forms(spark, sf_dir):
     """Forms by how they are embedded."""
     return forms.forms(table(spark, sf_dir, "pages")).groupBy("embed").agg(F.count("*").alias("n"))
@@ -108,7 +100,7 @@ def event_average_runs(spark, sf_dir):
     return crawl.average_runs(runs)
 
 
-QUERIES = {f.__name__: f for f in (page_resources, page_link_targets, page_language_prefix, page_market_status, page_list_items, page_list_findings, page_head_findings, page_link_audit, page_forms, page_briefs, page_components, doc_folded, doc_signals, doc_needs, turn_contexts, event_average_runs)}
+QUERIES = {f.__name__: f for f in (page_resources, page_link_targets, page_language_prefix, page_market_status, page_list_items, page_list_findings, page_head_findings, page_forms, page_briefs, page_components, doc_folded, doc_signals, doc_needs, turn_contexts, event_average_runs)}
 _REG = ", ".join(f"('{m}', '{m.split('-')[0]}', '{d}', '{p}')" for m, d, p in MARKETS)
 _LIST = lambda want: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(text, ''), '(?i){p}') = {want} THEN '{n}' END" for n, _, p in NEEDS) + "], lambda x: x IS NOT NULL), ',')"
 _BARE = "regexp_replace(regexp_replace(host, '[:?#].*$', ''), '^preview(-[a-z0-9]+)?\\.', '')"
