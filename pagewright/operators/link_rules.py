@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.operators import markup, matching, model
 from pagewright.operators.head_rules import facts
@@ -99,23 +100,44 @@ def _judged(verdict: str, reason: str, suggested=None, sure=None):
 
 def _by_text(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """(host, key, paths, best, score, sure): suggestions for each different bag of words of a host's links; a text that all pages carry is looked up once."""
-    texts = rows.where("size(tt) > 0").groupBy("host", "key").agg(F.min("text").alias("text")).withColumn("text_id", F.struct("host", "key")).withColumn("exclude", F.lit(None).cast("string"))
-    found = matching.suggest(texts.select("text_id", "host", "text", "exclude"), entries)
-    paths = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("paths"))
-    top = matching.confident(found).withColumnRenamed("path", "best").withColumnRenamed("confident", "sure")
-    return paths.join(top, "text_id").select("text_id.host", "text_id.key", "paths", "best", "score", "sure")
+    texts = rows.where("size(tt) > 0").groupBy("host", "key").agg(F.min("text").alias("text")).select(F.struct("host", "key").alias("text_id"), "host", "text", F.lit(None).cast("string").alias("exclude"))
+    found = matching.suggest(texts, entries)
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "score"))), lambda x: F.struct(x["path"].alias("path"), x["score"].alias("score")))
+    rows = found.groupBy("text_id").agg(paths.alias("all"))
+    top, second = F.get("all", F.lit(0)), F.get("all", F.lit(1))
+    sure = (top["score"] >= 0.5) & (second.isNull() | (top["score"] - second["score"] >= 0.1) | second["path"].startswith(F.concat(top["path"], F.lit("/"))))
+    return rows.select("text_id.host", "text_id.key", F.transform("all", lambda x: x["path"]).alias("paths"), top["path"].alias("best"), top["score"].alias("score"), F.coalesce(sure, F.lit(False)).alias("sure"))
 
 
-def _by_context(rows: DataFrame, stream: DataFrame, entries: DataFrame) -> DataFrame:
-    """(page_id, at, title, near, named): the title above each link without words of its own, the words around it, and pages that the title names (path, words)."""
-    links = rows.where("size(tt) = 0").select("page_id", "at", "text")
-    around = stream.where("kind <> 'link'").select("page_id", "at", "kind", "text").unionByName(links.withColumn("kind", F.lit("link")))
-    placed = matching.contexts(around.withColumnRenamed("at", "ord")).withColumnRenamed("ord", "at").drop("text").join(rows.select("page_id", "at", "host"), ["page_id", "at"])
-    titles = placed.where("title is not null").select("host", "title").distinct().withColumn("text_id", F.struct("host", "title"))
-    found = matching.context_suggest(titles.select("text_id", "host", F.col("title").alias("text")), entries, 4)
-    named = found.groupBy("text_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "words"))), lambda x: F.struct(x["path"].alias("path"), x["words"].alias("words"))).alias("named")).select("text_id.host", "text_id.title", "named")
-    words = F.array_union(matching.tokens(F.coalesce("title", F.lit(""))), matching.tokens(F.coalesce("body", F.lit(""))))
-    return placed.join(named, ["host", "title"], "left").select("page_id", "at", "title", words.alias("near"), "named")
+def _by_title(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(host, title, named): pages (path, words) that each different title above a link without words names in full."""
+    titles = rows.where("title is not null").select("host", "title").distinct().select(F.struct("host", "title").alias("text_id"), "host", F.col("title").alias("text"))
+    found = matching.context_suggest(titles, entries, 4)
+    named = F.transform(F.array_sort(F.collect_list(F.struct("rank", "path", "words"))), lambda x: F.struct(x["path"].alias("path"), x["words"].alias("words")))
+    return found.groupBy("text_id").agg(named.alias("named")).select("text_id.host", "text_id.title", "named")
+
+
+def own_links(pages: DataFrame, most: int = 4, untitled: int = 2) -> DataFrame:
+    """(page_id, host, own, at, tag, href, text, tt, title, near): links of each page with the words ``tt`` of their text.
+
+    Links without words get the title above them and the words ``near`` them: of that title and the last ``most`` paragraphs in between, ``untitled`` where there is no title, their own text left out.
+    A page is one row until its links part, so nothing is shuffled.
+    """
+    of = lambda cond: F.filter("b", cond)
+    shown = lambda x: F.when(x["kind"] == "fold", F.regexp_extract(x["raw"], r"(?is)<summary\b[^>]*>(.*?)</summary>", 1)).otherwise(x["raw"])
+    texts = lambda xs: F.filter(F.transform(xs, lambda x: F.struct(x["at"].alias("at"), T.strip_tags(shown(x)).alias("text"))), lambda x: x["text"] != "")
+    rows = pages.select("page_id", U.host_of(F.col("url")).alias("host"), F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("own"), model.blocks("html").alias("b")).select(
+        "page_id", "host", "own", texts(of(lambda x: ((x["kind"] == "heading") & (x["level"] <= 3)) | (x["kind"] == "fold"))).alias("titles"), texts(of(lambda x: x["kind"] == "copy")).alias("copy"),
+        F.transform(of(lambda x: x["kind"] == "link"), lambda x: F.struct(x["at"].alias("at"), F.regexp_extract(x["raw"], r"(?s)^(<[^>]*>)", 1).alias("tag"), T.strip_tags(x["raw"]).alias("text"))).alias("links"),
+    )
+    one = rows.select("page_id", "host", "own", "titles", "copy", F.explode_outer("links").alias("l")).where("l is not null").select("page_id", "host", "own", "l.*", matching.tokens(F.col("l.text")).alias("tt"), "titles", "copy")
+    title = F.when(F.size("tt") == 0, F.try_element_at(F.filter("titles", lambda t: t["at"] < F.col("at")), F.lit(-1)))
+    one = one.withColumn("over", title)
+    between = F.filter("copy", lambda p: (p["at"] < F.col("at")) & (F.col("over").isNull() | (p["at"] > F.col("over.at"))) & (p["text"] != F.col("text")))
+    one = one.withColumn("between", F.when(F.size("tt") == 0, between)).withColumn("keep", F.when(F.col("over").isNull(), untitled).otherwise(most))
+    body = F.transform(F.slice("between", F.greatest(F.size("between") - F.col("keep") + 1, F.lit(1)), F.col("keep")), lambda p: p["text"])
+    near = F.when(F.size("tt") == 0, F.array_union(matching.tokens(F.coalesce("over.text", F.lit(""))), matching.tokens(F.coalesce(F.array_join(body, " "), F.lit("")))))
+    return one.select("page_id", "host", "own", "at", "tag", F.trim(F.coalesce(T.attr(F.col("tag"), "href"), F.lit(""))).alias("href"), "text", "tt", F.col("over.text").alias("title"), near.alias("near"))
 
 
 def audit(pages: DataFrame, entries: DataFrame, prefixes: DataFrame, rulings: list[tuple[str | None, str, str, str]] = (), cta: str = "actions|cta|ctalink") -> DataFrame:
@@ -126,24 +148,31 @@ def audit(pages: DataFrame, entries: DataFrame, prefixes: DataFrame, rulings: li
     better, or not the one they lead to. Green: the page itself, and the page the text names. A text of no words of its own is judged by the title and paragraphs around it, and left out if they say nothing.
     Links to other sites, within the page and home are not judged. Rows of one kind, text and address are one, as the first of them was judged.
     """
+    return judge(own_links(pages), bare_ctas(pages, cta), entries, prefixes, rulings)
+
+
+def bare_ctas(pages: DataFrame, marked: str = "actions|cta|ctalink") -> DataFrame:
+    """(page_id, host, own, at, text, tt): calls to action written as bare text, before all links by their place."""
     own = pages.select("page_id", U.host_of(F.col("url")).alias("host"), F.regexp_replace(U.path_of(F.col("url")), r"\?.*$", "").alias("own"))
-    stream = model.link_stream(pages)
-    bare = markup.dead_ctas(pages, cta).select("page_id", (F.lit(-1) - F.col("ord")).alias("at"), "text", F.lit(None).cast("string").alias("href"), F.lit("dead-cta").alias("kind"))
-    links = stream.where("kind = 'link'").withColumn("href", F.trim(F.coalesce("href", F.lit(""))))
+    rows = markup.dead_ctas(pages, marked).select("page_id", (F.lit(-1) - F.col("ord")).alias("at"), "text").join(own, "page_id")
+    return rows.select("page_id", "host", "own", "at", "text", matching.tokens(F.col("text")).alias("tt"))
+
+
+def judge(links: DataFrame, ctas: DataFrame, entries: DataFrame, prefixes: DataFrame, rulings: list[tuple[str | None, str, str, str]] = ()) -> DataFrame:
+    """``audit`` of ``own_links`` and ``bare_ctas``; these are read three times, so write them to a table first where pages are many."""
     empty, script = F.col("href").isin("", "#"), F.col("href").rlike("(?i)^(javascript:|~/)")
     safe = F.col("tag").rlike(markup.SAFE_ATTRIBUTES) | F.lower("text").rlike(markup.SAFE_LABELS)
-    links = links.where(~(empty & safe) & (empty | ~F.col("href").startswith("#")) & ~F.col("href").rlike("(?i)^(mailto|tel):"))
-    rows = links.select("page_id", "at", "text", "href", F.when(empty | script, "placeholder").otherwise("link").alias("kind")).unionByName(bare).join(own, "page_id")
+    rows = links.where(~(empty & safe) & (empty | ~F.col("href").startswith("#")) & ~F.col("href").rlike("(?i)^(mailto|tel):")).withColumn("kind", F.when(empty | script, "placeholder").otherwise("link")).drop("tag")
+    rows = rows.unionByName(ctas.withColumn("kind", F.lit("dead-cta")), allowMissingColumns=True)
     there = F.when(F.col("href").rlike(r"^(?i:https?:)?//"), U.host_of(F.regexp_replace("href", "^//", ""))).otherwise(F.col("host"))
-    rows = rows.where((F.col("kind") != "link") | (there == F.col("host"))).withColumn("target", F.when(F.col("kind") == "link", F.regexp_replace(U.path_of(F.col("href")), r"\?.*$", "")))
-    rows = rows.withColumn("tt", matching.tokens(F.col("text"))).withColumn("key", F.array_join(F.array_sort("tt"), " "))
+    rows = rows.where((F.col("kind") != "link") | (there == F.col("host"))).withColumn("target", F.when(F.col("kind") == "link", F.regexp_replace(U.path_of(F.col("href")), r"\?.*$", ""))).withColumn("key", F.array_join(F.array_sort("tt"), " "))
     rows = rows.join(prefixes.select("host", "prefix"), "host", "left")
     lacks = F.coalesce(F.col("prefix") != "", F.lit(False)) & (F.coalesce(F.try_element_at(F.split("target", "/"), F.lit(2)), F.lit("")) != F.col("prefix"))
     rows = rows.withColumn("fixed", F.when(lacks, F.concat(F.lit("/"), "prefix", F.when(F.col("target") == "/", "").otherwise(F.col("target")))))
     sites = entries.select("host").distinct().withColumn("site", F.lit(True))
     known = entries.select("host", F.col("path").alias("target"), F.col("last"), F.col("words").alias("all"), F.lit(True).alias("known"))
     rows = rows.join(known, ["host", "target"], "left").join(entries.select("host", F.col("path").alias("fixed"), F.lit(True).alias("fixed_known")), ["host", "fixed"], "left").join(sites, "host", "left")
-    rows = rows.join(_by_text(rows, entries), ["host", "key"], "left").join(_by_context(rows, stream, entries), ["page_id", "at"], "left")
+    rows = rows.join(_by_text(rows, entries), ["host", "key"], "left").join(_by_title(rows, entries), ["host", "title"], "left")
 
     is_self = F.col("target") == F.col("own")
     home = (F.col("target") == "/") | F.coalesce(F.col("target") == F.concat(F.lit("/"), "prefix"), F.lit(False))

@@ -29,10 +29,11 @@ BULK_SECTION = 40
 
 def tokens(col, brand: tuple[str, ...] = ()):
     """Distinct stemmed words of a text, without accents, that could name a page."""
-    stop = (*STOP_WORDS, *brand)
-    words = F.filter(F.split(F.regexp_replace(T.fold(col), "[™®©]", " "), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*stop))
+    # one literal that folds to a list, not a node for each word in every expression that asks for tokens
+    stop = F.split(F.lit(" ".join((*STOP_WORDS, *brand))), " ")
+    words = F.filter(F.split(F.regexp_replace(T.fold(col), "[™®©]", " "), "[^a-z0-9]+"), lambda w: (w != "") & ~F.array_contains(stop, w))
     stem = lambda w: F.when(w.rlike("^[0-9]+$") | (F.length(w) <= 3), w).when(w.rlike("ies$") & (F.length(w) > 5), F.regexp_replace(w, "ies$", "y")).when(w.rlike("(ss|us|is)$"), w).otherwise(F.regexp_replace(w, "s$", ""))
-    return F.array_distinct(F.filter(F.transform(words, stem), lambda w: ~w.isin(*stop)))
+    return F.array_distinct(F.filter(F.transform(words, stem), lambda w: ~F.array_contains(stop, w)))
 
 
 def sitemap(pages: DataFrame) -> DataFrame:

@@ -179,16 +179,6 @@ def page_stream(pages: DataFrame) -> DataFrame:
     return out.where((F.col("kind") != "link") & (F.col("text") != "") & ((F.col("kind") != "loose") | (F.length("text") <= LOOSE)))
 
 
-def link_stream(pages: DataFrame) -> DataFrame:
-    """(page_id, at, kind, text, href, tag): titles, paragraphs and links of each page in order; titles are headings down to the third level and folds."""
-    rows = pages.select("page_id", F.explode_outer(blocks("html")).alias("b")).where("b is not null").select("page_id", "b.*")
-    kind = F.when(((F.col("kind") == "heading") & (F.col("level") <= 3)) | (F.col("kind") == "fold"), "title").when(F.col("kind") == "copy", "paragraph").when(F.col("kind") == "link", "link")
-    tag = F.when(F.col("kind") == "link", F.regexp_extract("raw", r"(?s)^(<[^>]*>)", 1))
-    shown = F.when(F.col("kind") == "fold", F.regexp_extract("raw", r"(?is)<summary\b[^>]*>(.*?)</summary>", 1)).otherwise(F.col("raw"))
-    out = rows.select("page_id", "at", kind.alias("kind"), T.strip_tags(shown).alias("text"), T.attr(tag, "href").alias("href"), tag.alias("tag"))
-    return out.where(F.col("kind").isNotNull() & ((F.col("kind") == "link") | (F.col("text") != "")))
-
-
 def landmarks(stream: DataFrame) -> DataFrame:
     """(page_id, at, kind, text, landmark, nth): every block but headings with the heading last above it, null before the first, and its number below that."""
     w = W.partitionBy("page_id").orderBy("at")
