@@ -163,9 +163,15 @@ def keywords_of(text: Column, stop: tuple[str, ...]) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """Share of words of over two characters of ``a`` that ``b`` has too, by the longer of both; repeats in ``a`` count."""
     words = lambda c: F.filter(F.split(F.lower(normalise(c)), "[^a-z0-9À-ɏ]+"), lambda w: F.length(w) > 2)
-    x, y = words(a), words(b)
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.filter(x, lambda w: F.array_contains(y, w))) / most).otherwise(F.lit(0.0))
+
+    def share(s: Column) -> Column:
+        # words in both by hashing; only where ``a`` repeats words is it walked again, over those
+        both, most = F.array_intersect(s["x"], s["y"]), F.greatest(F.size(s["x"]), F.size(s["y"]))
+        found = F.when(F.size(F.array_distinct(s["x"])) == F.size(s["x"]), F.size(both)).otherwise(F.get(F.transform(F.array(both), lambda y: F.size(F.filter(s["x"], lambda w: F.array_contains(y, w)))), 0))
+        return F.when((F.size(s["x"]) > 0) & (F.size(s["y"]) > 0), found / most).otherwise(F.lit(0.0))
+
+    # both lists are bound as variables, so each is made once
+    return F.get(F.transform(F.array(F.struct(words(a).alias("x"), words(b).alias("y"))), share), 0)
 
 
 def match_case(found: Column, fix: Column) -> Column:
@@ -187,7 +193,10 @@ def quoted_spans(text: Column) -> Column:
 
 def open_items(text: Column) -> Column:
     """Markers of unfinished copy with up to 40 characters on each side."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?i)(.{0,40}\b(?:TBD|TBC|to be (?:decided|confirmed|defined))\b.{0,40})"), F.lit(1)), lambda x: F.trim(x))
+    mark = r"\b(?:TBD|TBC|to be (?:decided|confirmed|defined))\b"
+    # the surroundings are tried at every character, so only texts with a marker are
+    found = F.when(text.rlike(rf"(?i){mark}"), F.regexp_extract_all(text, F.lit(rf"(?i)(.{{0,40}}{mark}.{{0,40}})"), F.lit(1))).when(text.isNotNull(), F.array().cast("array<string>"))
+    return F.transform(found, lambda x: F.trim(x))
 
 
 def paste_damage(text: Column) -> Column:

@@ -66,12 +66,35 @@ def paragraph_lists(paragraphs: DataFrame) -> DataFrame:
     return rows.withColumn("items", size).where((~F.col("item")) & F.col("text").rlike(":$") & (F.col("items") >= LEAST_ITEMS)).select("page_id", "ord", "text", "items")
 
 
+def name_findings(words: DataFrame, names: list[str]) -> DataFrame:
+    """Names written wrong or in the wrong case, from (page_id, ord, word): the words of a page as written, in order.
+
+    A name of several words meets as many neighbouring words, by their number and first letter. It is written wrong by one edit, or two from
+    eight letters on, with its first letter and about its length; what has a plural on the page is left alone. Right but for its case, it is told
+    if the name has a capital after its first letter and isn't all in lower case. Each form is told once for a page. Names are configuration and become a table of their own few rows.
+    """
+    spark = words.sparkSession
+    known = spark.createDataFrame([(" ".join(n.split()), n.lower(), len(n.split())) for n in names if n.strip()] or [("", "", 0)], "name string, ln string, size int").withColumn("initial", F.substring("ln", 1, 1))
+    sizes = sorted({len(n.split()) for n in names if n.strip()})
+    w = W.partitionBy("page_id").orderBy("ord")
+    ahead = lambda k: F.when(F.lead("word", k - 1).over(w).isNotNull(), F.struct(F.lit(k).alias("size"), F.concat_ws(" ", *[F.lead("word", j).over(w) for j in range(k)]).alias("text")))
+    runs = words.select("page_id", F.array(*[ahead(k) for k in sizes] or [F.lit(None).cast("struct<size:int,text:string>")]).alias("x"))
+    runs = runs.select("page_id", F.explode(F.array_compact("x")).alias("x")).select("page_id", "x.size", "x.text").distinct().withColumn("low", F.lower("text")).withColumn("initial", F.substring("low", 1, 1))
+    met = runs.join(known, ["size", "initial"]).where((F.length("text") >= 5) & (F.abs(F.length("low") - F.length("ln")) <= 1) & (F.col("text") != F.col("name")))
+    case = met.where((F.col("low") == F.col("ln")) & F.expr("substr(name, 2)").rlike("[A-Z]") & (F.col("text") != F.col("low")))
+    edits = F.when(F.length("ln") >= 8, 2).otherwise(1)
+    close = met.where((F.col("low") != F.col("ln")) & F.levenshtein("low", "ln", 4).between(0, 2 * edits)).join(known.select(F.col("ln").alias("low")), "low", "left_anti")
+    plural = runs.where(F.col("low").endswith("s")).select("page_id", F.regexp_replace("low", "s$", "").alias("low")).distinct()
+    close = close.where(distance("low", "ln") <= edits).join(plural, ["page_id", "low"], "left_anti")
+    told = F.concat_ws(" -> ", "text", "name")
+    return union([finding(case, "spelling", "check", "Product name", told, "the name is written in another case"), finding(close, "spelling", "break", "Product name", told, "not how the name is spelt")])
+
+
 def spelling_findings(counts: DataFrame, misspelt: dict[str, str], brands: list[str], us_uk: list[tuple[str, str]]) -> DataFrame:
     """Listed misspellings, brand names written wrong, both spellings on one page, from (page_id, word, n) of word counts.
 
-    The lists are configuration and become expressions or tables of their own few rows. A brand is written
-    wrong by one edit, or two from eight letters on, with its first letter and about its length; a word whose plural
-    the page has too is left alone.
+    The lists are configuration and become expressions or tables of their own few rows. Brands of one word are looked for
+    as in ``name_findings``, which also takes names of several words and tells wrong case.
     """
     spark = counts.sparkSession
     wrong = spark.createDataFrame(list(misspelt.items()) or [("", "")], "word string, fix string")

@@ -35,10 +35,10 @@ def paragraphs(pages: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """(page_id, ord, tag, href, text) of every a; href is null where the tag has none."""
+    """(page_id, ord, tag, href, text, alt) of every a; href is null where the tag has none, alt is that of the first image inside."""
     found = F.regexp_extract_all("html", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
     rows = pages.select("page_id", F.posexplode(found).alias("ord", "raw")).withColumn("tag", F.regexp_extract("raw", r"(?s)^(<a\b[^>]*>)", 1))
-    return rows.select("page_id", "ord", "tag", T.attr(F.col("tag"), "href").alias("href"), T.strip_tags(F.col("raw")).alias("text"))
+    return rows.select("page_id", "ord", "tag", T.attr(F.col("tag"), "href").alias("href"), T.strip_tags(F.col("raw")).alias("text"), T.attr(F.regexp_extract("raw", r"(?is)(<img\b[^>]*>)", 1), "alt").alias("alt"))
 
 
 def links(pages: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ def word_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.select(id_col, F.explode(words).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
 
 
+def words_in_order(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ord, word) of the words of letters of each text as written."""
+    return texts.select(id_col, F.posexplode(F.regexp_extract_all(text_col, F.lit(r"([\p{L}]+)"), F.lit(1))).alias("ord", "word"))
+
+
 def osa(a: str, b: str) -> int:
     """Edits, with swaps of neighbours as one and no part edited twice."""
     rows = [list(range(len(b) + 1))]

@@ -60,10 +60,10 @@ def heading_findings(pages: DataFrame) -> DataFrame:
 
 
 def link_findings(pages: DataFrame, generic: tuple[str, ...] = GENERIC_LINK_TEXT) -> DataFrame:
-    """Placeholders; links without a name; generic link texts, each once for a text and target."""
+    """Placeholders; links without a name in text, label, title or image; generic link texts, each once for a text and target."""
     rows = markup.anchors(pages).where(F.col("href").isNotNull() & ~F.trim("href").isin("", "#"))
     rows = rows.withColumn("name", F.trim(F.regexp_replace("text", r"[\s→›»>.…]+$", "")))
-    label = F.coalesce(T.attr(F.col("tag"), "aria-label"), T.attr(F.col("tag"), "title"), F.lit(""))
+    label = F.concat(*[F.coalesce(c, F.lit("")) for c in (T.attr(F.col("tag"), "aria-label"), T.attr(F.col("tag"), "title"), F.col("alt"))])
     vague = rows.withColumn("key", F.lower("name")).where(F.col("key").isin(*generic)).groupBy("page_id", "key", "href").agg(F.min(F.struct("ord", "name")).alias("x"))
     return union([
         finding(markup.links(pages).where("placeholder"), "links", "break", "Link", F.col("text"), "placeholder link"),

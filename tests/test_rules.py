@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
-from pagewright.operators import forms, head_rules, link_rules, list_rules, markup, matching
+from pagewright.operators import forms, head_rules, link_rules, list_rules, markup, matching, proofing, rules
 from tests.test_operators import pages, values
 
 
@@ -125,6 +125,24 @@ def test_list_rules(spark):
     assert [f for f, _ in notes(got, 0)] == ["Misspelling", "Mixed spelling", "Product name"] and notes(got, 1) == []
 
 
+def test_names_of_several_words_and_case(spark):
+    texts = ["Ride a Monospace or monospace, a monospce and Mono Spaec; mono space", "MonoSpace Mono Space myBrand", "Mybrand mybrand MYBRAND mybrands Doorss", "Doors Door Mono", "", None]
+    t = spark.createDataFrame(list(enumerate(texts)), "page_id long, text string")
+    found = list_rules.name_findings(proofing.words_in_order(t, "page_id", "text"), ["MonoSpace", "Mono Space", "myBrand", "Doors"]).collect()
+    got = {(r.page_id, r.severity, r.found) for r in found}
+    assert len(got) == len(found)
+    assert got == {
+        (0, "check", "Monospace -> MonoSpace"), (0, "break", "monospce -> MonoSpace"), (0, "break", "Mono Spaec -> Mono Space"),
+        (2, "check", "Mybrand -> myBrand"), (2, "check", "MYBRAND -> myBrand"), (2, "break", "mybrands -> myBrand"), (2, "break", "Doorss -> Doors"),
+    }
+    assert list_rules.name_findings(proofing.words_in_order(t, "page_id", "text"), []).count() == 0
+
+
+def test_link_named_by_its_image(spark):
+    found = rules.link_findings(pages(spark, '<a href="/x"><img src="l.png" alt="Logo"></a><a href="/y"><img src="l.png"></a><a href="/z" title="Named"></a>')).collect()
+    assert [(r.field, r.found) for r in found] == [("Link text", "/y")]
+
+
 def test_forms(spark):
     hosted = '<div class="wForm" id="752-WRPR"></div><form action="https://x.tfaforms.net/go" id="752" method="post"><label for="n">Name</label><input id="n" name="n"><input name="m"><label>Wrap <input name="w"></label><input type="hidden" name="tfa_dbFormId" value="753"><legend></legend></form>'
     site = '<form data-nc="Form" method="post" action="/content/experience-fragments/frontlines/us/en/forms/contact/_jcr_content/x.formsubmit.json"><input type="hidden" name="leadCountry" value="US"></form>'
