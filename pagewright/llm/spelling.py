@@ -25,7 +25,9 @@ LEAST_LENGTH, LEAST_N, TIMES = 7, 2, 10
 #: Halves that one automaton holds on average.
 SHARD = 100_000
 #: A half of more words than this is dealt on by the rest of its words, less one code point each.
-HOT = 512
+HOT = 10_000
+#: A half of more words than this keeps them by their rests, if those have no more code points than SHORT; else a scanned word meets all of them.
+FEW, SHORT = 8, 64
 #: Hot halves are broadcast up to this number; beyond it they are joined by a shuffle.
 BROADCAST_HALVES = 100_000
 
@@ -65,8 +67,16 @@ def shared_rest(a: str, b: str) -> str:
     return a[:i] + a[i + 1 :]
 
 
+def rests(text: str) -> set[str]:
+    """A string whole and less one code point each: strings one edit apart have one of these in common."""
+    return {text, *(text[:i] + text[i + 1 :] for i in range(len(text)))}
+
+
 def _scanned(batches):
-    """Near words (word, near, n) from rows (shard, scan, side, half, rest, word, n) sorted by shard, entries before scanned words."""
+    """Near words (word, near, n) from rows (shard, scan, side, half, rest, word, n) sorted by shard, entries before scanned words.
+
+    The words of a frequent half are kept by their rests, so a word meets those it may be near to and not all that share the half.
+    """
 
     def rows():
         for batch in batches:
@@ -80,49 +90,72 @@ def _scanned(batches):
             c.clear()
         return made
 
+    def near(word: str, own: str, kept: list | dict, left: int, only: str | None = None) -> None:
+        """Words of ``kept`` whose other part is one edit from ``own``; of a pair with both halves in place the left one is asked."""
+        if isinstance(kept, list):
+            asked = [(only, kept)]
+        else:
+            asked = [(rest, kept.get(rest, ())) for rest in (rests(own) if len(own) <= SHORT + 1 else ())]
+            asked.append((None, kept[None]))
+        for rest, found in asked:
+            for w, n in found:
+                b = w[left:] if left else w[: len(w) - len(word) + len(own)]
+                if one_edit(own, b) and (rest is None or rest == shared_rest(own, b)) and (left or not word.startswith(w[: len(w) // 2])):
+                    for c, v in zip(out, (word, w, n), strict=True):
+                        c.append(v)
+
     for _, shard in groupby(rows(), itemgetter(0)):
-        found: dict[tuple, list] = {}
+        sides: dict[str, dict[str, list | dict]] = {"l": {}, "r": {}}
+        dealt: dict[tuple[str, str, str], list] = {}
         halves, before = ahocorasick.Automaton(), None
         for _, scan, side, half, rest, word, n in shard:
             if not scan:
-                found.setdefault((side, half, rest), []).append((word, n))
                 halves.add_word(half, half)
+                (sides[side].setdefault(half, []) if rest is None else dealt.setdefault((side, half, rest), [])).append((word, n))
                 continue
             if halves.kind == ahocorasick.TRIE:
                 halves.make_automaton()
+                for s, kept in sides.items():
+                    kept.update({h: by_rest(s, h, words) for h, words in kept.items() if len(words) > FEW})
             # one pass for all halves of a word in this shard; for a hot half it passes with each rest
             if halves.kind != ahocorasick.AHOCORASICK or rest is None and word == before:
                 continue
-            before = word if rest is None else before
+            before, size = word if rest is None else before, len(word)
+            lefts, rights = sides["l"], sides["r"]
             for end, hit in halves.iter(word):
                 k = len(hit)
-                if rest is not None and hit != half:
+                # words whose left half has k code points have 2k or 2k + 1, those of such a right half 2k - 1 or 2k
+                starts, ends = end + 1 == k and 2 * k - 1 <= size <= 2 * k + 2, end + 1 == size and 2 * k - 2 <= size <= 2 * k + 1
+                if rest is not None:
+                    if hit == half and (starts if side == "l" else ends):
+                        near(word, word[k:] if side == "l" else word[:-k], dealt.get((side, half, rest), []), k * (side == "l"), rest)
                     continue
-                if end + 1 == k and side != "r":
-                    for w, m in found.get(("l", hit, rest), ()):
-                        a, b = word[k:], w[k:]
-                        if one_edit(a, b) and (rest is None or rest == shared_rest(a, b)):
-                            for c, v in zip(out, (word, w, m), strict=True):
-                                c.append(v)
-                if end + 1 == len(word) and side != "l":
-                    for w, m in found.get(("r", hit, rest), ()):
-                        # a pair with both halves in place belongs to the left one
-                        a, b = word[:-k], w[:-k]
-                        if one_edit(a, b) and not word.startswith(b) and (rest is None or rest == shared_rest(a, b)):
-                            for c, v in zip(out, (word, w, m), strict=True):
-                                c.append(v)
+                if starts and hit in lefts:
+                    near(word, word[k:], lefts[hit], k)
+                if ends and hit in rights:
+                    near(word, word[:-k], rights[hit], 0)
             if len(out[0]) > 10_000:
                 yield batch()
     if out[0]:
         yield batch()
 
 
+def by_rest(side: str, half: str, words: list) -> dict:
+    """The words of a half by the rests of their other part; those of a longer one than SHORT under None."""
+    kept: dict[str | None, list] = {None: []}
+    for word, n in words:
+        other = word[len(half) :] if side == "l" else word[: -len(half)]
+        for rest in rests(other) if len(other) <= SHORT else (None,):
+            kept.setdefault(rest, []).append((word, n))
+    return kept
+
+
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(word, near, n): every ordered pair of words of (word, n) one edit apart, once, with the near word's n.
 
     A shard is a hash of the half, so a word is scanned only in the shards that may hold a half it starts or ends with, four at most; no
     word meets all shards. A half of over HOT words is dealt on by what is left of its words: whole or less one code point, which words one
-    edit apart share. No half is capped.
+    edit apart share. No half is capped; one of over SHORT code points stays in its shard.
     """
     shards = max(1, math.ceil(2 * vocabulary.count() / SHARD))
     word, size = F.col("word"), F.length("word")
@@ -139,7 +172,7 @@ def near_words(vocabulary: DataFrame) -> DataFrame:
     fits = [(F.floor((size + d) / 2).cast("int"), (size + d - F.floor((size + d) / 2)).cast("int")) for d in (-1, 0, 1)]
     seen = vocabulary.select("word", "n", F.explode(F.array_distinct(F.array(*[f(x) for a, b in fits for f, x in ((left, a), (right, b))]))).alias("at"))
     rows = own.withColumn("scan", F.lit(0)).union(seen.withColumn("scan", F.lit(1))).select("scan", "at.side", "at.half", "word", "n")
-    hot = written(own.groupBy("at.side", "at.half").agg(F.count("*").alias("words")).where(F.col("words") > HOT).select("side", "half", F.lit(True).alias("hot")))
+    hot = written(own.groupBy("at.side", "at.half").agg(F.count("*").alias("words")).where((F.col("words") > HOT) & (F.length("half") <= SHORT)).select("side", "half", F.lit(True).alias("hot")))
     marked = rows.join(F.broadcast(hot) if hot.count() <= BROADCAST_HALVES else hot, ["side", "half"], "left")
     left_over = F.when(F.col("side") == "l", word.substr(F.length("half") + 1, size)).otherwise(word.substr(F.lit(1), size - F.length("half")))
     less = F.transform(F.sequence(F.lit(1), F.length("left_over")), lambda i: F.concat(F.col("left_over").substr(F.lit(1), i - 1), F.col("left_over").substr(i + 1, F.length("left_over"))))

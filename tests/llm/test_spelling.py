@@ -64,9 +64,10 @@ def rows():
     return [*out, *out[:3], (9004, "y" * 200_000 + " " + "y" * 200_000)]
 
 
-@pytest.mark.parametrize("shard, hot", [(100_000, 512), (50, 512), (50, 3), (100_000, 0)])
-def test_group(spark, monkeypatch, shard, hot):
+@pytest.mark.parametrize("shard, hot, few", [(100_000, 10_000, 8), (50, 10_000, 0), (50, 3, 1), (100_000, 0, 8)])
+def test_group(spark, monkeypatch, shard, hot, few):
     monkeypatch.setattr(spelling, "SHARD", shard)
+    monkeypatch.setattr(spelling, "FEW", few)
     monkeypatch.setattr(spelling, "HOT", hot)
     data = rows()
     got = {r.word: tuple(r)[1:] for r in spelling.group(table(spark, data)).collect()}
