@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.functions.text import INLINE_TAGS
-from pagewright.operators import link_rules, markup, matching, model, places
+from pagewright.operators import head_rules, link_rules, markup, matching, model, page_audit, places, rules
 from pagewright.plans.page_queries import _ENTRIES, _NAMED, _PATH, _tokens
 from pagewright.plans.place_queries import _CLEAN
 from pagewright.sources import table
@@ -114,7 +114,18 @@ def planted_link_audit(spark, sf_dir):
     return found.select("page_id", "kind", "text", "href", "verdict", "reason", F.array_join("suggested", ",").alias("suggested"), "confident", "n")
 
 
-QUERIES = {f.__name__: f for f in (doc_brief_components, doc_brief_models, page_sections, page_run_places, page_module_components, page_claims, page_link_audit, planted_link_audit)}
+def page_audit_findings(spark, sf_dir):
+    """What all page rules find in the given pages, from one record of each, by page, field and note."""
+    found = page_audit.audit(page_audit.record(table(spark, sf_dir, "pages")))
+    return found.groupBy("page_id", "category", "severity", "field", "note").agg(F.count("*").alias("n"))
+
+
+def page_audit_tally(spark, sf_dir):
+    """Breaks and checks of each page by all page rules."""
+    return rules.tally(page_audit.audit(page_audit.record(table(spark, sf_dir, "pages"))), "page_id")
+
+
+QUERIES = {f.__name__: f for f in (page_audit_findings, page_audit_tally, doc_brief_components, doc_brief_models, page_sections, page_run_places, page_module_components, page_claims, page_link_audit, planted_link_audit)}
 
 _KEY = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -222,7 +233,39 @@ _PLANTED = rf"""SELECT page_id, host, own, pos, kind, text, href, CASE WHEN pos
     {{'pos': 1, 'kind': 'link', 'text': unit, 'href': dst}}, {{'pos': 2, 'kind': 'link', 'text': 'Unit ' || string_split(own, '/')[-1], 'href': dst}}, {{'pos': 3, 'kind': 'link', 'text': unit, 'href': '/nowhere/' || page_id}}, {{'pos': 4, 'kind': 'link', 'text': 'Nothing alike', 'href': dst}}, {{'pos': 5, 'kind': 'link', 'text': 'This very page', 'href': trim(url)}},
     {{'pos': 6, 'kind': 'link', 'text': 'Read more', 'href': dst}}, {{'pos': 7, 'kind': 'placeholder', 'text': unit, 'href': '#'}}, {{'pos': 8, 'kind': 'placeholder', 'text': 'Go', 'href': '~/x'}}, {{'pos': 9, 'kind': 'placeholder', 'text': 'Open', 'href': 'javascript:run()'}}, {{'pos': 10, 'kind': 'dead-cta', 'text': unit, 'href': NULL}}, {{'pos': 11, 'kind': 'link', 'text': 'Short', 'href': '/' || string_split(dst, '/')[-1]}}], recursive := true)
   FROM (SELECT *, 'Unit ' || string_split(dst, '/')[-1] AS unit FROM (SELECT page_id, url, host, own, coalesce(lead(own) OVER w, lag(own) OVER w, own) AS dst FROM (SELECT *, regexp_replace(path, '\?.*$', '') AS own FROM {_PATH}) WINDOW w AS (PARTITION BY host ORDER BY page_id))))"""
+_STOPS = ", ".join(f"'{w}'" for w in head_rules.TITLE_STOP_WORDS)
+_VAGUE = ", ".join(f"'{w}'" for w in rules.GENERIC_LINK_TEXT)
+
+
+def _keywords(text: str) -> str:
+    return f"list_distinct(list_transform(list_filter(regexp_split_to_array(lower(regexp_replace({text}, '[™®©]', '', 'g')), '[^a-z0-9à-ÿ]+'), lambda w: length(w) > 2 AND NOT list_contains([{_STOPS}], w)), lambda w: regexp_replace(w, 's$', '')))"
+
+
+_AUDIT = rf"""p AS (SELECT page_id, html, {_CLEAN.format("regexp_extract(html, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title>', 1)")} AS title, {_shown("regexp_extract(html, '(?is)<h1" + chr(92) + "b[^>]*>(.*?)</h1>', 1)")} AS h1, regexp_matches(html, '(?is)<meta\b[^>]*name="description"') AS described FROM pages),
+k AS (SELECT *, {_keywords("title")} AS tw, {_keywords("h1")} AS hw FROM p),
+lists AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(u, '(?is)<li\b[^>]*>(.*?)</li>', 1), lambda x: {_shown("x")}), lambda x: true) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<ul\b[^>]*>.*?</ul>')) AS u FROM pages)),
+l AS (SELECT page_id, items, list_filter(items, lambda t: t <> '' AND NOT regexp_matches(t, ':$')) AS body FROM lists WHERE len(items) > 0),
+a AS (SELECT page_id, k, trim(regexp_replace({_shown("a")}, '[\s→›»>.…]+$', '')) AS name, {_shown("a")} AS text, regexp_extract(a, 'href="([^"]*)"', 1) AS href, a LIKE '%href=%' AS has FROM {_LINKS}),
+paras AS (SELECT page_id, {_cut("(?:p|li)", _HTML)} AS ps FROM pages),
+found(page_id, category, severity, field, note, n) AS (
+  SELECT page_id, 'metadata', 'check', 'Title', 'over 60 characters', 1 FROM k WHERE length(title) > 60
+  UNION ALL SELECT page_id, 'metadata', 'break', 'Title', 'no title', 1 FROM k WHERE title = ''
+  UNION ALL SELECT page_id, 'metadata', 'check', 'Title', 'leading or trailing spaces', 1 FROM pages WHERE regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1) <> trim(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1))
+  UNION ALL SELECT page_id, 'metadata', 'check', 'Description', 'no description', 1 FROM k WHERE NOT described
+  UNION ALL SELECT page_id, 'metadata', 'check', 'hreflang', 'no alternates', 1 FROM k WHERE html NOT LIKE '%hreflang%'
+  UNION ALL SELECT page_id, 'metadata', 'check', 'H1', 'shares no keyword with the title', 1 FROM k WHERE len(tw) > 0 AND len(hw) > 0 AND len(list_intersect(tw, hw)) = 0
+  UNION ALL SELECT page_id, 'headings', 'break', 'H1', 'no H1', 1 FROM k WHERE NOT regexp_matches(html, '(?is)<h1\b[^>]*>.*?</h1>')
+  UNION ALL SELECT page_id, 'links', 'break', 'Link', 'placeholder link', 1 FROM a WHERE href IN ('', '#')
+  UNION ALL SELECT page_id, 'links', 'break', 'Link text', 'link without a name', 1 FROM a WHERE name = '' AND trim(href) NOT IN ('', '#')
+  UNION ALL SELECT page_id, 'links', 'check', 'Link text', 'link text says nothing about its target', count(DISTINCT {{'k': lower(name), 'h': href}}) FROM a WHERE list_contains([{_VAGUE}], lower(name)) AND trim(href) NOT IN ('', '#') GROUP BY page_id
+  UNION ALL SELECT page_id, 'lists', 'check', 'Flattened list', 'points belong below these items', 1 FROM l WHERE len(list_filter(items[1:-2], lambda t: regexp_matches(t, ':$'))) > 0
+  UNION ALL SELECT page_id, 'lists', 'check', 'Mixed punctuation', 'items end in a full stop, others don''t', 1 FROM l WHERE len(body) >= 3 AND len(list_filter(body, lambda t: regexp_matches(t, '[.!?]$'))) BETWEEN 1 AND len(body) - 1
+  UNION ALL SELECT page_id, 'lists', 'check', 'Empty list item', 'empty item', 1 FROM l WHERE list_contains(items, '')
+  UNION ALL SELECT page_id, 'lists', 'check', 'Single-item list', 'one item', 1 FROM l WHERE len(items) = 1
+  UNION ALL SELECT page_id, 'lists', 'check', 'Typed bullets', 'paragraphs start with a typed bullet', 1 FROM paras WHERE len(list_filter(ps, lambda t: regexp_matches(t, '^[•·▪●◦‣]|^[-–—]\s+'))) > 0)"""
 ORACLE_SQL = {
+    "page_audit_findings": f"WITH {_AUDIT} SELECT page_id, category, severity, field, note, sum(n)::BIGINT AS n FROM found GROUP BY ALL",
+    "page_audit_tally": f"WITH {_AUDIT} SELECT page_id, coalesce(sum(n) FILTER (severity = 'break'), 0)::BIGINT AS breaks, coalesce(sum(n) FILTER (severity = 'check'), 0)::BIGINT AS checks FROM found GROUP BY page_id",
     "doc_brief_components": f"WITH {_BRIEFS} SELECT doc_id, pos AS line, v[1] AS type, v[2] AS tier, v[3] AS confidence, md5(coalesce(heading, '')) AS heading, CASE WHEN many THEN n ELSE 0 END::BIGINT AS items, CASE WHEN many THEN 0 ELSE len(own[1].body) END::BIGINT AS body, array_to_string(list_sort(list_distinct(list_concat(coalesce(title.rows, []), flatten(list_transform(own, lambda x: x.rows))))), ',') AS rows FROM components UNION ALL SELECT doc_id, pos, 'unresolved', NULL, NULL, md5(text), NULL, NULL, array_to_string(rows, ',') FROM lost",
     "doc_brief_models": f"""WITH {_BRIEFS}, per AS (SELECT doc_id, count(*) AS components, list(v[1]) AS types FROM components GROUP BY doc_id), gone AS (SELECT doc_id, count(*) AS unresolved FROM lost GROUP BY doc_id),
 fit AS (SELECT doc_id, coalesce(components, 0) AS components, coalesce(unresolved, 0) AS unresolved, CASE WHEN list_contains(types, 'content') AND list_contains(types, 'cards') THEN 'mixed' WHEN list_contains(types, 'content') THEN 'article' WHEN list_contains(types, 'cards') THEN 'listing' ELSE 'unknown' END AS template FROM (SELECT doc_id FROM documents WHERE text IS NOT NULL) LEFT JOIN per USING (doc_id) LEFT JOIN gone USING (doc_id))
