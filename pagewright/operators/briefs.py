@@ -178,23 +178,60 @@ def paired(brief_values: DataFrame, label_field: str = "cta", link_field: str =
     return both.select("brief_id", "n", F.col("text").alias("label"), F.when(F.col("href").rlike(r"^(?i)(https?://|/)"), F.col("href")).alias("href"))
 
 
+#: Least share of words for a closest row; code points by which a text is looked for inside others, of which fewer serve shorter ones.
+CLOSE, GRAMS = 0.4, (9, 3, 1)
+
+
+def row_candidates(needles: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, brief_id, row): pairs of (query_id, brief_id, needle) and (brief_id, row, english) that may be equal, contained or close, each once; every such pair is among them.
+
+    Contained texts meet by their first GRAMS code points, equi-joined with all windows of that length of the longer text. Close ones meet by a word of the row's prefix: of n words, repeats
+    counted, a close text has CLOSE * n at least, so one of any n - ceil(CLOSE * n) + 1 is among its words; the rarest of the brief are taken. Rows of a brief that share neither never meet.
+    """
+    from pagewright.functions import text as T
+
+    size = lambda c: F.when(F.length(c) >= GRAMS[0], GRAMS[0]).when(F.length(c) >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2])
+    start = lambda c: F.struct(size(c).alias("g"), F.substr(c, F.lit(1), size(c)).alias("gram"))
+
+    def windows(c: Column, sizes: tuple[int, ...]) -> Column:
+        of = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - g + 1, F.lit(1))), lambda i: F.struct(F.lit(g).alias("g"), F.substr(c, i, F.lit(g)).alias("gram")))
+        return F.explode(F.array_distinct(F.concat(*[of(g) for g in sizes])))
+
+    long = rows.where("length(english) > 8")
+    asked = needles.select("query_id", "brief_id", start(F.col("needle")).alias("k"))
+    inside = asked.join(long.select("brief_id", "row", windows(F.col("english"), GRAMS).alias("k")), ["brief_id", "k"])
+    around = needles.select("query_id", "brief_id", windows(F.col("needle"), GRAMS[:1]).alias("k")).join(long.select("brief_id", "row", start(F.col("english")).alias("k")), ["brief_id", "k"])
+    equal = needles.join(rows, (needles["brief_id"] == rows["brief_id"]) & (needles["needle"] == rows["english"])).select("query_id", needles["brief_id"], "row")
+
+    words = lambda c: F.filter(F.split(F.lower(T.normalise(c)), "[^a-z0-9À-ɏ]+"), lambda w: F.length(w) > 2)
+    split = rows.select("brief_id", "row", words(F.col("english")).alias("x")).where("size(x) > 0")
+    each = split.select("brief_id", "row", F.size("x").alias("n"), F.explode("x").alias("word")).groupBy("brief_id", "row", "n", "word").agg(F.count("*").alias("times"))
+    held = each.groupBy("brief_id", "word").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("times").over(W.partitionBy("brief_id", "row").orderBy("rows", "word").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    prefix = each.join(held, ["brief_id", "word"]).withColumn("before", before).where(F.col("before") < F.col("n") - F.ceil(CLOSE * F.col("n") - 1e-9) + 1)
+    own = needles.select("query_id", "brief_id", words(F.col("needle")).alias("y")).select("query_id", "brief_id", F.size("y").alias("m"), F.explode(F.array_distinct("y")).alias("word"))
+    close = own.join(prefix.select("brief_id", "row", "n", "word"), ["brief_id", "word"]).where(F.col("n") >= CLOSE * F.col("m") - 1e-9)
+    pair = ["query_id", "brief_id", "row"]
+    return equal.unionByName(inside.select(*pair)).unionByName(around.select(*pair)).unionByName(close.select(*pair)).distinct()
+
+
 def find_row(queries: DataFrame, values: DataFrame) -> DataFrame:
     """(query_id, how, row, confidence, others): the row whose English text is a query's.
 
     Exact if one is equal, ambiguous if several are; else the longest that contains it or lies in it; else the closest by
     shared words from 0.4 on, with the next three; else none. ``queries`` is (query_id, brief_id, text), ``values``
-    (brief_id, row, english); queries meet the rows of their brief only.
+    (brief_id, row, english); a query meets the rows of its brief that ``row_candidates`` gives, and those are judged exactly.
     """
     from pagewright.functions import text as T
 
     q = queries.withColumn("needle", T.strip_tags(F.col("text"))).where("needle <> ''")
     rows = values.where("english <> ''").select("brief_id", "row", T.normalise(F.col("english")).alias("english"))
-    pairs = q.join(rows, "brief_id")
+    pairs = row_candidates(q.select("query_id", "brief_id", "needle"), rows).join(q.select("query_id", "brief_id", "needle"), ["query_id", "brief_id"]).join(rows, ["brief_id", "row"])
     exact = F.col("english") == F.col("needle")
     within = (F.length("english") > 8) & (F.col("english").contains(F.col("needle")) | F.col("needle").contains(F.col("english")))
     tier = F.when(exact, 3).when(within, 2).otherwise(1)
     score = F.when(exact, F.lit(1.0)).when(within, F.lit(0.9)).otherwise(T.overlap(F.col("english"), F.col("needle")))
-    pairs = pairs.withColumn("tier", tier).withColumn("score", score).where("tier > 1 or score >= 0.4")
+    pairs = pairs.withColumn("tier", tier).withColumn("score", score).where((F.col("tier") > 1) | (F.col("score") >= CLOSE))
     w = W.partitionBy("query_id").orderBy(F.desc("tier"), F.when(F.col("tier") == 2, -F.length("english")).otherwise(0), F.desc("score"), "row")
     ranked = pairs.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= 4) | (F.col("tier") == 3))
     per = ranked.groupBy("query_id").agg(F.max("tier").alias("tier"), F.count_if(F.col("tier") == 3).alias("exact"), F.min_by("row", "rank").alias("row"), F.max_by("score", -F.col("rank")).alias("score"), F.array_sort(F.collect_list(F.when((F.col("rank") > 1) & (F.col("tier") == 1), F.struct("rank", "row")))).alias("rest"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.functions import urls as U
 from pagewright.functions.text import INLINE_TAGS
-from pagewright.operators import head_rules, link_rules, markup, matching, model, page_audit, places, rules
+from pagewright.operators import briefs, head_rules, link_rules, markup, matching, model, page_audit, places, rules
 from pagewright.plans.page_queries import _ENTRIES, _NAMED, _PATH, _tokens
 from pagewright.plans.place_queries import _CLEAN
 from pagewright.sources import table
@@ -125,7 +125,16 @@ def page_audit_tally(spark, sf_dir):
     return rules.tally(page_audit.audit(page_audit.record(table(spark, sf_dir, "pages"))), "page_id")
 
 
-QUERIES = {f.__name__: f for f in (page_audit_findings, page_audit_tally, doc_brief_components, doc_brief_models, page_sections, page_run_places, page_module_components, page_claims, page_link_audit, planted_link_audit)}
+def turn_rows(spark, sf_dir):
+    """For a part, the whole or the sorted words of each turn, the turn of its conversation that it comes from, if there is one answer."""
+    t = table(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("brief_id"), F.col("turn").cast("int").alias("row"), F.col("text").alias("english"))
+    words = F.split("english", " ")
+    text = F.when(F.col("row") % 3 == 0, F.array_join(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1))), " ")).when(F.col("row") % 3 == 1, F.col("english")).otherwise(F.array_join(F.array_sort(words), " "))
+    found = briefs.find_row(t.select((F.col("brief_id") * 1000 + F.col("row")).alias("query_id"), "brief_id", text.alias("text")), t)
+    return found.select("query_id", "how", "row", F.round("confidence", 9).alias("confidence"), F.array_join("others", ",").alias("others"))
+
+
+QUERIES = {f.__name__: f for f in (turn_rows, page_audit_findings, page_audit_tally, doc_brief_components, doc_brief_models, page_sections, page_run_places, page_module_components, page_claims, page_link_audit, planted_link_audit)}
 
 _KEY = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -263,8 +272,35 @@ found(page_id, category, severity, field, note, n) AS (
   UNION ALL SELECT page_id, 'lists', 'check', 'Empty list item', 'empty item', 1 FROM l WHERE list_contains(items, '')
   UNION ALL SELECT page_id, 'lists', 'check', 'Single-item list', 'one item', 1 FROM l WHERE len(items) = 1
   UNION ALL SELECT page_id, 'lists', 'check', 'Typed bullets', 'paragraphs start with a typed bullet', 1 FROM paras WHERE len(list_filter(ps, lambda t: regexp_matches(t, '^[•·▪●◦‣]|^[-–—]\s+'))) > 0)"""
+_FIRST = "category IN ('headings', 'links') OR field IN ('Title', 'Description', 'Keywords', 'Page language')"
+
+
+def _escaped(text: str) -> str:
+    return f"replace(replace(replace(replace({text}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+
+
+_BAG = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9À-ɏ]+'), lambda w: length(w) > 2)"
+_TURN_ROWS = f"""WITH t AS (SELECT conv_id, turn, text, {_CLEAN.format("text")} AS english FROM conversations WHERE text IS NOT NULL),
+q AS (SELECT conv_id, turn, {_CLEAN.format("CASE turn % 3 WHEN 0 THEN array_to_string(string_split(text, ' ')[2:1 + greatest(len(string_split(text, ' ')) - 2, 1)], ' ') WHEN 1 THEN text ELSE array_to_string(list_sort(string_split(text, ' ')), ' ') END")} AS needle FROM t),
+m AS (SELECT q.conv_id * 1000 + q.turn AS query_id, t.turn AS row, english, CASE WHEN english = needle THEN 3 WHEN length(english) > 8 AND (contains(english, needle) OR contains(needle, english)) THEN 2 ELSE 1 END AS tier, {_BAG.format("english")} AS x, {_BAG.format("needle")} AS y FROM q JOIN t ON q.conv_id = t.conv_id WHERE needle <> '' AND english <> ''),
+s AS (SELECT *, CASE tier WHEN 3 THEN 1.0 WHEN 2 THEN 0.9 ELSE CASE WHEN len(x) > 0 AND len(y) > 0 THEN len(list_filter(x, lambda w: list_contains(y, w))) / greatest(len(x), len(y)) ELSE 0.0 END END::DOUBLE AS score FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, CASE WHEN tier = 2 THEN -length(english) ELSE 0 END, score DESC, row) AS rank FROM s WHERE tier > 1 OR score >= 0.4),
+p AS (SELECT query_id, max(tier) AS tier, count(*) FILTER (tier = 3) AS exact, arg_min(row, rank) AS row, arg_min(score, rank) AS score, list(row ORDER BY rank) FILTER (rank BETWEEN 2 AND 4 AND tier = 1) AS rest FROM r GROUP BY query_id),
+h AS (SELECT q.conv_id * 1000 + q.turn AS query_id, p.* EXCLUDE (query_id), CASE WHEN tier IS NULL THEN 'none' WHEN exact > 1 THEN 'ambiguous' WHEN tier = 3 THEN 'exact' WHEN tier = 2 THEN 'contained' ELSE 'closest' END AS how FROM q LEFT JOIN p ON p.query_id = q.conv_id * 1000 + q.turn)
+SELECT query_id, how, CASE WHEN how <> 'ambiguous' THEN row END::INT AS row, round(score, 9) AS confidence, CASE WHEN how = 'closest' THEN coalesce(array_to_string(rest, ','), '') ELSE '' END AS others FROM h"""
 ORACLE_SQL = {
+    "turn_rows": _TURN_ROWS,
     "page_audit_findings": f"WITH {_AUDIT} SELECT page_id, category, severity, field, note, sum(n)::BIGINT AS n FROM found GROUP BY ALL",
+    # the older queries, each with the families that it holds
+    "page_findings": f"WITH {_AUDIT} SELECT category, severity, field, note, sum(n)::BIGINT AS n, count(DISTINCT page_id) AS pages FROM found WHERE {_FIRST} GROUP BY ALL",
+    "page_tally": f"WITH {_AUDIT} SELECT page_id, coalesce(sum(n) FILTER (severity = 'break'), 0)::BIGINT AS breaks, coalesce(sum(n) FILTER (severity = 'check'), 0)::BIGINT AS checks, CASE WHEN count(*) FILTER (severity = 'break') > 0 THEN 'break' ELSE 'check' END AS worst FROM found WHERE {_FIRST} GROUP BY page_id",
+    "page_list_findings": f"WITH {_AUDIT} SELECT severity, field, note, sum(n)::BIGINT AS n FROM found WHERE category = 'lists' GROUP BY ALL",
+    "page_head_findings": f"WITH {_AUDIT} SELECT severity, field, note, sum(n)::BIGINT AS n FROM found WHERE field = 'hreflang' OR (category = 'metadata' AND field = 'H1') GROUP BY ALL",
+    "page_briefs": f"""WITH {_PAGES}, own AS (SELECT DISTINCT page_id, {_path_sql("href")} AS path FROM (SELECT page_id, regexp_extract(a, 'href="([^"]*)"', 1) AS href FROM {_LINKS}) WHERE starts_with(href, '/') AND NOT contains(href, '/content/')),
+titled AS (SELECT page_id, {_CLEAN.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS t FROM pages),
+n AS (SELECT page_id AS brief_id, 'label' AS kind, (CASE WHEN t <> '' THEN 2 ELSE 0 END + (SELECT count(*) FROM own o WHERE o.page_id = titled.page_id))::BIGINT AS lines FROM titled UNION ALL SELECT page_id, 'heading', CASE WHEN heading <> '' THEN 1 ELSE 0 END FROM page UNION ALL SELECT page_id, 'copy', len(body) FROM page) SELECT * FROM n WHERE lines > 0""",
+    "page_components": f"""WITH {_PAGES}, e AS (SELECT page_id, heading, list_transform(body, lambda b: '<p>' || {_escaped("b")} || '</p>') AS ps, CASE WHEN regexp_matches(lower(heading), '(?i)contact') THEN 'contact' WHEN regexp_matches(heading, '[?？]\\s*$') AND len(body) > 0 THEN 'question' WHEN len(body) > 0 THEN 'text' ELSE 'bare' END AS type FROM page WHERE heading <> '')
+SELECT page_id, '<section class="' || type || '"><h2>' || {_escaped("heading")} || '</h2>' || array_to_string(ps, '') || '</section>' AS html, to_json([{{'type': type, 'title': heading, 'items': 1}}])::VARCHAR AS manifest FROM e""",
     "page_audit_tally": f"WITH {_AUDIT} SELECT page_id, coalesce(sum(n) FILTER (severity = 'break'), 0)::BIGINT AS breaks, coalesce(sum(n) FILTER (severity = 'check'), 0)::BIGINT AS checks FROM found GROUP BY page_id",
     "doc_brief_components": f"WITH {_BRIEFS} SELECT doc_id, pos AS line, v[1] AS type, v[2] AS tier, v[3] AS confidence, md5(coalesce(heading, '')) AS heading, CASE WHEN many THEN n ELSE 0 END::BIGINT AS items, CASE WHEN many THEN 0 ELSE len(own[1].body) END::BIGINT AS body, array_to_string(list_sort(list_distinct(list_concat(coalesce(title.rows, []), flatten(list_transform(own, lambda x: x.rows))))), ',') AS rows FROM components UNION ALL SELECT doc_id, pos, 'unresolved', NULL, NULL, md5(text), NULL, NULL, array_to_string(rows, ',') FROM lost",
     "doc_brief_models": f"""WITH {_BRIEFS}, per AS (SELECT doc_id, count(*) AS components, list(v[1]) AS types FROM components GROUP BY doc_id), gone AS (SELECT doc_id, count(*) AS unresolved FROM lost GROUP BY doc_id),

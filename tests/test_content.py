@@ -45,6 +45,46 @@ def test_find_row(spark):
     assert got == {1: ("ambiguous", None), 2: ("exact", 3), 3: ("contained", 4), 4: ("closest", 3), 5: ("none", None), 6: ("none", None)}
 
 
+def test_find_row_loses_no_pair(spark):
+    """Against all pairs of queries and rows in plain Python, with far fewer candidates."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    text = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 9)))
+    values = [(b, r, text()) for b in range(3) for r in range(60)]
+    asked = []
+    for k in range(120):
+        b, _, t = rng.choice(values)
+        w = t.split()
+        t = rng.choice([t, t[2:-1], " ".join(w[1:]), " ".join([*w, text()]), " ".join(rng.sample(w, len(w))) + " " + rng.choice(vocabulary), text(), t[:2], w[0]])
+        asked.append((k, b, t))
+    words = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if len(w) > 2]
+
+    def judged(needle, english):
+        if needle == english:
+            return 3, 1.0
+        if len(english) > 8 and (needle in english or english in needle):
+            return 2, 0.9
+        x, y = words(english), words(needle)
+        share = sum(w in y for w in x) / max(len(x), len(y)) if x and y else 0.0
+        return (1, share) if share >= 0.4 else None
+
+    expected = {}
+    for k, b, t in asked:
+        t = " ".join(t.split())
+        hits = [(*got, r, english) for vb, r, english in values if vb == b and t and (got := judged(t, " ".join(english.split())))]
+        expected[k] = {h[2] for h in hits}
+    q = spark.createDataFrame(asked, "query_id int, brief_id int, text string")
+    v = spark.createDataFrame(values, "brief_id int, row int, english string")
+    met = briefs.row_candidates(q.selectExpr("query_id", "brief_id", "trim(text) as needle").where("needle <> ''"), v).collect()
+    pairs = {(r.query_id, r.row) for r in met}
+    assert len(pairs) == len(met) and {(k, r) for k, rs in expected.items() for r in rs} <= pairs
+    assert len(pairs) < 0.4 * 120 * 60
+    assert {r.query_id for r in briefs.find_row(q, v).collect() if r.how != "none"} == {k for k, rs in expected.items() if rs}
+
+
 def test_carry_markup(spark):
     rows = spark.createDataFrame([(1, 'Ride <b>MonoX</b> <a href="/a?b&amp;c">now</a>', "MonoX < alles jetzt"), (2, None, "a & b"), (3, "<i>x</i>", None)], "k int, e string, t string")
     got = {r.k: tuple(r.x) for r in rows.select("k", briefs.carry_markup("e", "t").alias("x")).collect()}
