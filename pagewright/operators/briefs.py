@@ -191,10 +191,11 @@ def row_candidates(needles: DataFrame, rows: DataFrame) -> DataFrame:
     from pagewright.functions import text as T
 
     size = lambda c: F.when(F.length(c) >= GRAMS[0], GRAMS[0]).when(F.length(c) >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2])
-    start = lambda c: F.struct(size(c).alias("g"), F.substr(c, F.lit(1), size(c)).alias("gram"))
+    # a window is a string that starts with its length, as lists of strings are made distinct by hashing
+    start = lambda c: F.concat(size(c).cast("string"), F.substr(c, F.lit(1), size(c)))
 
     def windows(c: Column, sizes: tuple[int, ...]) -> Column:
-        of = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - g + 1, F.lit(1))), lambda i: F.struct(F.lit(g).alias("g"), F.substr(c, i, F.lit(g)).alias("gram")))
+        of = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - g + 1, F.lit(1))), lambda i: F.concat(F.lit(str(g)), F.substr(c, i, F.lit(g))))
         return F.explode(F.array_distinct(F.concat(*[of(g) for g in sizes])))
 
     long = rows.where("length(english) > 8")
