@@ -288,8 +288,16 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier DESC, CAS
 p AS (SELECT query_id, max(tier) AS tier, count(*) FILTER (tier = 3) AS exact, arg_min(row, rank) AS row, arg_min(score, rank) AS score, list(row ORDER BY rank) FILTER (rank BETWEEN 2 AND 4 AND tier = 1) AS rest FROM r GROUP BY query_id),
 h AS (SELECT q.conv_id * 1000 + q.turn AS query_id, p.* EXCLUDE (query_id), CASE WHEN tier IS NULL THEN 'none' WHEN exact > 1 THEN 'ambiguous' WHEN tier = 3 THEN 'exact' WHEN tier = 2 THEN 'contained' ELSE 'closest' END AS how FROM q LEFT JOIN p ON p.query_id = q.conv_id * 1000 + q.turn)
 SELECT query_id, how, CASE WHEN how <> 'ambiguous' THEN row END::INT AS row, round(score, 9) AS confidence, CASE WHEN how = 'closest' THEN coalesce(array_to_string(rest, ','), '') ELSE '' END AS others FROM h"""
+_TWO_WAYS = r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}]+')) AS word FROM documents),
+c AS (SELECT doc_id, word, string_split(word, '') AS l, count(*) AS n FROM w WHERE length(word) >= 6 GROUP BY ALL),
+k AS (SELECT *, array_to_string(list_sort(l), '') AS letters, array_to_string(list_filter(l, lambda x, i: i = 1 OR l[i - 1] <> x), '') AS single FROM c),
+pairs AS (SELECT DISTINCT a.doc_id, a.word, b.word AS other, a.l AS x, b.l AS y FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n >= 2 AND a.word <> b.word AND (a.letters = b.letters OR a.single = b.single) AND abs(len(a.l) - len(b.l)) <= 1),
+d AS (SELECT *, CASE WHEN len(x) = len(y) THEN list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i]) END AS apart, CASE WHEN len(x) > len(y) THEN x ELSE y END AS long, CASE WHEN len(x) > len(y) THEN y ELSE x END AS short FROM pairs)
+SELECT doc_id, word, other FROM d WHERE len(apart) = 1 OR (len(apart) = 2 AND apart[2] = apart[1] + 1 AND x[apart[1]] = y[apart[2]] AND x[apart[2]] = y[apart[1]])
+  OR (apart IS NULL AND len(list_filter(range(1, len(long) + 1), lambda i: list_concat(long[1:i - 1], long[i + 1:]) = short)) > 0)"""
 ORACLE_SQL = {
     "turn_rows": _TURN_ROWS,
+    "doc_spelled_two_ways": _TWO_WAYS,
     "page_audit_findings": f"WITH {_AUDIT} SELECT page_id, category, severity, field, note, sum(n)::BIGINT AS n FROM found GROUP BY ALL",
     # the older queries, each with the families that it holds
     "page_findings": f"WITH {_AUDIT} SELECT category, severity, field, note, sum(n)::BIGINT AS n, count(DISTINCT page_id) AS pages FROM found WHERE {_FIRST} GROUP BY ALL",
