@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,7 +39,8 @@ def page_limit(pages: DataFrame, site: str, ord_col: str, limit: int) -> DataFra
     """The first ``limit`` pages of each site; 0 keeps all."""
     if not limit:
         return pages
-    return pages.withColumn("__n", F.row_number().over(W.partitionBy(site).orderBy(ord_col))).where(F.col("__n") <= limit).drop("__n")
+    ranked = pages.select(F.struct(*pages.columns).alias("row"), F.row_number().over(W.partitionBy(site).orderBy(ord_col)).alias("n"))
+    return ranked.where(F.col("n") <= limit).select("row.*")
 
 
 def redirect_verdicts(fetches: DataFrame) -> DataFrame:
@@ -97,6 +99,60 @@ def sitemap_walk(files: DataFrame, roots: list[str], depth: int = 2, most: int =
     return once.orderBy("level", "url").limit(most), once.agg((F.count("*") > most).alias("partial"))
 
 
+#: A site's walk: files asked for together, and the files and addresses after which no more are asked for.
+BATCH, MOST_FILES, MOST_URLS = 4, 50, 20_000
+
+
+def _batches(queue: pd.DataFrame) -> pd.DataFrame:
+    """The batch of each place of a site's queue: up to BATCH that stand in it when the batch begins, and what they list comes after."""
+    queue = queue.sort_values("place")
+    batch, left, there, coming, out = -1, 0, int((queue["depth"] == 0).sum()), 0, []
+    for at, kids in enumerate(queue["kids"]):
+        if not left:
+            there, coming, batch = there + coming, 0, batch + 1
+            left = min(BATCH, there - at)
+        out.append(batch)
+        left, coming = left - 1, coming + kids
+    return queue[["site", "place"]].assign(batch=out)
+
+
+def budget_walk(files: DataFrame, roots: DataFrame, depth: int = 2, most_files: int = MOST_FILES, most_urls: int = MOST_URLS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((site, url, ord), (site, file, state), (site, read, failed, urls, partial)): a walk of each site's sitemaps in breadth-first order within a budget.
+
+    ``files`` is (file, ok, is_index, urls), one row for a file that was asked for, ``roots`` (site, ord, file). Files queue by depth, then in the order of those that list them; a file that comes again is not
+    read again. Files are taken BATCH at a time, fewer where fewer wait, until a batch begins with ``most_files`` read or failed, or ``most_urls`` addresses found; a site whose queue isn't empty then is partial. Files that are
+    not there or not ok have failed. Every level is one equi-join for all sites; what is left is windows by site, whose queues hold what its files list.
+    """
+    asked = files.select("file", "ok", "is_index", "urls")
+    level = roots.select("site", F.lit(0).alias("depth"), F.array(F.col("ord").cast("int")).alias("o"), "file")
+    items = None
+    for d in range(depth + 1):
+        items = level if items is None else items.unionByName(level)
+        if d < depth:
+            once = items.withColumn("again", F.row_number().over(W.partitionBy("site", "file").orderBy("depth", "o"))).where((F.col("again") == 1) & (F.col("depth") == d))
+            inside = once.join(asked.where("ok and is_index"), "file").select("site", "o", F.posexplode("urls").alias("k", "file"))
+            level = inside.select("site", F.lit(d + 1).alias("depth"), F.concat("o", F.array("k")).alias("o"), "file")
+    queue = W.partitionBy("site").orderBy("depth", "o")
+    rows = items.withColumn("place", F.row_number().over(queue)).withColumn("fresh", F.row_number().over(W.partitionBy("site", "file").orderBy("depth", "o")) == 1)
+    rows = rows.join(asked, "file", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    kids = F.when(F.col("fresh") & F.col("ok") & F.col("is_index") & (F.col("depth") < depth), F.size("urls")).otherwise(0)
+    kind = dict(rows.dtypes)["site"]
+    dealt = rows.select("site", "place", "depth", kids.cast("int").alias("kids")).groupBy("site").applyInPandas(_batches, f"site {kind}, place int, batch long")
+    rows = rows.join(dealt, ["site", "place"])
+    listed = rows.where("fresh and ok and not is_index").select("site", "place", "batch", F.posexplode("urls").alias("k", "url"))
+    found = listed.groupBy("site", "url").agg(F.min(F.struct("place", "k", "batch")).alias("x")).select("site", "url", "x.*").withColumn("ord", F.row_number().over(W.partitionBy("site").orderBy("place", "k")))
+    per = rows.groupBy("site", "batch").agg(F.count_if("fresh").alias("files")).join(found.groupBy("site", "batch").agg(F.count("*").alias("new")), ["site", "batch"], "left")
+    before = W.partitionBy("site").orderBy("batch").rowsBetween(W.unboundedPreceding, -1)
+    spent = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    taken = per.withColumn("taken", (spent("files") < most_files) & (spent(F.coalesce("new", F.lit(0))) < most_urls)).select("site", "batch", "taken")
+    pages = found.join(taken.where("taken"), ["site", "batch"]).where(F.col("ord") <= most_urls).select("site", "url", F.col("ord").cast("long").alias("ord"))
+    judged = rows.join(taken, ["site", "batch"])
+    states = judged.where("taken and fresh").select("site", "file", F.when(F.col("ok"), "read").otherwise("failed").alias("state"))
+    counts = judged.groupBy("site").agg(F.count_if(F.col("taken") & F.col("fresh") & F.col("ok")).alias("read"), F.count_if(F.col("taken") & F.col("fresh") & ~F.col("ok")).alias("failed"), F.bool_or(~F.col("taken")).alias("partial"))
+    counts = counts.join(pages.groupBy("site").agg(F.count("*").alias("urls")), "site", "left").select("site", "read", "failed", F.coalesce("urls", F.lit(0)).alias("urls"), "partial")
+    return pages, states, counts
+
+
 def discover(urls: DataFrame, host: str, prefix: str, allowed: DataFrame) -> DataFrame:
     """(url, reason): why a listed address is left out: host, path or robots; null where it is crawled. ``allowed`` is (url, allowed)."""
     from pagewright.functions import urls as U

@@ -85,6 +85,54 @@ def test_find_row_loses_no_pair(spark):
     assert {r.query_id for r in briefs.find_row(q, v).collect() if r.how != "none"} == {k for k, rs in expected.items() if rs}
 
 
+def test_budget_walk_against_a_queue(spark):
+    """Against one queue a site in plain Python, with files that fail, repeat, and list each other."""
+    import random
+
+    rng = random.Random(9)
+    files, roots = {}, []
+    for site in range(6):
+        names = [f"s{site}/f{k}" for k in range(40)]
+        for k, name in enumerate(names):
+            index = k < 8 and rng.random() < 0.7
+            files[name] = (rng.random() < 0.85, index, [rng.choice(names) for _ in range(rng.randint(0, 9))] if index else [f"u{rng.randint(0, 60)}" for _ in range(rng.randint(0, 12))])
+        roots += [(site, k, rng.choice([*names[:8], "absent"])) for k in range(rng.randint(1, 6))]
+    f = spark.createDataFrame([(n, *x) for n, x in files.items()], "file string, ok boolean, is_index boolean, urls array<string>")
+    r = spark.createDataFrame(roots, "site int, ord int, file string")
+    for most_files, most_urls in ((50, 20_000), (6, 20_000), (12, 15), (1, 1)):
+        want = {}
+        for site in {x[0] for x in roots}:
+            queue = [(n, 0) for s, _, n in sorted(roots) if s == site]
+            seen, read, failed, urls, partial = set(), [], [], [], False
+            while queue:
+                if len(read) + len(failed) >= most_files or len(urls) >= most_urls:
+                    partial = True
+                    break
+                batch, queue = queue[:4], queue[4:]
+                for name, level in batch:
+                    if name in seen:
+                        continue
+                    seen.add(name)
+                    ok, index, listed = files.get(name, (False, False, []))
+                    (read if ok else failed).append(name)
+                    if ok and index and level < 2:
+                        queue += [(u, level + 1) for u in listed]
+                    elif ok and not index:
+                        for u in listed:
+                            if u not in urls and len(urls) < most_urls:
+                                urls.append(u)
+            want[site] = (sorted(read), sorted(failed), urls, partial)
+        pages, states, counts = crawl.budget_walk(f, r, most_files=most_files, most_urls=most_urls)
+        got = {c.site: ([], [], [], c.partial) for c in counts.collect()}
+        for x in states.collect():
+            got[x.site][x.state == "failed"].append(x.file)
+        for x in sorted(pages.collect(), key=lambda x: x.ord):
+            got[x.site][2].append(x.url)
+        assert {s: (sorted(a), sorted(b), c, d) for s, (a, b, c, d) in got.items()} == want
+        assert {c.site: (c.read, c.failed, c.urls) for c in counts.collect()} == {s: (len(a), len(b), len(c)) for s, (a, b, c, _) in want.items()}
+    assert any(x[3] for x in want.values())
+
+
 def test_carry_markup(spark):
     rows = spark.createDataFrame([(1, 'Ride <b>MonoX</b> <a href="/a?b&amp;c">now</a>', "MonoX < alles jetzt"), (2, None, "a & b"), (3, "<i>x</i>", None)], "k int, e string, t string")
     got = {r.k: tuple(r.x) for r in rows.select("k", briefs.carry_markup("e", "t").alias("x")).collect()}
