@@ -248,11 +248,19 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), blocks)), pa.array(np.repeat(fp, blocks)), pa.array(key.ravel())], names=["rep", "fp", "key"])
 
     rows = classes.select("rep", "long").mapInArrow(keys, "rep bigint, fp bigint, key bigint")
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = rows.join(sizes, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    held = held.select("rep", "fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
-    groups = written(held.repartition("grp").sortWithinPartitions("grp").mapInArrow(_groups(most_bits(similarity, 64, 4)), "grp bigint, rep bigint").distinct())
+    # only large buckets need their size; all others are whole where their key is dealt to, and shuffled once
+    large = written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK))
+    n_large = large.count()
+    large = F.broadcast(large) if n_large <= BROADCAST_ROWS else large
+    small = (rows.join(large, "key", "left_anti") if n_large else rows).select("rep", "fp", F.col("key").alias("grp"))
+    near = _groups(most_bits(similarity, 64, 4))
+    found = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(near, "grp bigint, rep bigint")
+    if n_large:
+        held = rows.join(large, "key").withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+        held = held.withColumn("own", F.pmod(F.xxhash64("rep"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        held = held.select("rep", "fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp"))
+        found = found.union(held.repartition("grp").sortWithinPartitions("grp").mapInArrow(near, "grp bigint, rep bigint"))
+    groups = written(found.distinct())
     fetched = groups.join(classes, "rep").repartition("grp").sortWithinPartitions("grp").select("grp", "rep", "long")
     comps = connected_components(fetched.mapInArrow(_verified(most_bits(similarity, size, SPARE)), "a bigint, b bigint").distinct())
     named = classes.join(comps, classes["rep"] == comps["id"], "left").select("long", "rep", F.coalesce("component", "rep").alias("component"))
