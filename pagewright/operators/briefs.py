@@ -180,6 +180,8 @@ def paired(brief_values: DataFrame, label_field: str = "cta", link_field: str =
 
 #: Least share of words for a closest row; code points by which a text is looked for inside others, of which fewer serve shorter ones.
 CLOSE, GRAMS = 0.4, (9, 3, 1)
+#: Rows of a brief up to which a query meets all of them.
+FEW = 32
 
 
 def row_candidates(needles: DataFrame, rows: DataFrame) -> DataFrame:
@@ -187,9 +189,17 @@ def row_candidates(needles: DataFrame, rows: DataFrame) -> DataFrame:
 
     Contained texts meet by their first GRAMS code points, equi-joined with all windows of that length of the longer text. Close ones meet by a word of the row's prefix: of n words, repeats
     counted, a close text has CLOSE * n at least, so one of any n - ceil(CLOSE * n) + 1 is among its words; the rarest of the brief are taken. Rows of a brief that share neither never meet.
+    In briefs of up to FEW rows every query meets every row, which costs less than the windows of their texts.
     """
     from pagewright.functions import text as T
 
+    # a table's size says nothing of its windows and words, so no side may be broadcast by it: all joins sort both sides, and spill
+    join = lambda a, b, on, how="inner": a.join(b.hint("merge"), on, how)
+    held = rows.groupBy("brief_id").agg(F.count("*").alias("n"))
+    few, many = held.where(F.col("n") <= FEW).select("brief_id"), held.where(F.col("n") > FEW).select("brief_id")
+    every = join(join(needles, few, "brief_id", "left_semi").select("query_id", "brief_id"), rows.select("brief_id", "row"), "brief_id")
+    needles, rows = join(needles, many, "brief_id", "left_semi"), join(rows, many, "brief_id", "left_semi")
+
     size = lambda c: F.when(F.length(c) >= GRAMS[0], GRAMS[0]).when(F.length(c) >= GRAMS[1], GRAMS[1]).otherwise(GRAMS[2])
     # a window is a string that starts with its length, as lists of strings are made distinct by hashing
     start = lambda c: F.concat(size(c).cast("string"), F.substr(c, F.lit(1), size(c)))
@@ -200,20 +210,20 @@ def row_candidates(needles: DataFrame, rows: DataFrame) -> DataFrame:
 
     long = rows.where("length(english) > 8")
     asked = needles.select("query_id", "brief_id", start(F.col("needle")).alias("k"))
-    inside = asked.join(long.select("brief_id", "row", windows(F.col("english"), GRAMS).alias("k")), ["brief_id", "k"])
-    around = needles.select("query_id", "brief_id", windows(F.col("needle"), GRAMS[:1]).alias("k")).join(long.select("brief_id", "row", start(F.col("english")).alias("k")), ["brief_id", "k"])
-    equal = needles.join(rows, (needles["brief_id"] == rows["brief_id"]) & (needles["needle"] == rows["english"])).select("query_id", needles["brief_id"], "row")
+    inside = join(asked, long.select("brief_id", "row", windows(F.col("english"), GRAMS).alias("k")), ["brief_id", "k"])
+    around = join(needles.select("query_id", "brief_id", windows(F.col("needle"), GRAMS[:1]).alias("k")), long.select("brief_id", "row", start(F.col("english")).alias("k")), ["brief_id", "k"])
+    equal = join(needles.withColumnRenamed("needle", "english"), rows, ["brief_id", "english"])
 
     words = lambda c: F.filter(F.split(F.lower(T.normalise(c)), "[^a-z0-9À-ɏ]+"), lambda w: F.length(w) > 2)
     split = rows.select("brief_id", "row", words(F.col("english")).alias("x")).where("size(x) > 0")
     each = split.select("brief_id", "row", F.size("x").alias("n"), F.explode("x").alias("word")).groupBy("brief_id", "row", "n", "word").agg(F.count("*").alias("times"))
     held = each.groupBy("brief_id", "word").agg(F.count("*").alias("rows"))
     before = F.coalesce(F.sum("times").over(W.partitionBy("brief_id", "row").orderBy("rows", "word").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    prefix = each.join(held, ["brief_id", "word"]).withColumn("before", before).where(F.col("before") < F.col("n") - F.ceil(CLOSE * F.col("n") - 1e-9) + 1)
+    prefix = join(each, held, ["brief_id", "word"]).withColumn("before", before).where(F.col("before") < F.col("n") - F.ceil(CLOSE * F.col("n") - 1e-9) + 1)
     own = needles.select("query_id", "brief_id", words(F.col("needle")).alias("y")).select("query_id", "brief_id", F.size("y").alias("m"), F.explode(F.array_distinct("y")).alias("word"))
-    close = own.join(prefix.select("brief_id", "row", "n", "word"), ["brief_id", "word"]).where(F.col("n") >= CLOSE * F.col("m") - 1e-9)
+    close = join(own, prefix.select("brief_id", "row", "n", "word"), ["brief_id", "word"]).where(F.col("n") >= CLOSE * F.col("m") - 1e-9)
     pair = ["query_id", "brief_id", "row"]
-    return equal.unionByName(inside.select(*pair)).unionByName(around.select(*pair)).unionByName(close.select(*pair)).distinct()
+    return every.select(*pair).unionByName(equal.select(*pair)).unionByName(inside.select(*pair)).unionByName(around.select(*pair)).unionByName(close.select(*pair)).distinct()
 
 
 def find_row(queries: DataFrame, values: DataFrame) -> DataFrame:
@@ -227,7 +237,8 @@ def find_row(queries: DataFrame, values: DataFrame) -> DataFrame:
 
     q = queries.withColumn("needle", T.strip_tags(F.col("text"))).where("needle <> ''")
     rows = values.where("english <> ''").select("brief_id", "row", T.normalise(F.col("english")).alias("english"))
-    pairs = row_candidates(q.select("query_id", "brief_id", "needle"), rows).join(q.select("query_id", "brief_id", "needle"), ["query_id", "brief_id"]).join(rows, ["brief_id", "row"])
+    needles = q.select("query_id", "brief_id", "needle")
+    pairs = row_candidates(needles, rows).join(needles.hint("merge"), ["query_id", "brief_id"]).join(rows.hint("merge"), ["brief_id", "row"])
     exact = F.col("english") == F.col("needle")
     within = (F.length("english") > 8) & (F.col("english").contains(F.col("needle")) | F.col("needle").contains(F.col("english")))
     tier = F.when(exact, 3).when(within, 2).otherwise(1)

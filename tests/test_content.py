@@ -85,6 +85,15 @@ def test_find_row_loses_no_pair(spark):
     assert {r.query_id for r in briefs.find_row(q, v).collect() if r.how != "none"} == {k for k, rs in expected.items() if rs}
 
 
+def test_find_row_broadcasts_nothing(spark):
+    """Windows and words outgrow the table they come from, whose size would have them broadcast; briefs of few rows have none."""
+    v = spark.createDataFrame([(b, r, f"line {r} of {b}") for b in range(2) for r in range(1 + 40 * b)], "brief_id int, row int, english string")
+    q = spark.createDataFrame([(k, k % 2, "line 0 of 1") for k in range(4)], "query_id int, brief_id int, text string")
+    found = briefs.find_row(q, v)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(x.query_id, x.how, x.row) for x in found.collect()} == {(0, "closest", 0), (1, "exact", 0), (2, "closest", 0), (3, "exact", 0)}
+
+
 def test_budget_walk_against_a_queue(spark):
     """Against one queue a site in plain Python, with files that fail, repeat, and list each other."""
     import random
