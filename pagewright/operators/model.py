@@ -7,6 +7,7 @@ and left to review. Every component tells its tier, how sure it is and why. Voca
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -101,7 +102,7 @@ _NOT_LOOSE = frozenset("p li h1 h2 h3 h4 h5 h6 label input select textarea butto
 
 
 @F.pandas_udf(_BLOCK)
-def blocks(html: pd.Series) -> pd.Series:
+def blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Headings, paragraphs, list items, images, folds, links with their tag, and innermost divs of a page by offset, with their inner markup.
 
     Copy inside a fold belongs to the fold. A div counts if no other div and no block of copy, heading or form control is inside it.
@@ -157,7 +158,7 @@ def blocks(html: pd.Series) -> pd.Series:
             add(run[0], "copy", None, page[run[1] :])
         return sorted(found, key=lambda x: x["at"])
 
-    return html.map(one)
+    return places.in_parts(batches, one)
 
 
 def places_hidden(tag: str) -> bool:

@@ -79,3 +79,16 @@ def test_copy_ledger(spark):
     assert near[3] == ("m #2", "m #1") and near[0] == (None, None)
     c = spark.createDataFrame([(10, 1), (10, 2), (7, 0)], "total int, found int")
     assert [r.suspect for r in copy.suspect(c).collect()] == [True, False, False]
+
+
+def test_pages_are_handed_on_in_parts(spark):
+    """Many pages of one batch: no more than a part is held at once, and every page keeps its own elements."""
+    import pandas as pd
+
+    at = []
+    parts = list(places.in_parts(iter([pd.Series(["x" * (places.PART // 4)] * 10 + [None]), pd.Series([], dtype=object)]), lambda p: at.append(p) or [len(at)]))
+    assert [len(p) for p in parts] == [4, 4, 3] and [x[0] for p in parts for x in p] == list(range(1, 12))
+    filler = "y" * (places.PART // 3)
+    p = spark.createDataFrame([(k, f'<p id="p{k}"><a href="/{k}">{filler}</a></p>') for k in range(9)] + [(9, None)], "page_id int, html string").coalesce(1)
+    got = {r.page_id: [(e.kind, e.tag, [c.tag for c in e.chain]) for e in r.e] for r in p.select("page_id", places.marked_elements("html").alias("e")).collect()}
+    assert got == {k: [("link", f'<a href="/{k}">', [f'<p id="p{k}">'])] for k in range(9)} | {9: []}
