@@ -56,10 +56,14 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
 
 def type_named(text: Column, words: Vocabulary) -> Column:
     """The type that a text names: the name of a component as a whole, or a phrase that signals one as whole words; null where it names none."""
-    key = label_key(text)
-    padded = F.concat(F.lit(" "), key, F.lit(" "))
-    signals = [F.when(F.greatest(F.lit(False), *[F.contains(padded, F.lit(f" {_plain(p)} ")) for p in phrases if _plain(p)]), F.lit(t)) for t, phrases in words.signals]
-    return F.coalesce(_lookup({_plain(n).replace(" ", ""): t for n, t in words.names.items()}, F.replace(key, F.lit(" "), F.lit(""))), *signals, F.lit(None).cast("string"))
+    names = {_plain(n).replace(" ", ""): t for n, t in words.names.items()}
+
+    def of(padded: Column) -> Column:
+        signals = [F.when(F.greatest(F.lit(False), *[F.contains(padded, F.lit(f" {_plain(p)} ")) for p in phrases if _plain(p)]), F.lit(t)) for t, phrases in words.signals]
+        return F.coalesce(_lookup(names, F.replace(padded, F.lit(" "), F.lit(""))), *signals, F.lit(None).cast("string"))
+
+    # bound as a variable, so the key is made once for all phrases
+    return F.get(F.transform(F.array(F.concat(F.lit(" "), label_key(text), F.lit(" "))), of), 0)
 
 
 def first_named(texts: Column, words: Vocabulary) -> Column:
@@ -69,7 +73,7 @@ def first_named(texts: Column, words: Vocabulary) -> Column:
 
 
 def is_chrome(text: Column, words: Vocabulary) -> Column:
-    return F.greatest(F.lit(False), F.lit(False), *[F.contains(label_key(text), F.lit(_plain(c))) for c in words.chrome]) & (label_key(text) != "")
+    return F.get(F.transform(F.array(label_key(text)), lambda k: F.greatest(F.lit(False), F.lit(False), *[F.contains(k, F.lit(_plain(c))) for c in words.chrome]) & (k != "")), 0)
 
 
 def quoted(text: Column) -> Column:
@@ -195,18 +199,22 @@ def brief_stream(briefs: DataFrame) -> DataFrame:
     heading, one that names an asset an image, a short one that doesn't end as a sentence a heading too.
     """
     rows = briefs.select(F.col("brief_id").alias("page_id"), F.posexplode(F.split("text", r"\r?\n")).alias("n", "raw")).select("page_id", (F.col("n") + 1).alias("at"), "raw").where("trim(raw) <> ''")
-    w = W.partitionBy("page_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    label = F.contains("raw", F.lit("\t")) | F.col("raw").rlike(r"^\s*●")
-    rows = rows.withColumn("copy", F.max(~label).over(w)).withColumn("cells", F.split("raw", r"\t")).withColumn("line", F.trim(F.regexp_replace("raw", r"\s+", " ")))
-    field = F.last(F.when(~F.col("copy") & ~F.col("raw").rlike(r"^\s*●"), F.lower(F.trim(F.col("cells")[0]))), True).over(w)
-    href = F.trim(F.element_at("cells", -1))
-    linked = ~F.col("copy") & (field == "internal links") & href.rlike("(?i)^(https?://|/)")
+    # all that a line says by itself is read before the windows, so it is read once whatever reads the stream
+    bullet = F.col("raw").rlike(r"^\s*●")
     mark, asset = r"^(.*?)\s*\[\d+\.\d+\]\s*$", r"(?i)Assets?\s*[-–]\s*(.+)$"
+    rows = rows.select("page_id", "at", "raw", (F.contains("raw", F.lit("\t")) | bullet).alias("label"), F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("line"))
+    rows = rows.select("*", F.trim(F.regexp_extract("line", mark, 1)).alias("mark"), F.regexp_extract("line", asset, 1).alias("asset"), F.when(F.col("label"), F.split("raw", r"\t")).alias("cells"))
     short = (F.length("line") <= HEADING_CHARS) & (F.size(F.split("line", " ")) <= HEADING_WORDS) & ~F.col("line").rlike(r"[.!]$")
-    named = F.col("line").rlike(mark) & (F.trim(F.regexp_extract("line", mark, 1)) != "")
-    kind = F.when(linked, "link").when(~F.col("copy"), F.lit(None)).when(named, "heading").when(F.col("line").rlike(asset), "image").when(short, "heading").otherwise("copy")
-    text = F.when(linked, href).when(named, F.trim(F.regexp_extract("line", mark, 1))).when(F.col("line").rlike(asset), F.trim(F.regexp_extract("line", asset, 1))).otherwise(F.col("line"))
-    return rows.select("page_id", "at", kind.alias("kind"), text.alias("text"), F.when(linked, href).alias("href")).where("kind is not null")
+    kind = F.when(F.col("mark") != "", "heading").when(F.col("asset") != "", "image").when(short, "heading").otherwise("copy")
+    text = F.when(F.col("mark") != "", F.col("mark")).when(F.col("asset") != "", F.trim("asset")).otherwise(F.col("line"))
+    href = F.trim(F.element_at("cells", -1))
+    rows = rows.select("page_id", "at", "label", kind.alias("kind"), text.alias("text"), F.when(~bullet, F.lower(F.trim(F.col("cells")[0]))).alias("name"), F.when(href.rlike("(?i)^(https?://|/)"), href).alias("href"))
+    w = W.partitionBy("page_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("copy", F.max(~F.col("label")).over(w))
+    field = F.last(F.when(~F.col("copy"), F.col("name")), True).over(w)
+    linked = ~F.col("copy") & (field == "internal links") & F.col("href").isNotNull()
+    rows = rows.withColumn("linked", F.coalesce(linked, F.lit(False)))
+    return rows.select("page_id", "at", F.when(F.col("linked"), "link").when(F.col("copy"), F.col("kind")).alias("kind"), F.when(F.col("linked"), F.col("href")).otherwise(F.col("text")).alias("text"), F.when(F.col("linked"), F.col("href")).alias("href")).where("kind is not null")
 
 
 def _in_order(kind: str, value: Column) -> Column:

@@ -28,8 +28,10 @@ def brief_texts(docs):
     head = lambda x: F.regexp_replace(F.array_join(F.slice(F.split(line(x), " "), 1, 3), " "), r"[.!?]+$", "")
 
     def lines(x, i):
-        title = F.concat(head(x), F.when(F.length(x) % 3 == 0, "?").otherwise(""), F.lit("[1."), (i + 1).cast("string"), F.lit("]"))
-        return F.when(head(x) == "", F.array().cast("array<string>")).when(F.length(x) % 4 != 0, F.array(title, x)).otherwise(F.array(title))
+        title = lambda h: F.concat(h, F.when(F.length(x) % 3 == 0, "?").otherwise(""), F.lit("[1."), (i + 1).cast("string"), F.lit("]"))
+        of = lambda h: F.when(h == "", F.array().cast("array<string>")).when(F.length(x) % 4 != 0, F.array(title(h), x)).otherwise(F.array(title(h)))
+        # the head is bound as a variable, so it is made once
+        return F.get(F.transform(F.array(head(x)), of), 0)
 
     return docs.where("text is not null").select(F.col("doc_id").alias("brief_id"), F.array_join(F.flatten(F.transform(F.split("text", "\n"), lines)), "\n").alias("text"))
 

@@ -144,3 +144,13 @@ def test_build_is_one_model_for_briefs_and_pages(spark):
     assert set(json.loads(one.manifest)[0]) <= set(json.loads(got[1].manifest)[0])
     none = model.from_pages(pages(spark).limit(0) if False else p.limit(0), WORDS)
     assert none[0].count() == none[1].count() == 0
+
+
+def test_lines_of_briefs_are_read_before_the_windows(spark):
+    """Above its only exchange the stream searches no text, so what reads it twice shares the work."""
+    text = "Internal links\t/a\n ● \t https://b.test/x \nOwner\tme\nTop [1.1]\nAsset - pic.png\nShort line\nA line that ends.\n[2.2]"
+    stream = model.brief_stream(spark.createDataFrame([(1, text)], "brief_id int, text string"))
+    plan = stream._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and not any(x in plan.split("Exchange")[0].lower() for x in ("regexp", "rlike"))
+    got = [(r.at, r.kind, r.text, r.href) for r in stream.orderBy("at").collect()]
+    assert got == [(1, "link", "/a", "/a"), (2, "link", "https://b.test/x", "https://b.test/x"), (4, "heading", "Top", None), (5, "image", "pic.png", None), (6, "heading", "Short line", None), (7, "copy", "A line that ends.", None), (8, "heading", "[2.2]", None)]
