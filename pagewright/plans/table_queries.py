@@ -55,7 +55,7 @@ def word_slips(spark, sf_dir):
 
 def doc_spelled_two_ways(spark, sf_dir):
     """Words of a document that look like slips of others of it."""
-    n = proofing.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    n = proofing.meeting_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return proofing.spelled_two_ways(n, "doc_id")
 
 

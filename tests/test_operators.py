@@ -1,6 +1,7 @@
 """Operators on small inputs: what each catches, and what it leaves alone."""
 
 import io
+import random
 import zipfile
 
 import pytest
@@ -117,6 +118,36 @@ def test_proofing(spark):
     assert sorted(r.word for r in proofing.spelled_two_ways(n, "id").collect()) == ["elevaotr", "ellevator"]
 
 
+def test_words_that_meet(spark):
+    """Only words that may be of a pair are shuffled, with counts of all of a text."""
+    unlike = " ".join("".join("abcdefghij"[int(d)] for d in f"{k * k:06}") for k in range(1, 900))
+    texts = spark.createDataFrame([(k, f"{unlike} Elevator elevator elevaotr ellevator lobbies lobbies lobbies") for k in range(20)] + [(99, None), (None, "elevator elevator elevaotr"), (98, "short")], "id long, text string")
+    met = proofing.meeting_counts(texts, "id", "text")
+    every = proofing.word_counts(texts, "id", "text")
+    assert every.count() > 20 * 800 and met.count() < 20 * 80
+    assert met.exceptAll(every).count() == 0
+    assert {(r.word, r.n) for r in met.where("id = 7").collect()} >= {("elevator", 2), ("elevaotr", 1), ("ellevator", 1)}
+    assert met.where("word = 'lobbies' or id is null or id > 20").count() == 0
+
+
+def test_words_that_meet_miss_no_pair(spark):
+    """The same pairs as from the counts of all words, if rows share ids and texts are long too."""
+    rng = random.Random(4)
+    stems = ["".join(rng.choice("abéß\U00010428") for _ in range(rng.randint(5, 8))) for _ in range(150)]
+
+    def slip(w):
+        i = rng.randrange(len(w) - 1)
+        return rng.choice([w, w, w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i] + w[i:], w[:i] + w[i + 1 :], w[:i] + "b" + w[i + 1 :], w.upper()])
+
+    rows = [(rng.choice([k, k, k % 7, None]), " ".join(slip(rng.choice(stems)) for _ in range(rng.choice([0, 3, 60, 400])))) for k in range(120)] + [(500, None), (501, ""), (501, stems[0])]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    want = {tuple(r) for r in proofing.spelled_two_ways(proofing.word_counts(texts, "id", "text"), "id").collect()}
+    assert len(want) > 300
+    for named, most in ((texts, 1_000_000), (texts, 1000), (texts.withColumn("id", F.concat(F.lit("n"), "id")), 0)):
+        got = proofing.spelled_two_ways(proofing.meeting_counts(named, "id", "text", most), "id").collect()
+        assert len(got) == len(want) and {(int(str(r.id).lstrip("n")), r.word, r.other) for r in got} == want
+
+
 def test_sources(spark):
     t = spark.createDataFrame([("a", "<urlset><loc>https://a.com/x?a&amp;b</loc><loc>https://a.com/x?a&amp;b</loc></urlset>"), ("b", "# no\nhttps://b.com/1\nftp://b")], "site string, text string")
     assert sorted(tuple(r) for r in sources.sitemap_urls(t).collect()) == [("a", "https://a.com/x?a&b", 0), ("b", "https://b.com/1", 0)]
